@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 _OWN_DIR: list[str] = []
 
@@ -54,3 +58,27 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def map_texts(
+    df: DataFrame, text_col: str, keep: dict[str, str], fields: str, function: Callable[[str | None], tuple], text_as: str | None = None
+) -> DataFrame:
+    """``function(text)`` of every row as columns ``fields`` (DDL), beside the columns ``keep`` (new name: old name).
+
+    Columns pass as Arrow arrays, so nulls and large integers stay what they are. ``text_as`` also keeps the text.
+    """
+    made = StructType.fromDDL(fields)
+    names = [*keep, *([text_as] if text_as else [])]
+    small = df.select(*[F.col(f"`{old}`").alias(new) for new, old in keep.items()], F.col(f"`{text_col}`").alias(text_as or "_text_"))
+    types = [to_arrow_type(f.dataType) for f in made]
+    schema = StructType([small.schema[n] for n in names] + list(made))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [function(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * len(types)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(k) for k in range(len(names))), *(pa.array(c, type=t) for c, t in zip(columns, types, strict=True))], names=schema.names
+            )
+
+    return small.mapInArrow(run, schema)

@@ -19,12 +19,13 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from glyphlake.llm.common import Workspace, shuffle_partitions
+from glyphlake.llm.common import Workspace
 
 SPECIAL = "<|endoftext|>"
+_PIECE = ("piece", "start", "length", "ids_crc32")
 _ENCODERS: dict[str, tuple] = {}
 
 
@@ -63,18 +64,18 @@ def cut(n: int, window: int) -> list[tuple[int, int]]:
 def tokenized_pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for doc, text in zip(batch[id_col].tolist(), batch[text_col].tolist(), strict=True):
+            for row, text in enumerate(batch.column(1).to_pylist()):
                 ids = np.array([*token_ids(text, tokenizer), end_id], dtype="<u4")
-                out += [(doc, k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(cut(len(ids), window))]
-            frame = pd.DataFrame(out, columns=[id_col, "piece", "start", "length", "ids_crc32"])
-            frame[id_col] = frame[id_col].astype("Int64")
-            yield frame
+                out += [(row, k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(cut(len(ids), window))]
+            rows, *rest = zip(*out, strict=True) if out else [()] * 5
+            made = [pa.array(c, type=t) for c, t in zip(rest, (pa.int32(), *[pa.int64()] * 3), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, type=pa.int32())), *made], names=[id_col, *_PIECE])
 
-    small = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias(text_col))
-    return small.mapInPandas(run, f"{id_col} long, piece int, start long, length long, ids_crc32 long")
+    small = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("_text_"))
+    return small.mapInArrow(run, f"{id_col} long, piece int, start long, length long, ids_crc32 long")
 
 
 def plan_best_fit(counts: dict[int, int], window: int) -> tuple[dict[int, list[tuple[int, int, int, int]]], int]:
@@ -145,18 +146,18 @@ def pack_best_fit(
     ranked = parts.withColumn("_row", F.row_number().over(inside)).join(offsets, (F.col("length") == F.col("_length")) & (F.col("_part") == F.col("_p")))
     ranked = ranked.select(id_col, "piece", "start", "length", "ids_crc32", (F.col("_before") + F.col("_row") - 1).alias("_rank"))
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sequence = np.zeros(len(batch), dtype=np.int64)
-            offset = np.zeros(len(batch), dtype=np.int64)
-            lengths, ranks = batch["length"].to_numpy(), batch.pop("_rank").to_numpy()
+            lengths, ranks = batch.column(3).to_numpy(), batch.column(5).to_numpy()
+            sequence, offset = np.zeros(len(ranks), dtype=np.int64), np.zeros(len(ranks), dtype=np.int64)
             for n in np.unique(lengths):
                 at = np.flatnonzero(lengths == n)
                 first, _, base, off = shared.value[int(n)]
                 run = np.searchsorted(first, ranks[at], side="right") - 1
                 sequence[at] = base[run] + ranks[at] - first[run]
                 offset[at] = off[run]
-            batch[id_col] = batch[id_col].astype("Int64")
-            yield batch.assign(sequence_id=sequence, offset=offset)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:5], pa.array(sequence), pa.array(offset)], names=[id_col, *_PIECE, "sequence_id", "offset"]
+            )
 
-    return ranked.mapInPandas(place, f"{id_col} long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(place, f"{id_col} long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glyphlake.llm import packing, sharding, simhash
+from glyphlake.llm import decontam, htmltext, langid, packing, secrets, sharding, simhash
 from glyphlake.llm.common import read_table
 
 
@@ -15,10 +15,32 @@ def op2_byte_prefix_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_nearest_url_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = htmltext.main_text(read_table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_best_fit(read_table(spark, sf_dir, "documents"), window=1024, tokenizer="byte_bpe_50k", end_id=2)
 
 
+def op5_randomness_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_secrets(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random")
+
+
+def op6_aho_corasick_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), width=8, least_items=2)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", decontam.items_digest("items").alias("items_sha256"), "contaminated")
+
+
+def op9_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = langid.is_held_out(F.col("doc_id"))
+    predictor = langid.train(docs.where(~held_out))
+    return langid.identify(docs, predictor, ["doc_id"]).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op10_multi_index_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(read_table(spark, sf_dir, "documents"), width=3, bits=2).select("doc_id", "fingerprint", "component_id")
 
@@ -27,9 +49,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op2_byte_prefix_sharding,
+        op3_nearest_url_differencing,
         op4_histogram_packing,
+        op5_randomness_secret_scan,
+        op6_aho_corasick_decontamination,
+        op9_byte_cnn_language,
         op10_multi_index_simhash,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ITEM_WORDS = rf"regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_aho_corasick_decontamination": f"""
+WITH d AS (SELECT doc_id, {_ITEM_WORDS} AS ws FROM documents),
+b AS (SELECT item_id, {_ITEM_WORDS} AS ws FROM benchmark),
+iw AS (
+  SELECT DISTINCT item_id, len(win) AS k, array_to_string(win, ' ') AS win FROM (
+    SELECT item_id, unnest(CASE WHEN len(ws) >= 8 THEN list_transform(range(1, len(ws) - 6), lambda i: ws[i:i+7])
+                                WHEN len(ws) > 0 THEN [ws] ELSE [] END) AS win FROM b)),
+lens AS (SELECT DISTINCT k FROM iw),
+dw AS (SELECT doc_id, k, i, array_to_string(ws[i:i+k-1], ' ') AS win
+       FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM d, lens WHERE len(ws) >= k)),
+hit AS (SELECT doc_id, i, dw.k AS k, item_id FROM dw JOIN iw ON dw.win = iw.win AND dw.k = iw.k),
+w AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hit) GROUP BY doc_id),
+n AS (SELECT doc_id, count(DISTINCT item_id) AS n_items,
+             string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM hit GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+FROM d LEFT JOIN w USING (doc_id) LEFT JOIN n USING (doc_id)""",
+}

@@ -16,14 +16,12 @@ empty results; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from glyphlake.llm.common import Workspace
+from glyphlake.llm.common import Workspace, map_texts
 from glyphlake.llm.components import connected_components
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -50,12 +48,11 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp): fp is the fingerprint as a signed long."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            fps = np.array([fingerprint(t, width) for t in batch[text_col]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({id_col: batch[id_col].astype("Int64"), "fp": fps})
+    def run(text: str | None) -> tuple:
+        bits = fingerprint(text, width)
+        return (bits - (1 << 64) if bits >> 63 else bits,)
 
-    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias(text_col)).mapInPandas(run, f"{id_col} long, fp long")
+    return map_texts(docs, text_col, {id_col: id_col}, "fp long", run).withColumn(id_col, F.col(id_col).cast("long"))
 
 
 def _spanning(fps: np.ndarray, asks: np.ndarray, bits: int, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
