@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glyphlake.llm import decontam, htmltext, langid, packing, secrets, sharding, simhash
+from glyphlake.llm import decontam, htmltext, langid, packing, secrets, sharding, simhash, substrings
 from glyphlake.llm.common import read_table
 
 
@@ -34,6 +34,10 @@ def op6_aho_corasick_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
     return found.select("doc_id", "n_words", "n_hit", "n_items", decontam.items_digest("items").alias("items_sha256"), "contaminated")
 
 
+def op8_recompression_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(read_table(spark, sf_dir, "documents"), width=50)
+
+
 def op9_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     held_out = langid.is_held_out(F.col("doc_id"))
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_histogram_packing,
         op5_randomness_secret_scan,
         op6_aho_corasick_decontamination,
+        op8_recompression_substring_dedup,
         op9_byte_cnn_language,
         op10_multi_index_simhash,
     )
@@ -79,4 +84,16 @@ n AS (SELECT doc_id, count(DISTINCT item_id) AS n_items,
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
 FROM d LEFT JOIN w USING (doc_id) LEFT JOIN n USING (doc_id)""",
+    "op8_recompression_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, i, md5(array_to_string(ws[i:i+49], ' ')) AS h
+      FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM d WHERE len(ws) >= 50)),
+m AS (SELECT h, min(doc_id) AS lo FROM w GROUP BY h),
+r AS (SELECT DISTINCT doc_id, p FROM (SELECT w.doc_id, unnest(range(i, i + 50)) AS p FROM w JOIN m USING (h) WHERE lo < w.doc_id)),
+x AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM d),
+k AS (SELECT x.doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY x.p) AS kept
+      FROM x LEFT JOIN r ON x.doc_id = r.doc_id AND x.p = r.p WHERE r.p IS NULL GROUP BY x.doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n_kept, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)""",
 }

@@ -26,6 +26,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S)
 
 
+def _times(k: int, c: np.uint64) -> np.uint64:
+    return np.uint64(k * int(c) & (1 << 64) - 1)
+
+
 class WordHashes(dict):
     """Word (bytes) -> 64-bit hash; forgets when it holds very many."""
 
@@ -76,7 +80,7 @@ def _runs(v: Level, word: np.ndarray) -> Level:
 
 def _pairs(v: Level, salt: int) -> Level:
     n = len(v.name)
-    left = (mix(v.name + np.uint64(salt) * _A) & np.uint64(1)).astype(bool)
+    left = (mix(v.name + _times(salt, _A)) & np.uint64(1)).astype(bool)
     joined = np.zeros(n, dtype=bool)  # with the symbol after
     joined[:-1] = left[:-1] & ~left[1:] & (v.end[:-1] == v.start[1:])
     taken = np.zeros(n, dtype=bool)
@@ -152,7 +156,7 @@ def anchors(word: np.ndarray, first: np.ndarray, starts: np.ndarray, width: int,
         some = np.flatnonzero(hi > lo)
         if len(some):
             pick = _argmin_ranges(mix(v.name + np.uint64(77)), lo[some], hi[some])
-            name[open_[some]] = mix(v.name[pick] + np.uint64(k) * _B)
+            name[open_[some]] = mix(v.name[pick] + _times(k, _B))
             place[open_[some]] = v.start[pick]
             open_ = np.delete(open_, some)
     return name, place
@@ -166,7 +170,7 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     if have is None or len(have[0]) < n:
         size = max(n, 1 << 16)
         inverse = pow(base, -1, 1 << 64)
-        up, down = (np.multiply.accumulate(np.concatenate([[1], np.full(size - 1, b, dtype=np.uint64)]).astype(np.uint64)) for b in (base, inverse))
+        up, down = (np.multiply.accumulate(np.append(np.ones(1, dtype=np.uint64), np.full(size - 1, b, dtype=np.uint64))) for b in (base, inverse))
         _POWERS[base] = have = (up, down)
     return have
 
