@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glyphlake.llm import decontam, htmltext, langid, packing, secrets, sharding, simhash, substrings
+from glyphlake.llm import decontam, htmltext, langid, packing, secrets, sharding, simhash, substrings, vectors
 from glyphlake.llm.common import read_table
 
 
@@ -34,6 +34,10 @@ def op6_aho_corasick_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
     return found.select("doc_id", "n_words", "n_hit", "n_items", decontam.items_digest("items").alias("items_sha256"), "contaminated")
 
 
+def op7_hnsw_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.link_vectors(read_table(spark, sf_dir, "embeddings"), least=0.98)
+
+
 def op8_recompression_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(read_table(spark, sf_dir, "documents"), width=50)
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_histogram_packing,
         op5_randomness_secret_scan,
         op6_aho_corasick_decontamination,
+        op7_hnsw_near_dedup,
         op8_recompression_substring_dedup,
         op9_byte_cnn_language,
         op10_multi_index_simhash,
@@ -96,4 +101,18 @@ k AS (SELECT x.doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY x.p) AS
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n_kept, 0) AS BIGINT) AS n_removed,
        sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN k USING (doc_id)""",
+    "op7_hnsw_near_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+ok AS (
+  SELECT vec_id, label, e FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0
+    AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x),
+n AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v JOIN c ON c.x = v.vec_id LEFT JOIN n ON n.x = v.vec_id""",
 }
