@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glyphlake.llm import decontam, htmltext, langid, packing, secrets, sharding, simhash, substrings, vectors
+from glyphlake.llm import decontam, htmltext, langid, packing, secrets, sharding, simhash, substrings, surrogates, vectors
 from glyphlake.llm.common import read_table
 
 
+def op1_surrogate_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_personal_data(read_table(spark, sf_dir, "documents"), key="glyphlake-surrogates-1")
+
+
 def op2_byte_prefix_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_by_bytes(read_table(spark, sf_dir, "documents"), shards=16)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -56,6 +60,7 @@ def op10_multi_index_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_surrogate_personal_data,
         op2_byte_prefix_sharding,
         op3_nearest_url_differencing,
         op4_histogram_packing,
