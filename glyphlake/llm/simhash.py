@@ -45,14 +45,14 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(set_bits * 2 > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, fp) and the columns ``keep``: fp is the fingerprint as a signed long."""
 
     def run(text: str | None) -> tuple:
         bits = fingerprint(text, width)
         return (bits - (1 << 64) if bits >> 63 else bits,)
 
-    return map_texts(docs, text_col, {id_col: id_col}, "fp long", run).withColumn(id_col, F.col(id_col).cast("long"))
+    return map_texts(docs, text_col, {c: c for c in dict.fromkeys((id_col, *keep))}, "fp long", run).withColumn(id_col, F.col(id_col).cast("long"))
 
 
 def _spanning(fps: np.ndarray, asks: np.ndarray, bits: int, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
@@ -120,17 +120,20 @@ def near_links(distinct: DataFrame, ws: Workspace, bits: int = 2, hot: int = 64)
     return cold.unionByName(both.groupBy("key", "cell").applyInPandas(link, "x long, y long").where("x <> y"))
 
 
-def simhash_groups(docs: DataFrame, width: int = 3, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, fingerprint, component_id): component_id is the least id whose fingerprint is reachable by links."""
+def simhash_groups(docs: DataFrame, width: int = 3, bits: int = 2, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, fp, fingerprint, component_id, group) and ``keep``.
+
+    component_id is the least id whose fingerprint is reachable by links, group the least of those fingerprints.
+    """
     spark = docs.sparkSession
     ws = Workspace(spark, "simhash")
-    prints = ws.save(fingerprints(docs, width, id_col, text_col), "fingerprints")
+    prints = ws.save(fingerprints(docs, width, id_col, text_col, keep), "fingerprints")
     distinct = ws.save(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
     groups = connected_components(near_links(distinct.select("fp"), ws, bits).select(F.col("x").alias("a"), F.col("y").alias("b")), ws)
     named = distinct.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     named = ws.save(named, "named")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_fp = named.join(least, "component").select(F.col("fp").alias("_fp"), "component_id")
+    of_fp = named.join(least, "component").select(F.col("fp").alias("_fp"), "component_id", F.col("component").alias("group"))
     return prints.join(of_fp, F.col("fp") == F.col("_fp")).select(
-        id_col, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        id_col, *keep, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group"
     )
