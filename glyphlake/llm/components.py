@@ -26,7 +26,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, ws: Workspace, most_rounds: int = 60) -> DataFrame:
-    """``edges(a, b)``, a <> b, in any direction -> ``(node, component)`` for every node that has an edge.
+    """``edges(a, b)``, a <> b, in any direction -> ``(node, component)`` for every node with an edge but the least of each component.
 
     ``component`` is the least node that is reachable. Ends when a round changes nothing.
     """

@@ -43,8 +43,10 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
     hot = {v: quantiles.count(v) for v in bounds if quantiles.count(v) > 1}
     spread = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     sub = F.lit(0)
-    for value, times in hot.items():
-        sub = F.when(key == F.lit(value), F.pmod(spread, F.lit(times + 1)).cast("int")).otherwise(sub)
+    part = _bucket(key, bounds)
+    for value, times in hot.items():  # the least id of its partition; the others there come after its parts
+        first = F.when(key == F.lit(value), F.pmod(spread, F.lit(times + 1)).cast("int"))
+        sub = first.when(part == bounds.index(value) + 1, F.lit(times + 1)).otherwise(sub)
     if seen["n"] > seen["k"]:
         share = max(1, round(partitions * (seen["n"] - seen["k"]) / seen["n"]))
         sub = F.when(key.isNull(), F.pmod(spread, F.lit(share)).cast("int")).otherwise(sub)
@@ -52,7 +54,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
         key.alias(id_col),
         (F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"),
-        F.when(key.isNull(), F.lit(-1)).otherwise(_bucket(key, bounds)).cast("int").alias("_part"),
+        F.when(key.isNull(), F.lit(-1)).otherwise(part).cast("int").alias("_part"),
         sub.alias("_sub"),
     )
     before = W.orderBy("_part", "_sub").rowsBetween(W.unboundedPreceding, -1)
