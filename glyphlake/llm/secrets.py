@@ -6,7 +6,7 @@ tests ask how far its symbols are from uniform and independent: chi-squared over
 middle, and lag-1 serial correlation. Together they give one statistic that is small for random strings.
 
 How often running text looks as random as that is counted over the whole corpus: the statistic of every window of letters
-of every document, by length class, as a histogram. A candidate's p-value is the share of text windows of its length
+of every document (candidates left out), by length class, as a histogram. A candidate's p-value is the share of text windows of its length
 class (the longest one that is not above its own length) with a statistic as small; short tokens have large p-values by
 themselves. The Benjamini-Hochberg procedure over all candidates of the corpus then sets the cut. Decimal numbers are
 not secrets and are no candidates.
@@ -124,7 +124,8 @@ def _histogram(docs: DataFrame, text_col: str) -> np.ndarray:
             for text in batch["_text"]:
                 if not text:
                     continue
-                letters = np.frombuffer(text.encode("utf-8", "surrogatepass").translate(_LOWER, _DROP), dtype=np.uint8).astype(np.int64) - 97
+                words = _TOKEN.sub(" ", text)  # candidates are no running text
+                letters = np.frombuffer(words.encode("utf-8", "surrogatepass").translate(_LOWER, _DROP), dtype=np.uint8).astype(np.int64) - 97
                 for k, n in enumerate(LENGTHS):
                     if rows := len(letters) // n:
                         total[0, k] += np.bincount(_bin(statistic(letters[: rows * n].reshape(rows, n), 26)), minlength=BINS)
