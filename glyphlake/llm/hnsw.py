@@ -54,7 +54,8 @@ class Layer:
             row = np.arange(len(live))
             f[row, at] = True
             new = self.links[i[row, at]]
-            new = np.where((new[:, :, None] == i[:, None, :]).any(axis=2), -1, new)
+            again = np.tril(new[:, :, None] == new[:, None, :], -1).any(axis=2)
+            new = np.where(again | (new[:, :, None] == i[:, None, :]).any(axis=2), -1, new)
             near = np.where(new >= 0, np.einsum("qmd,qd->qm", x[np.maximum(new, 0)], q[live]), -2.0)
             ids[live], sims[live], done[live] = _top(
                 np.concatenate([i, new], axis=1), np.concatenate([s, near.astype(np.float32)], axis=1), np.concatenate([f, new < 0], axis=1), ef
@@ -67,7 +68,8 @@ class Layer:
         forth = _diverse(found, sims, x, max(2, self.width // 2))
         self.links[new, : forth.shape[1]] = forth
         target, source = forth.ravel(), np.repeat(new, forth.shape[1])
-        source, target = source[target >= 0], target[target >= 0]
+        fresh = (target >= 0) & ~(self.links[target] == source[:, None]).any(axis=1)
+        source, target = source[fresh], target[fresh]
         order = np.argsort(target, kind="stable")
         source, target = source[order], target[order]
         which, first, count = np.unique(target, return_index=True, return_counts=True)
@@ -140,7 +142,7 @@ class Index:
             part = np.ascontiguousarray(q[k : k + block], dtype=np.float32)
             ids, sims = self.layers[-1].walk(self.x, part, self._entry(part), min(ef, max(1, self.sizes[-1])))
             for row, (i, s) in enumerate(zip(ids, sims, strict=True)):
-                hits = i[(s >= least) & (i >= 0)]
+                hits = np.unique(i[(s >= least) & (i >= 0)])
                 if len(hits) > 3:
                     hits = self._flood(part[row], hits, least)
                 out.append(self.order[hits])
