@@ -178,10 +178,11 @@ def remove_repeats(docs: DataFrame, width: int = 50, rounds: int = 8, id_col: st
     entries = scanned.where(F.size("names") > 0).select("doc_id", "rk", zipped.alias("x"))
     entries = entries.select("doc_id", "rk", *[F.col(f"x.{f}").alias(n) for f, n in (("names", "name"), ("blocks", "block"), ("starts", "start"), ("counts", "n"))])
     ends = [F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min("rk").alias("one"), F.max("rk").alias("other")]
-    names = entries.groupBy("name").agg(*ends).where("least < most and one <> other").select("name")
+    # Written before it is joined: both sides of the join then are exchanges, whose hot keys can be split.
+    names = ws.save(entries.groupBy("name").agg(*ends).where("least < most and one <> other").select("name"), "names")
     shared = ws.save(entries.join(names, "name", "left_semi"), "shared")
-    blocks = shared.groupBy("name", "block", "n").agg(F.min("doc_id").alias("least"))
-    several = blocks.groupBy("name").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("name")
+    blocks = ws.save(shared.groupBy("name", "block", "n").agg(F.min("doc_id").alias("least")), "blocks")
+    several = ws.save(blocks.groupBy("name").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("name"), "several")
     known = shared.join(blocks, ["name", "block", "n"])
     whole = known.where("doc_id > least").select("doc_id", "rk", "start", "n")
     first = known.where("doc_id = least").join(several, "name", "left_semi")
@@ -204,6 +205,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, rounds: int = 8, id_col: st
     texts = IdFilter(todo, "doc_id", most_bits).texts(docs, id_col, text_col)
     windows = ws.save(texts.join(todo, "doc_id").mapInArrow(hashes, "a long, b int, doc_id long, rk long, start int"), "windows")
     least = windows.groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    least = ws.save(least, "least")
     single = windows.join(least, ["a", "b"]).where("doc_id > least").select("doc_id", "rk", "start", F.lit(1).alias("n"))
     ranges = whole.unionByName(single).groupBy("doc_id", "rk").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
     is_copy = copies.select("doc_id", F.conv(F.substring("sha", 1, 16), 16, -10).cast("long").alias("rk"))
