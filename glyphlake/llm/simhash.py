@@ -91,7 +91,8 @@ def near_links(distinct: DataFrame, ws: Workspace, bits: int = 2, hot: int = 64)
     ).select(F.col("fp").alias("ask"), (F.col("side") * F.lit(1 << 32) + F.col("half").bitwiseXOR(F.col("flip"))).alias("key"))
     crowd = ws.save(table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("key"), "crowded")
 
-    cold = table.join(crowd, "key", "left_anti").join(asks, "key").where("ask < fp and bit_count(ask ^ fp) <= %d" % bits)
+    # Never broadcast the askers: there are 66 for each row of the table they are estimated by.
+    cold = table.join(crowd, "key", "left_anti").join(asks.hint("merge"), "key").where("ask < fp and bit_count(ask ^ fp) <= %d" % bits)
     cold = cold.select(F.col("ask").alias("x"), F.col("fp").alias("y"))
     if crowd.isEmpty():
         return cold
