@@ -125,36 +125,29 @@ def _scan(docs: DataFrame, width: int, rounds: int, id_col: str, text_col: str,
 
 
 class IdFilter:
-    """Bit map of hashed ids: whoever is in the set passes, few others do. Its size is bounded by ``most_bits``."""
+    """Bit map of hashed ids: whoever is in the set passes, few others do. Its size is bounded by ``most_bits``.
 
-    def __init__(self, ids: DataFrame, column: str, most_bits: int):
+    The map is a table of at most ``most_bits / 32768`` rows of 4 KB, which is broadcast; bits are tested in the JVM.
+    """
+
+    def __init__(self, ids: DataFrame, column: str, most_bits: int, ws: Workspace):
         n = ids.count()
         self.bits = min(most_bits, max(1 << 16, 1 << (8 * n).bit_length()))
-        self.column, self.spark = column, ids.sparkSession
-        at = self.position(F.col(column))
-        rows = ids.select((at + 1).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("map")).collect()
-        self.map = np.zeros(self.bits // 8 + 4096, dtype=np.uint8)  # at most most_bits / 8 bytes
-        for bucket, part in rows:
-            at_byte = (bucket - 1) * 4096
-            self.map[at_byte : at_byte + len(part)] = np.frombuffer(bytes(part), dtype=np.uint8)
-        self.shared = self.spark.sparkContext.broadcast(self.map)
+        at = ids.select(self.position(F.col(column)).alias("at"))
+        maps = at.groupBy(F.bitmap_bucket_number("at").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("_map"))
+        self.maps = ws.save(maps, "bits")
 
     def position(self, column: Column) -> Column:
-        return F.pmod(F.xxhash64(column), F.lit(self.bits))  # from 0
+        return F.pmod(F.xxhash64(column), F.lit(self.bits)) + 1
 
     def texts(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """(doc_id, text) of the rows that may be in the set."""
-        shared = self.shared
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at = batch.column(2).to_numpy(zero_copy_only=False)
-                byte = shared.value[at >> 3]
-                yield batch.select([0, 1]).filter(pa.array((byte >> (at & 7).astype(np.uint8)) & 1 == 1))
-
         id_ = F.col(id_col).cast("long")
-        rows = docs.where(F.col(id_col).isNotNull()).select(id_.alias("doc_id"), F.col(text_col).alias("text"), self.position(id_).alias("at"))
-        return rows.mapInArrow(run, "doc_id long, text string")
+        rows = docs.where(F.col(id_col).isNotNull()).select(id_.alias("doc_id"), F.col(text_col).alias("text"), self.position(id_).alias("_at"))
+        byte = "cast(conv(hex(substring(_map, cast(bitmap_bit_position(_at) div 8 as int) + 1, 1)), 16, 10) as int)"
+        is_set = F.expr(f"(shiftright({byte}, cast(bitmap_bit_position(_at) % 8 as int)) & 1) = 1")
+        rows = rows.withColumn("_b", F.bitmap_bucket_number("_at")).join(F.broadcast(self.maps), F.col("_b") == F.col("_bucket"))
+        return rows.where(is_set).select("doc_id", "text")
 
 
 def _union(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -171,7 +164,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, rounds: int = 8, id_col: st
 
     # Exact copies of a smaller document lose all their words.
     long_enough = scanned.where((F.col("n_words") >= width) & F.col("doc_id").isNotNull()).select("doc_id", "sha")
-    copied = long_enough.groupBy("sha").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    copied = ws.save(long_enough.groupBy("sha").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most"), "copied")
     copies = ws.save(long_enough.join(copied, "sha").where("doc_id > least").select("doc_id", "sha").distinct(), "copies")
 
     zipped = F.explode(F.arrays_zip("names", "blocks", "starts", "counts"))
@@ -202,7 +195,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, rounds: int = 8, id_col: st
                 same = [np.full(len(at), doc), np.full(len(at), rk)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip([a, b, *same, at], kinds, strict=True)], names=["a", "b", "doc_id", "rk", "start"])
 
-    texts = IdFilter(todo, "doc_id", most_bits).texts(docs, id_col, text_col)
+    texts = IdFilter(todo, "doc_id", most_bits, ws).texts(docs, id_col, text_col)
     windows = ws.save(texts.join(todo, "doc_id").mapInArrow(hashes, "a long, b int, doc_id long, rk long, start int"), "windows")
     least = windows.groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
     least = ws.save(least, "least")
@@ -229,7 +222,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, rounds: int = 8, id_col: st
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], names=["_id", "_rk", "_removed", "_kept"])
 
-    texts = IdFilter(ranges, "doc_id", most_bits).texts(docs, id_col, text_col)
+    texts = IdFilter(ranges, "doc_id", most_bits, ws).texts(docs, id_col, text_col)
     partly = texts.join(ranges, "doc_id").mapInArrow(cut, "_id long, _rk long, _removed long, _kept string").dropDuplicates(["_id", "_rk"])
     wholly = copies.select(F.col("doc_id").alias("_cid"), F.col("sha").alias("_csha"))
     out = scanned.select("doc_id", "sha", "rk", "n_words").join(partly, (F.col("doc_id") == F.col("_id")) & (F.col("rk") == F.col("_rk")), "left")
