@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from glyphlake.parse.facts import Options, parse
+from glyphlake.sources.scratch import written
 
 _FIELDS = ["doc_id", "fact", "ord", "s", "e", "text", "kind", "label", "n"]
 FACT_SCHEMA = "doc_id long, fact string, ord int, s int, e int, text string, kind string, label string, n int"
@@ -48,15 +49,13 @@ def parse_facts(docs: DataFrame, wanted: list[str], options: Options | None = No
 
 
 class Facts:
-    """The facts that a set of rules reads. Parsed once and kept on disk if several rules share them."""
+    """The facts that a set of rules reads. Parsed once and written if several rules share them."""
 
     def __init__(self, docs: DataFrame, wanted: list[str], options: Options | None = None, share: bool = False):
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), canonical().alias("text"))
         self._all = parse_facts(self.docs, wanted, options)
         if share:
-            from pyspark import StorageLevel
-
-            self._all = self._all.persist(StorageLevel.DISK_ONLY)
+            self._all = written(self._all, "facts")
 
     def table(self, fact: str) -> DataFrame:
         return self._all.where(F.col("fact") == fact).drop("fact")
@@ -67,14 +66,23 @@ class Facts:
         return lines_of(self.docs)
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """A line's start is the byte length of what is before it, computed inside the row: no shuffle, whatever the sizes."""
+def lines_of(docs: DataFrame, short: int = 2000) -> DataFrame:
+    """(doc_id, line, s, e, text) of every line; a last empty line is none.
+
+    Starts are running byte sums: inside the row for texts of up to ``short`` lines, so those need no shuffle; for longer
+    ones, where that would cost the square of their lines, by a window over the text's own lines.
+    """
     parts = F.split("text", "\n", -1)
+    rows = docs.where(F.col("text") != "").select("doc_id", "text", F.size(parts).alias("n"))
     sizes = F.transform(parts, lambda p: F.octet_length(p) + 1)
     starts = F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    rows = docs.where(F.col("text") != "").select("doc_id", F.posexplode(F.arrays_zip(parts.alias("t"), F.slice(starts, F.lit(1), F.size(parts)).alias("s"))).alias("k", "x"), F.size(parts).alias("n"))
-    out = rows.select("doc_id", (F.col("k") + 1).alias("line"), F.col("x.s").alias("s"), (F.col("x.s") + F.octet_length("x.t")).alias("e"), F.col("x.t").alias("text"), "n")
-    return out.where((F.col("line") < F.col("n")) | (F.col("text") != "")).drop("n")
+    zipped = F.arrays_zip(parts.alias("t"), F.slice(starts, F.lit(1), F.size(parts)).alias("s"))
+    few = rows.where(F.col("n") <= short).select("doc_id", "n", F.posexplode(zipped).alias("k", "x")).select("doc_id", "n", "k", "x.t", "x.s")
+    before = W.partitionBy("doc_id", "id").orderBy("k").rowsBetween(W.unboundedPreceding, -1)
+    many = rows.where(F.col("n") > short).select("doc_id", "n", F.xxhash64("text").alias("id"), F.posexplode(parts).alias("k", "t"))
+    many = many.select("doc_id", "n", "k", "t", F.coalesce(F.sum(F.octet_length("t") + 1).over(before), F.lit(0)).cast("int").alias("s"))
+    out = few.unionByName(many).where((F.col("k") + 1 < F.col("n")) | (F.col("t") != ""))
+    return out.select("doc_id", (F.col("k") + 1).alias("line"), "s", (F.col("s") + F.octet_length("t")).alias("e"), F.col("t").alias("text"))
 
 
 def located(rows: DataFrame, docs: DataFrame) -> DataFrame:
