@@ -25,12 +25,12 @@ WINDOW = 256
 WIDTHS = (2, 4, 6)
 FILTERS = 16
 DIM = 12
-_LETTER = re.compile(r"[^\W\d_]")
+_MAY_BE_LETTER = re.compile(r"[^\W\d_]")  # also holds numerals such as fractions
 _STRIDE = WINDOW - max(WIDTHS) + 1
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    return bool(text) and any(m[0].isalpha() for m in _MAY_BE_LETTER.finditer(text))
 
 
 def windows(text: str) -> tuple[np.ndarray, np.ndarray]:

@@ -15,7 +15,7 @@ def text(rnd, lang, n):
 def test_held_out_accuracy_and_odd_rows(make_docs):
     rnd = random.Random(6)
     rows = [(k, text(rnd, lang, rnd.randint(3, 200)), lang) for k, lang in enumerate(rnd.choice(list(VOC)) for _ in range(600))]
-    odd = [(1000, None, "aa"), (1001, "", "aa"), (1002, "123 !!", "bb"), (1003, text(rnd, "bb", 20000), None), (None, text(rnd, "cc", 30), "cc")]
+    odd = [(1000, None, "aa"), (1001, "", "aa"), (1002, "123 !!", "bb"), (1003, text(rnd, "bb", 20000), None), (1004, "½ ² Ⅷ", "bb"), (None, text(rnd, "cc", 30), "cc")]
     docs = make_docs(rows + odd, "doc_id long, text string, lang string")
     out_col = langid.is_held_out(F.col("doc_id"))
     predictor = langid.train(docs.where(~out_col), per_language=100)
@@ -24,7 +24,7 @@ def test_held_out_accuracy_and_odd_rows(make_docs):
     held = [r for r in out if r.held and r.doc_id < 1000]
     assert len(held) > 100 and sum(r.lang == r.lang_pred for r in held) >= 0.97 * len(held)
     by = {r.doc_id: r for r in out}
-    assert [by[k].lang_pred for k in (1000, 1001, 1002)] == ["und"] * 3
+    assert [by[k].lang_pred for k in (1000, 1001, 1002, 1004)] == ["und"] * 4
     assert by[1003].lang_pred == "bb" and by[None].lang_pred == "cc" and by[None].held is False
 
 
