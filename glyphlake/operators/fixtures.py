@@ -10,6 +10,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from glyphlake.sources.scratch import spread
+
 K = "CAST(p_partkey AS VARCHAR(20))"
 NL = "chr(10)"
 
@@ -74,7 +76,7 @@ def slot_columns() -> str:
 
 def markdown_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text), one document per part."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand")
+    part = spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand"))
     text = " || ".join(f"CASE WHEN {cond} THEN {sql.replace('VARCHAR(20)', 'STRING')} ELSE '' END" for _, cond, sql in SLOTS)
     return part.selectExpr("CAST(p_partkey AS BIGINT) AS doc_id", f"{text} AS text")
 

@@ -19,7 +19,7 @@ EXPECTED: dict[str, list[Expect]] = {
     "math/unbalanced-delim": [Expect("delim", "5", "2", "6")],
     "math/unbalanced-env": [Expect("env", "0", "13", "1")],
     "math/unbalanced-braces": [Expect("braces", "2", "1", "3")],
-    "math/render-compat": [Expect("render", "3", "3", "4"), Expect("render", "12", "8", "13")],
+    "math/render-compat": [Expect("render", "3", "3", "4"), Expect("render", "12", "7", "13")],
     "adjacent-code-no-space": [Expect("adj", "5", "0", "6")],
     "heading-punctuation": [Expect("h1", f"7 + {_KL}", "1", f"8 + {_KL}", when="p_partkey % 4 = 0")],
     "orphan-reference-link": [Expect("orphan", "5", f"12 + {_KL}", "6")],

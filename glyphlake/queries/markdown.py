@@ -233,15 +233,20 @@ def cor15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("source").agg(F.sum(T.occurrences(F.col("text"), "$")).alias("dollars"), F.sum(T.occurrences(F.col("text"), "#")).alias("hashes"))
 
 
-@query("tex08_to_unicode", f"SELECT CAST(p_partkey AS BIGINT) AS doc_id, 'a/' || {K} || ' ≤α² ∈ℝ' AS text, 'lossless' AS status FROM part")
+_FORM = "CASE WHEN p_partkey % 2 = 0 THEN chr(92) || 'frac{a}{' ELSE '√{' END"
+
+
+@query("tex08_to_unicode", f"SELECT CAST(p_partkey AS BIGINT) AS doc_id, {_join(_FORM, K)} || '}} ≤ α² ∈ ℝ' AS text, CASE WHEN p_partkey % 2 = 0 THEN 'lossy' ELSE 'lossless' END AS status FROM part")
 def tex08(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glyphlake.tex.translate import translate
 
-    body = F.concat(F.lit(r"\frac{a}{"), F.col("p_partkey").cast("string"), F.lit(r"} \leq \alpha^{2} \in \mathbb{R}"))
+    start = F.when(F.col("p_partkey") % 2 == 0, F.lit(r"\frac{a}{")).otherwise(F.lit(r"\sqrt{{"))
+    end = F.when(F.col("p_partkey") % 2 == 0, F.lit("}")).otherwise(F.lit("}}"))
+    body = F.concat(start, F.col("p_partkey").cast("string"), end, F.lit(r" \leq \alpha^{2} \in \mathbb{R}"))
     return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("doc_id"), translate(body, "unicode").alias("x")).select("doc_id", "x.text", "x.status")
 
 
-@query("tex09_to_latex", f"SELECT CAST(p_partkey AS BIGINT) AS doc_id, {_join(K, _lit(chr(92) + 'alpha^2' + chr(92) + 'leq x_{10}'))} AS text FROM part")
+@query("tex09_to_latex", f"SELECT CAST(p_partkey AS BIGINT) AS doc_id, {_join(K, _lit(chr(92) + 'alpha^{2}' + chr(92) + 'leq x_{10}'))} AS text FROM part")
 def tex09(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glyphlake.tex.translate import translate
 

@@ -20,3 +20,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{base.rstrip('/')}/glyphlake/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than cores (a small table in one file) dealt out over the cores, for what follows is costly.
+
+    Only for plans without a shuffle; such a scan is at most a few file splits, and a larger one passes as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

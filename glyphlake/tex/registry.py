@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-_GREEK = "alpha α beta β gamma γ delta δ epsilon ϵ varepsilon ε zeta ζ eta η theta θ vartheta ϑ iota ι kappa κ lambda λ mu μ nu ν xi ξ pi π varpi ϖ rho ρ varrho ϱ sigma σ varsigma ς tau τ upsilon υ phi ϕ varphi φ chi χ psi ψ omega ω Gamma Γ Delta Δ Theta Θ Lambda Λ Xi Ξ Pi Π Sigma Σ Upsilon Υ Phi Φ Psi Ψ Omega Ω"
-_OPERATORS = "pm ± mp ∓ times × div ÷ cdot ⋅ ast ∗ star ⋆ circ ∘ bullet ∙ oplus ⊕ ominus ⊖ otimes ⊗ oslash ⊘ odot ⊙ cap ∩ cup ∪ uplus ⊎ sqcap ⊓ sqcup ⊔ vee ∨ wedge ∧ setminus ∖ wr ≀ dagger † ddagger ‡ amalg ⨿ diamond ⋄ triangleleft ◁ triangleright ▷"
-_RELATIONS = "leq ≤ le ≤ geq ≥ ge ≥ neq ≠ ne ≠ equiv ≡ sim ∼ simeq ≃ approx ≈ cong ≅ propto ∝ prec ≺ succ ≻ preceq ⪯ succeq ⪰ ll ≪ gg ≫ subset ⊂ supset ⊃ subseteq ⊆ supseteq ⊇ sqsubseteq ⊑ sqsupseteq ⊒ in ∈ ni ∋ notin ∉ vdash ⊢ dashv ⊣ models ⊨ perp ⊥ mid ∣ parallel ∥ asymp ≍ bowtie ⋈ doteq ≐"
-_ARROWS = "leftarrow ← gets ← rightarrow → to → leftrightarrow ↔ Leftarrow ⇐ Rightarrow ⇒ Leftrightarrow ⇔ uparrow ↑ downarrow ↓ updownarrow ↕ Uparrow ⇑ Downarrow ⇓ mapsto ↦ longrightarrow ⟶ longleftarrow ⟵ implies ⟹ iff ⟺ hookrightarrow ↪ hookleftarrow ↩ nearrow ↗ searrow ↘ swarrow ↙ nwarrow ↖ rightharpoonup ⇀ leftharpoonup ↼"
-_LARGE = "sum ∑ prod ∏ coprod ∐ int ∫ iint ∬ iiint ∭ oint ∮ bigcap ⋂ bigcup ⋃ bigvee ⋁ bigwedge ⋀ bigoplus ⨁ bigotimes ⨂"
-_MISC = "infty ∞ partial ∂ nabla ∇ forall ∀ exists ∃ nexists ∄ emptyset ∅ varnothing ∅ neg ¬ lnot ¬ top ⊤ bot ⊥ angle ∠ triangle △ square □ ell ℓ hbar ℏ Re ℜ Im ℑ aleph ℵ beth ℶ wp ℘ prime ′ dots … ldots … cdots ⋯ vdots ⋮ ddots ⋱ surd √ degree ° flat ♭ natural ♮ sharp ♯ clubsuit ♣ diamondsuit ♢ heartsuit ♡ spadesuit ♠ langle ⟨ rangle ⟩ lfloor ⌊ rfloor ⌋ lceil ⌈ rceil ⌉ lVert ‖ rVert ‖ Vert ‖ backslash \\ therefore ∴ because ∵ checkmark ✓ imath ı jmath ȷ"
+_GREEK = "alpha α beta β gamma γ delta δ epsilon ε varepsilon ϵ zeta ζ eta η theta θ vartheta ϑ iota ι kappa κ varkappa ϰ lambda λ mu μ nu ν xi ξ pi π varpi ϖ rho ρ varrho ϱ sigma σ varsigma ς tau τ upsilon υ phi φ varphi ϕ chi χ psi ψ omega ω Gamma Γ Delta Δ Theta Θ Lambda Λ Xi Ξ Pi Π Sigma Σ Upsilon Υ Phi Φ Psi Ψ Omega Ω"
+_OPERATORS = "boxtimes ⊠ pm ± mp ∓ times × div ÷ cdot ⋅ ast ∗ star ⋆ circ ∘ bullet • oplus ⊕ ominus ⊖ otimes ⊗ oslash ⊘ odot ⊙ cap ∩ cup ∪ uplus ⊎ sqcap ⊓ sqcup ⊔ vee ∨ wedge ∧ setminus ∖ wr ≀ dagger † ddagger ‡ amalg ⨿ diamond ⋄ triangleleft ◁ triangleright ▷ land ∧ lor ∨"
+_RELATIONS = "leqslant ⩽ geqslant ⩾ nsubset ⊄ nsupset ⊅ nsupseteq ⊉ subsetneq ⊊ supsetneq ⊋ nprec ⊀ leq ≤ le ≤ geq ≥ ge ≥ neq ≠ ne ≠ equiv ≡ sim ∼ simeq ≃ approx ≈ cong ≅ propto ∝ prec ≺ succ ≻ preceq ≼ succeq ≽ ll ≪ gg ≫ subset ⊂ supset ⊃ subseteq ⊆ supseteq ⊇ sqsubseteq ⊑ sqsupseteq ⊒ in ∈ ni ∋ notin ∉ vdash ⊢ dashv ⊣ models ⊨ perp ⊥ mid ∣ parallel ∥ asymp ≍ bowtie ⋈ doteq ≐"
+_ARROWS = "Longrightarrow ⟹ Longleftarrow ⟸ dashrightarrow ⇢ curvearrowright ↷ rightsquigarrow ↝ leftarrow ← gets ← to → rightarrow → leftrightarrow ↔ Leftarrow ⇐ Rightarrow ⇒ Leftrightarrow ⇔ uparrow ↑ downarrow ↓ updownarrow ↕ Uparrow ⇑ Downarrow ⇓ mapsto ↦ longrightarrow ⟶ longleftarrow ⟵ implies ⟹ iff ⟺ hookrightarrow ↪ hookleftarrow ↩ nearrow ↗ searrow ↘ swarrow ↙ nwarrow ↖ rightharpoonup ⇀ leftharpoonup ↼"
+_LARGE = "bigsqcup ⨆ sum ∑ prod ∏ coprod ∐ int ∫ iint ∬ iiint ∭ oint ∮ bigcap ⋂ bigcup ⋃ bigvee ⋁ bigwedge ⋀ bigoplus ⨁ bigotimes ⨂"
+_MISC = "complement ∁ lbrace { rbrace } lvert | rvert | infty ∞ partial ∂ nabla ∇ forall ∀ exists ∃ nexists ∄ emptyset ∅ varnothing ∅ neg ¬ lnot ¬ top ⊤ bot ⊥ angle ∠ triangle △ square □ ell ℓ hbar ℏ Re ℜ Im ℑ aleph ℵ beth ℶ wp ℘ prime ′ dots … ldots … cdots ⋯ vdots ⋮ ddots ⋱ surd √ degree ° flat ♭ natural ♮ sharp ♯ clubsuit ♣ diamondsuit ♢ heartsuit ♡ spadesuit ♠ langle ⟨ rangle ⟩ lfloor ⌊ rfloor ⌋ lceil ⌈ rceil ⌉ Vert ‖ lVert ‖ rVert ‖ backslash \\ therefore ∴ because ∵ checkmark ✓ imath ı jmath ȷ"
 
 
 def _pairs(words: str) -> dict[str, str]:
@@ -21,12 +21,13 @@ CATEGORY: dict[str, str] = {}
 for _name, _words in CATEGORIES.items():
     SYMBOLS |= _pairs(_words)
     CATEGORY |= {k: _name for k in _pairs(_words)}
-#: The preferred command of a character: the first one listed.
+#: The preferred command of a character: the first one listed. ASCII characters stand for themselves.
 COMMANDS: dict[str, str] = {}
 for _k, _v in SYMBOLS.items():
-    COMMANDS.setdefault(_v, _k)
+    if not _v.isascii():
+        COMMANDS.setdefault(_v, _k)
 
-FUNCTIONS = "sin cos tan cot sec csc arcsin arccos arctan sinh cosh tanh coth log ln lg exp det dim ker hom deg gcd max min sup inf lim limsup liminf arg Pr".split()
+FUNCTIONS = "im coker sin cos tan cot sec csc arcsin arccos arctan sinh cosh tanh coth log ln lg exp det dim ker hom deg gcd max min sup inf lim limsup liminf arg Pr".split()
 PARSED = "frac dfrac tfrac binom sqrt left right begin end text mathrm mathbf mathbb mathcal mathfrak mathsf mathtt mathit operatorname overline underline hat bar vec dot ddot tilde widehat widetilde boldsymbol mathop stackrel overset underset".split()
 SILENT = "displaystyle textstyle scriptstyle limits nolimits quad qquad".split()
 UNSUPPORTED = "newcommand renewcommand def let require input include label ref eqref tag cite href url color textcolor includegraphics hspace vspace phantom".split()
@@ -36,7 +37,7 @@ for _words, _cat in ((FUNCTIONS, "function"), (PARSED, "parsed"), (SILENT, "sile
 SUPER = dict(zip("0123456789+-=()niabcdefghjklmoprstuvwxyzTABDEGHIJKLMNOPRUVW", "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻⁼⁽⁾ⁿⁱᵃᵇᶜᵈᵉᶠᵍʰʲᵏˡᵐᵒᵖʳˢᵗᵘᵛʷˣʸᶻᵀᴬᴮᴰᴱᴳᴴᴵᴶᴷᴸᴹᴺᴼᴾᴿᵁⱽᵂ", strict=True))
 SUB = dict(zip("0123456789+-=()aehijklmnoprstuvx", "₀₁₂₃₄₅₆₇₈₉₊₋₌₍₎ₐₑₕᵢⱼₖₗₘₙₒₚᵣₛₜᵤᵥₓ", strict=True))
 UNSUPER, UNSUB = {v: k for k, v in SUPER.items()}, {v: k for k, v in SUB.items()}
-ACCENTS = {"hat": "\u0302", "bar": "\u0304", "vec": "\u20d7", "dot": "\u0307", "ddot": "\u0308", "tilde": "\u0303", "overline": "\u0305", "underline": "\u0332"}
+ACCENTS = {"hat": "\u0302", "bar": "\u0305", "vec": "\u20d7", "dot": "\u0307", "ddot": "\u0308", "tilde": "\u0303", "underline": "\u0332"}
 
 
 def _alphabet(upper: int, lower: int | None, digits: int | None = None, holes: str = "") -> dict[str, str]:

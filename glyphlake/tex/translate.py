@@ -10,7 +10,7 @@ from pyspark.sql import Column, functions as F
 
 from glyphlake.tex import registry as R
 
-_TOKEN = re.compile(r"\\([A-Za-z]+)\*?[ ]?|\\(.)|([{}^_&~])|(%[^\n]*)|(\s+)|(.)", re.S)
+_TOKEN = re.compile(r"\\([A-Za-z]+)|\\(.)|([{}^_&~])|(%[^\n]*)|(\s+)|(.)", re.S)
 
 
 @dataclass
@@ -43,14 +43,18 @@ def lex(body: str) -> list[Token]:
         elif m[3]:
             out.append(Token({"{": "open", "}": "close", "^": "super", "_": "sub", "&": "cell", "~": "space"}[m[3]], m[3] if m[3] != "~" else " ", s, e))
         elif m[5]:
-            out.append(Token("space", " ", s, e))
+            out.append(Token("space", m[5], s, e))
         elif m[6]:
             out.append(Token("char", m[6], s, e))
     return out
 
 
+class _Kept(Exception):
+    """A construct without a Unicode form: its source stays, and the reason is a loss."""
+
+
 class _Parser:
-    """Recursive descent over tokens; emits Unicode directly."""
+    """Recursive descent over tokens; emits Unicode directly. White space stays as it is in the source."""
 
     def __init__(self, body: str):
         self.body, self.tokens, self.at = body, lex(body), 0
@@ -59,147 +63,204 @@ class _Parser:
     def peek(self) -> Token | None:
         return self.tokens[self.at] if self.at < len(self.tokens) else None
 
+    def source(self, first: int) -> str:
+        """The source of the tokens from number ``first`` to here."""
+        return self.body[self.tokens[first].start : self.tokens[self.at - 1].end] if self.at > first else ""
+
     def skip(self) -> None:
         while (t := self.peek()) and t.kind == "space":
             self.at += 1
 
-    def group(self) -> str:
-        """One argument: a braced group or a single token."""
-        self.skip()
+    def ends(self, stop: str | None) -> bool:
         t = self.peek()
-        if t is None:
-            return ""
-        if t.kind == "open":
-            self.at += 1
-            inner = self.sequence("close")
-            if self.peek():
-                self.at += 1
-            else:
-                self.out.losses.append("unclosed group")
-            return inner
-        return self.one()
+        return t is None or t.kind == stop or (stop in ("right", "end") and t.kind == "command" and t.text == stop)
 
     def sequence(self, stop: str | None = None) -> str:
         parts = []
-        while (t := self.peek()) and not (t.kind == stop or (stop == "right" and t.kind == "command" and t.text == "right") or (stop == "end" and t.kind == "command" and t.text == "end")):
-            parts.append(self.one())
+        while not self.ends(stop):
+            parts.append(self.node())
         return "".join(parts)
 
-    def script(self, up: bool) -> str:
-        arg = self.group()
-        table = R.SUPER if up else R.SUB
-        self.out.edits += 1
-        if arg and all(c in table for c in arg):
-            return "".join(table[c] for c in arg)
-        if up and arg and set(arg) == {"′"}:
-            return arg
-        self.out.losses.append(f"{'superscript' if up else 'subscript'} {arg}")
-        mark = "^" if up else "_"
-        return mark + (arg if len(arg) == 1 else f"({arg})")
-
-    def one(self) -> str:
+    def group(self) -> str:
+        """The inside of one argument: a braced group or a single token."""
+        self.skip()
+        t = self.peek()
+        if t is None:
+            raise _Kept("an argument is missing")
+        if t.kind != "open":
+            return self.base()
+        self.at += 1
+        inner = self.sequence("close")
+        if self.peek() is None:
+            raise _Kept("unclosed group")
+        self.at += 1
+        if "\n" in inner:
+            raise _Kept("a body of several lines has no compact form")
+        return inner
+
+    def node(self) -> str:
+        """One construct with its scripts, or its source if any part of it has no Unicode form."""
+        first, losses = self.at, len(self.out.losses)
+        try:
+            t = self.tokens[first]
+            out = "" if t.kind in ("super", "sub") else self.base()
+            return out if t.kind == "space" else out + self.scripts()
+        except _Kept as reason:
+            self.at = max(self.at, first + 1)
+            del self.out.losses[losses:]
+            self.out.losses.append(str(reason))
+            return self.source(first)
+
+    def scripts(self) -> str:
+        """The subscript, then the superscript."""
+        found = {"sub": "", "super": ""}
+        while (t := self.peek()) and t.kind in found and not found[t.kind]:
+            self.at += 1
+            arg, table = self.group(), R.SUPER if t.kind == "super" else R.SUB
+            if not arg or any(c not in table for c in arg):
+                self.rest_of_scripts()
+                raise _Kept(f"{t.kind}script {arg} has no Unicode form")
+            found[t.kind] = "".join(table[c] for c in arg)
+        return found["sub"] + found["super"]
+
+    def rest_of_scripts(self) -> None:
+        while (t := self.peek()) and t.kind in ("super", "sub"):
+            self.at += 1
+            self.group()
+
+    def base(self) -> str:
         t = self.tokens[self.at]
         self.at += 1
         if t.kind == "open":
-            self.at -= 1
-            return self.group()
+            inner = self.sequence("close")
+            if self.peek() is None:
+                raise _Kept("unclosed group")
+            self.at += 1
+            return "{" + inner + "}"
         if t.kind == "close":
-            self.out.losses.append("unmatched brace")
-            return "}"
+            raise _Kept("unmatched brace")
         if t.kind in ("super", "sub"):
-            return self.script(t.kind == "super")
-        if t.kind == "cell":
-            return " "
-        if t.kind == "row":
-            return "; "
-        if t.kind == "char":
-            if t.text == "'":
-                self.out.edits += 1
-                return "′"
-            return t.text
-        if t.kind == "space":
-            return t.text
-        return self.command(t)
+            raise _Kept("a script follows a script mark")
+        if t.kind in ("cell", "row"):
+            raise _Kept("cells and rows have no Unicode form")
+        return self.command(t) if t.kind == "command" else t.text
+
+    def arguments(self) -> None:
+        """Pass over the groups that follow at once."""
+        while (t := self.peek()) and t.kind == "open":
+            depth = 0
+            while t := self.peek():
+                depth += (t.kind == "open") - (t.kind == "close")
+                self.at += 1
+                if not depth:
+                    break
 
     def command(self, t: Token) -> str:
         name = t.text
-        self.out.edits += 1
         if name in R.SYMBOLS:
+            if (back := R.COMMANDS.get(R.SYMBOLS[name], name)) != name:
+                self.out.losses.append(f"alias {name} comes back as {back}")
             return R.SYMBOLS[name]
         if name in R.FUNCTIONS:
-            n = self.peek()
-            return name + (" " if n and n.kind in ("char", "command") and n.text not in "([" else "")
+            return name
         if name in R.SILENT:
-            return " " if name.endswith("quad") else ""
-        if name in ("frac", "dfrac", "tfrac"):
-            return "/".join(x if re.fullmatch(r"[\w.]+|\(.*\)", x) else f"({x})" for x in (self.group(), self.group()))
-        if name == "binom":
-            return f"C({self.group()}, {self.group()})"
+            return ""
+        if name in ("frac", "dfrac", "tfrac", "binom", "overset", "underset", "stackrel"):
+            self.group(), self.group()
+            raise _Kept(f"{name} has no unambiguous Unicode form")
         if name == "sqrt":
-            index = ""
+            degree = ""
             if (n := self.peek()) and n.kind == "char" and n.text == "[":
                 self.at += 1
                 while (n := self.peek()) and n.text != "]":
-                    index += self.one()
+                    degree += self.node()
+                if self.peek() is None:
+                    raise _Kept("an unclosed degree")
                 self.at += 1
-            root = {"": "√", "2": "√", "3": "∛", "4": "∜"}.get(index)
-            arg = self.group()
-            if root is None:
-                root = "".join(R.SUPER.get(c, c) for c in index) + "√"
-            return root + (arg if len(arg) == 1 else f"({arg})")
-        if name in ("left", "right"):
-            self.skip()
-            if n := self.peek():
-                self.at += 1
-                return "" if n.text == "." else R.SYMBOLS.get(n.text, n.text)
-            return ""
+            body = self.group()
+            if any(c not in R.SUPER for c in degree):
+                raise _Kept("the degree of a root has no superscript form")
+            return "".join(R.SUPER[c] for c in degree) + "√" + body
+        if name == "left":
+            opening = self.delimiter()
+            inner = self.sequence("right")
+            if self.peek() is None:
+                raise _Kept("left without right")
+            self.at += 1
+            return opening + inner + self.delimiter()
         if name in R.ALPHABETS:
             arg, table = self.group(), R.ALPHABETS[name]
             if any(c not in table for c in arg if not c.isspace()):
-                self.out.losses.append(f"{name} {arg}")
+                raise _Kept(f"{name} {arg} has no Unicode form")
             return "".join(table.get(c, c) for c in arg)
         if name in R.ACCENTS:
-            arg = self.group()
-            if len(arg) != 1:
-                self.out.losses.append(f"{name} {arg}")
-            return "".join(c + R.ACCENTS[name] for c in arg) if name in ("overline", "underline") or len(arg) == 1 else arg
+            arg, mark = self.group(), R.ACCENTS[name]
+            if sum(not c.isspace() for c in arg) > 1:
+                return "{" + arg + "}" + mark
+            return "".join(c if c.isspace() else c + mark for c in arg)
         if name in ("text", "mathrm", "mathit", "operatorname", "boldsymbol", "mathop", "textbf", "textit", "textrm"):
+            if name == "operatorname" and (n := self.peek()) and n.text == "*":
+                self.at += 1
+            inner = self.group()
             if name in ("boldsymbol", "textbf", "textit"):
-                self.out.losses.append(f"style {name}")
-            return self.group()
-        if name in ("overset", "underset", "stackrel"):
-            over = self.group()
-            self.out.losses.append(f"{name} {over}")
-            return self.group()
+                raise _Kept(f"style {name} has no Unicode form")
+            return inner
         if name == "begin":
-            env = self.group()
-            inner = self.sequence("end")
+            self.group()
+            self.sequence("end")
             if self.peek():
                 self.at += 1
                 self.group()
-            left, right = {"pmatrix": "()", "bmatrix": "[]", "vmatrix": "||", "cases": "{ ", "matrix": "[]"}.get(env, "  ")
-            self.out.losses.append(f"environment {env}")
-            return (left + inner.strip() + right).strip()
-        if name == "end":
-            self.group()
-            return ""
-        self.out.losses.append(f"command {name}")
-        return self.body[t.start : t.end].rstrip() + (" " if t.end > t.start and self.body[t.end - 1 : t.end] == " " else "")
+            raise _Kept("an environment has no editable Unicode form")
+        self.arguments()
+        raise _Kept(f"command {name} is not supported")
+
+    def delimiter(self) -> str:
+        self.skip()
+        n = self.peek()
+        if n is None:
+            raise _Kept("a delimiter is missing")
+        self.at += 1
+        return "" if n.text == "." else R.SYMBOLS.get(n.text, n.text)
 
 
 def to_unicode(body: str) -> Translation:
     p = _Parser(body)
-    text = p.sequence()
-    while p.peek():
-        text += p.one()
-    p.out.text = text
-    if text == body:
-        p.out.edits = 0
+    p.out.text = p.sequence()
+    p.out.edits = int(p.out.text != body)
     return p.out
 
 
-def to_latex(text: str) -> Translation:
-    out, edits, i = [], 0, 0
+_PRIMES = {"′": "'", "″": "''", "‴": "'''"}
+_CLOSE = {"{": "}", "(": ")", "[": "]"}
+
+
+def _closing(text: str, at: int) -> int:
+    """Place of the bracket that closes the one at ``at``; -1 if none does."""
+    depth = 0
+    for k in range(at, len(text)):
+        depth += (text[k] == text[at]) - (text[k] == _CLOSE[text[at]])
+        if not depth:
+            return k
+    return -1
+
+
+def _atom(text: str, i: int) -> int:
+    """End of what a root or an accent stands over: a group, or one character with its scripts."""
+    end = _closing(text, i) + 1 if text[i : i + 1] == "{" else i + 1
+    end = max(end, min(i + 1, len(text)))
+    while end < len(text) and (text[end] in R.UNSUPER or text[end] in R.UNSUB):
+        end += 1
+    return end
+
+
+def _inside(text: str) -> str:
+    return text[1:-1] if text[:1] == "{" and text[-1:] == "}" else text
+
+
+def _latex(text: str) -> str:
+    marks = {v: k for k, v in R.ACCENTS.items()}
+    out, i = [], 0
     while i < len(text):
         c = text[i]
         for table, mark in ((R.UNSUPER, "^"), (R.UNSUB, "_")):
@@ -208,26 +269,63 @@ def to_latex(text: str) -> Translation:
                 while j < len(text) and text[j] in table:
                     j += 1
                 inner = "".join(table[x] for x in text[i:j])
-                out.append(mark + (inner if len(inner) == 1 else "{" + inner + "}"))
-                edits, i = edits + 1, j
+                if mark == "^" and text[j : j + 1] == "√":
+                    end = _atom(text, j + 1)
+                    out.append(f"\\sqrt[{inner}]{{{_latex(_inside(text[j + 1 : end]))}}}")
+                    j = end
+                else:
+                    out.append(f"{mark}{{{inner}}}")
+                i = j
                 break
         else:
-            follow = text[i + 1] if i + 1 < len(text) else ""
-            if c in R.COMMANDS and c != "\\":
-                out.append("\\" + R.COMMANDS[c] + (" " if follow.isalpha() and follow.isascii() else ""))
-                edits += 1
+            if c == "√":
+                end = _atom(text, i + 1)
+                out.append(f"\\sqrt{{{_latex(_inside(text[i + 1 : end]))}}}")
+                i = end
+                continue
+            if c in "^_" and i + 1 < len(text) and not text[i + 1].isspace():
+                bracket = text[i + 1] in _CLOSE and _closing(text, i + 1)
+                if bracket and bracket > 0:
+                    out.append(f"{c}{{{_latex(text[i + 2 : bracket])}}}")
+                    i = bracket + 1
+                    continue
+                if text[i + 1] != "\\":
+                    out.append(f"{c}{{{_latex(text[i + 1])}}}")
+                    i += 2
+                    continue
+            if c == "{" and (end := _closing(text, i)) > 0 and text[end + 1 : end + 2] in marks:
+                out.append(f"\\{marks[text[end + 1]]}{{{_latex(text[i + 1 : end])}}}")
+                i = end + 2
+                continue
+            follow = text[i + 1 : i + 2]
+            if c == "\\":  # a command stays
+                m = re.match(r"\\(?:[A-Za-z]+|.)?", text[i:], re.S)
+                out.append(m[0])
+                i += len(m[0])
+                continue
+            if c in _PRIMES:
+                out.append(_PRIMES[c])
+            elif follow and follow in marks:
+                out.append(f"\\{marks[follow]}{{{_latex(c)}}}")
+                i += 1
+            elif c in R.COMMANDS:
+                apart = follow.isalnum() and follow not in R.UNSUPER and follow not in R.UNSUB and follow not in R.COMMANDS and follow not in R.FROM_ALPHABET
+                out.append("\\" + R.COMMANDS[c] + " " * apart)
             elif c in R.FROM_ALPHABET:
-                name, k = R.FROM_ALPHABET[c]
-                out.append(f"\\{name}{{{k}}}")
-                edits += 1
-            elif follow in R.ACCENTS.values() and follow:
-                name = next(k for k, v in R.ACCENTS.items() if v == follow)
-                out.append(f"\\{name}{{{c}}}")
-                edits, i = edits + 1, i + 1
+                name, j = R.FROM_ALPHABET[c][0], i
+                while j < len(text) and R.FROM_ALPHABET.get(text[j], ("",))[0] == name:
+                    j += 1
+                out.append(f"\\{name}{{{''.join(R.FROM_ALPHABET[x][1] for x in text[i:j])}}}")
+                i = j - 1
             else:
                 out.append(c)
             i += 1
-    return Translation("".join(out), edits)
+    return "".join(out)
+
+
+def to_latex(text: str) -> Translation:
+    out = _latex(text)
+    return Translation(out, int(out != text))
 
 
 def events(body: str) -> list[tuple[str, str, int, int, bool]]:
