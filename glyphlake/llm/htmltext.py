@@ -1,20 +1,20 @@
-"""Main text of web pages: page structure first, then differencing against the nearest URL of the same host.
+"""Main text of web pages: page structure as a hint, and differencing against the nearest URL of the same host.
 
-Each page is read once into blocks of text. Elements whose nature their tag or class names give away (navigation, footers,
-adverts, forms, scripts, comments, ...) are dropped at once. If the page marks its article (``article`` or ``main``), the
-blocks directly in it are kept and the rest of the page is dropped; a block inside the article but in an unnamed
-container is undecided. On a page without such a mark, every remaining block is undecided.
+Each page is read into blocks of text. Elements whose nature their tag or class names give away (navigation, footers,
+adverts, forms, scripts, comments, ...) are dropped at once. Blocks directly in the page's article (``article`` or ``main``)
+are marked as such, which is only a hint; all other blocks are open.
 
-Undecided pages are paired with their nearest URL: within a host, equal pages are merged, the rest sorted by path, and of
-the two neighbours the one with the longer common path is taken. The pair's undecided lines are aligned by longest common
-subsequence, and the shared lines, which are the site's and not the page's, are deleted. A page that would lose all its
-text that way (its partner contains it) keeps it.
+Every page is paired with its nearest URL: within a host, equal pages are merged, the rest sorted by path, and of the two
+neighbours the one with the longer common path is taken. The lines of the pair that were not dropped, those of the
+article too, are aligned by longest common subsequence, and the shared lines, which are the site's and not the page's, are
+deleted. Where ``SAME`` or more of the article's characters are shared, the two are versions of one article, whose lines
+stay. A page that would lose all its text (its partner contains it) keeps it.
 
 Sorting is a range partitioning over (host, path, content), so a host of any size is spread over many tasks; neighbours
 across partitions are filled in from the two end rows of each.
 
 Defined results: null or empty html gives an empty text; a null URL is host and path "" ; repeated rows are each reported
-with the same text; a page alone on its host keeps its undecided blocks; empty tables give empty results; extra columns
+with the same text; a page alone on its host keeps all that its tags do not drop; empty tables give empty results; extra columns
 are ignored.
 """
 
@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+import zlib
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -56,6 +57,7 @@ _PLAIN = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt",
 _CLOSES_P = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "dl", "blockquote", "pre", "table", "section", "article", "main", "div", "address", "figure", "hr",
              "nav", "header", "footer", "aside", "form", "fieldset", "details", "menu"}
 DROPPED, KEPT, OPEN = 0, 1, 2
+SAME = 0.9
 
 
 def _words(attrs: str) -> set[str]:
@@ -67,9 +69,9 @@ def blocks_of(page: str | None) -> list[tuple[str, int]]:
     """(text, DROPPED/KEPT/OPEN) of each block of a page in order; white space is collapsed, references are decoded."""
     if not page:
         return []
-    out: list[tuple[str, int, bool]] = []
+    out: list[tuple[str, int]] = []
     stack: list[tuple[str, int, bool]] = []  # tag, state, inside an article
-    state, inside, marked = OPEN, False, False
+    state, inside = OPEN, False
     text: list[str] = []
     at = 0
 
@@ -77,7 +79,7 @@ def blocks_of(page: str | None) -> list[tuple[str, int]]:
         if text:
             joined = " ".join(html.unescape("".join(text)).split())
             if joined:
-                out.append((joined, state, inside))
+                out.append((joined, state))
             text.clear()
 
     for m in _PIECE.finditer(page):
@@ -119,13 +121,13 @@ def blocks_of(page: str | None) -> list[tuple[str, int]]:
             if tag in _DROP_TAGS or hidden:
                 state = DROPPED
             elif tag in ("article", "main"):
-                state, inside, marked = KEPT, True, True
+                state, inside = KEPT, True
             elif inside and tag not in _PLAIN and not (tag == "div" and state == KEPT and not m[4].strip()):
                 state = OPEN
     if at < len(page):
         text.append(page[at:])
     flush()
-    return [(t, DROPPED if marked and not within else s) for t, s, within in out]
+    return out
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -175,12 +177,15 @@ def _shared_prefix(a: str, b: str) -> int:
     return n
 
 
-def without_shared(lines: list[str], states: list[int], partner: list[str]) -> str:
-    """Kept and undecided lines, less the undecided ones that the partner page shares."""
-    open_at = [k for k, s in enumerate(states) if s == OPEN]
-    gone = {open_at[k] for k in common_lines([lines[k] for k in open_at], partner)}
-    left = [t for k, (t, s) in enumerate(zip(lines, states, strict=True)) if s != DROPPED and k not in gone]
-    return " ".join(left or [t for t, s in zip(lines, states, strict=True) if s != DROPPED])
+def without_shared(lines: list[str], states: list[int], partner: list, names: list | None = None) -> str:
+    """The lines that are not dropped, less those that the partner page shares; ``partner`` holds its lines or, with ``names``
+    of these lines, its names."""
+    alive = [k for k, s in enumerate(states) if s != DROPPED]
+    gone = {alive[k] for k in common_lines([(names or lines)[k] for k in alive], partner)}
+    article = sum(len(lines[k]) for k in alive if states[k] == KEPT)
+    if article and sum(len(lines[k]) for k in gone if states[k] == KEPT) >= SAME * article:
+        gone = {k for k in gone if states[k] == OPEN}
+    return " ".join([lines[k] for k in alive if k not in gone] or [lines[k] for k in alive])
 
 
 def _neighbours(keys: DataFrame, ws: Workspace) -> DataFrame:
@@ -235,38 +240,59 @@ def _neighbours(keys: DataFrame, ws: Workspace) -> DataFrame:
     return whole.select("host", "path", "content", "before", "after").mapInArrow(nearest, "host string, path string, content string, partner string")
 
 
+def _names(lines: list[str]) -> bytes:
+    """A name of 12 bytes for each line."""
+    return b"".join(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=12).digest() for t in lines)
+
+
+def _split_names(names: bytes | None) -> list[bytes]:
+    return [names[k : k + 12] for k in range(0, len(names or b""), 12)]
+
+
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per page: id, url, text."""
+    """One row per page: id, url, text.
+
+    Pages are read twice: first for the names of their lines, which are all that pairing and alignment need, then for their
+    lines, which are moved once, compressed, to the names of the partner.
+    """
     ws = Workspace(pages.sparkSession, "htmltext")
 
-    def read(page: str | None) -> tuple:
-        found = blocks_of(page)
-        if all(s != OPEN for _, s in found):
-            return " ".join(t for t, s in found if s == KEPT), None, None, None
-        lines, states = [t for t, s in found if s != DROPPED], [s for _, s in found if s != DROPPED]
-        content = hashlib.sha256("\n".join(f"{s}{t}" for t, s in zip(lines, states, strict=True)).encode("utf-8", "surrogatepass")).hexdigest()
-        return None, lines, states, content
-
-    parsed = ws.save(map_texts(pages, html_col, {"id": id_col, "url": url_col}, "text string, lines array<string>, states array<int>, content string", read), "parsed")
-    done = parsed.where("content is null").select("id", "url", "text")
-    undecided = parsed.where("content is not null").drop("text")
-    if undecided.isEmpty():
-        out = done
-    else:
-        placed = map_texts(undecided.withColumn("link", F.col("url")), "link", {c: c for c in undecided.columns}, "host string, path string", lambda u: tuple(x.replace("\n", " ") for x in split_url(u)))
-        placed = ws.save(placed, "undecided")
-        first = placed.groupBy("host", "content").agg(F.min("path").alias("path"))
-        pairs = ws.save(_neighbours(first.select("host", "path", "content"), ws), "pairs")
-        only_open = F.transform(F.filter(F.arrays_zip("lines", "states"), lambda x: x["states"] == OPEN), lambda x: x["lines"])
-        texts = placed.select(F.col("content").alias("c"), only_open.alias("partner_lines")).dropDuplicates(["c"])
-        paired = pairs.where("partner is not null").join(texts, F.col("partner") == F.col("c")).select(F.col("host").alias("h"), F.col("content").alias("k"), "partner_lines")
-        joined = placed.join(paired, (F.col("host") == F.col("h")) & (F.col("content") == F.col("k")), "left").select("id", "url", "lines", "states", "partner_lines")
-
-        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([without_shared(a, b, c or []) for a, b, c in rows], type=pa.string())], names=["id", "url", "text"])
-
-        ids = dict(parsed.dtypes)["id"]
-        out = done.unionByName(joined.mapInArrow(cut, f"id {ids}, url string, text string"))
+    def alive(page: str | None) -> tuple[list[str], list[int], str]:
+        found = [(t, s) for t, s in blocks_of(page) if s != DROPPED]
+        content = hashlib.sha256("\n".join(f"{s}{t}" for t, s in found).encode("utf-8", "surrogatepass")).hexdigest()
+        return [t for t, _ in found], [s for _, s in found], content
+
+    def named(page: str | None) -> tuple:
+        lines, _, content = alive(page)
+        return content, _names(lines)
+
+    def packed(page: str | None) -> tuple:
+        lines, states, content = alive(page)
+        return content, zlib.compress("\n".join(f"{s}{t}" for t, s in zip(lines, states, strict=True)).encode("utf-8", "surrogatepass"))
+
+    def place(url: str | None) -> tuple:
+        return tuple(x.replace("\n", " ") for x in split_url(url))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return map_texts(rows.withColumn("link", F.col("url")), "link", {c: c for c in rows.columns}, "host string, path string", place)
+
+    keys = map_texts(pages, html_col, {"url": url_col}, "content string, names binary", named).where("length(names) > 0")
+    keys = placed(keys).groupBy("host", "content").agg(F.min("path").alias("path"), F.first("names").alias("names"))
+    keys = ws.save(keys, "keys")
+    pairs = ws.save(_neighbours(keys.select("host", "path", "content"), ws), "pairs").where("partner is not null")
+    partners = pairs.select("host", F.col("content").alias("k"), F.col("partner").alias("content")).join(keys.select("host", "content", "names"), ["host", "content"])
+    partners = partners.select(F.col("host").alias("h"), "k", "names")
+    rows = placed(map_texts(pages, html_col, {"id": id_col, "url": url_col}, "content string, packed binary", packed)).drop("path")
+    joined = rows.join(partners, (F.col("host") == F.col("h")) & (F.col("content") == F.col("k")), "left").select("id", "url", "packed", "names")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for data, names in zip(*(batch.column(k).to_pylist() for k in (2, 3)), strict=True):
+                found = zlib.decompress(data).decode("utf-8", "surrogatepass")
+                lines, states = ([x[1:] for x in found.split("\n")], [int(x[0]) for x in found.split("\n")]) if found else ([], [])
+                texts.append(without_shared(lines, states, _split_names(names), _split_names(_names(lines))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, type=pa.string())], names=["id", "url", "text"])
+
+    out = joined.mapInArrow(cut, f"id {dict(rows.dtypes)['id']}, url string, text string")
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text")

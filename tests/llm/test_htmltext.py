@@ -91,6 +91,20 @@ def test_neighbours_across_partitions(spark):
     assert {(r.host, r.path): r.partner for r in found} == want
 
 
+def test_differencing_within_articles(spark):
+    said = [[f"page {k} says {w} in a line of its own" for w in ("one", "two")] for k in range(6)]
+    page = lambda k: f"<article><h1>Head {k}</h1><p>{said[k][0]}</p><p>Site notice</p><div>{said[k][1]}</div></article><div class='box'>Ask us</div>"
+    rows = [(k, f"https://site.example/a/{k}", page(k)) for k in range(6)]
+    rows += [(10, "https://teaser.example/1", "<article><p>teaser</p></article><div id='text'>main text</div>"), (11, "https://none.example/1", "<nav>n</nav>")]
+    long = [f"<p>paragraph {k} of a long article</p>" for k in range(30)]
+    rows += [(20 + k, f"https://copy.example/{k}", f"<article>{''.join(long)}<p>edit {k}</p></article>") for k in range(2)]
+    by = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len(by) == len(rows)
+    assert [by[k] for k in range(6)] == [f"Head {k} {' '.join(said[k])}" for k in range(6)]  # shared lines go, in the article and beside it
+    assert by[10] == "teaser main text" and by[11] == ""
+    assert by[20].count("paragraph") == by[21].count("paragraph") == 30 and by[21].endswith("edit 1")  # versions of one article
+
+
 def test_page_that_its_partner_contains_keeps_its_text():
     assert without_shared(["a", "b"], [OPEN, OPEN], ["a", "b", "c"]) == "a b"
 
