@@ -1,8 +1,10 @@
 """Main text of web pages: page structure as a hint, and differencing against the nearest URL of the same host.
 
-Each page is read into blocks of text. Elements whose nature their tag or class names give away (navigation, footers,
-adverts, forms, scripts, comments, ...) are dropped at once. Blocks directly in the page's article (``article`` or ``main``)
-are marked as such, which is only a hint; all other blocks are open.
+Each page is read into blocks of text. Elements whose nature their tag, or a whole class, id or role name, gives away
+(navigation, footers, adverts, forms, scripts, comments, ...) are dropped at once. Blocks directly in the page's article
+(``article`` or ``main``) are marked as such, which is only a hint; all other blocks are open, those of elements with such
+a word in a longer name among them. An article's header stays. Articles are not dropped for their own names, nor is what
+holds the page's article: where none is outside dropped elements, the longest one inside, if it is longer than all text outside.
 
 Every page is paired with its nearest URL: within a host, equal pages are merged, the rest sorted by path, and of the two
 neighbours the one with the longer common path is taken. The lines of the pair that were not dropped, those of the
@@ -60,18 +62,39 @@ DROPPED, KEPT, OPEN = 0, 1, 2
 SAME = 0.9
 
 
-def _words(attrs: str) -> set[str]:
-    found = " ".join(a or b or c for a, b, c in _HINT.findall(attrs))
-    return set(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", found).lower())) if found else set()
+def _hints(attrs: str) -> tuple[bool, bool]:
+    """Whether a whole name is a word of hidden elements, and whether a part of a name is."""
+    found = " ".join(a or b or c for a, b, c in _HINT.findall(attrs)) if attrs else ""
+    if not found:
+        return False, False
+    parts = re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", found).lower())
+    return not _HIDDEN_WORDS.isdisjoint(found.lower().split()), not _HIDDEN_WORDS.isdisjoint(parts)
 
 
 def blocks_of(page: str | None) -> list[tuple[str, int]]:
     """(text, DROPPED/KEPT/OPEN) of each block of a page in order; white space is collapsed, references are decoded."""
-    if not page:
-        return []
+    out, hidden, around = _read(page, frozenset())
+    seen: dict[int, int] = {}
+    for (text, _), k in zip(out, hidden, strict=True):
+        if k:
+            seen[k] = seen.get(k, 0) + len(text)
+    if seen and all(s != KEPT for _, s in out):
+        best = max(seen, key=lambda k: (seen[k], -k))
+        if seen[best] > sum(len(t) for t, s in out if s != DROPPED):
+            out, _, _ = _read(page, around[best])
+    return out
+
+
+def _read(page: str | None, spared: frozenset[int]) -> tuple[list[tuple[str, int]], list[int], dict[int, frozenset[int]]]:
+    """Blocks; for each the number of the article around it inside a dropped element (0: none); for each such article the
+    numbers of the elements around it. Elements in ``spared`` are not dropped."""
     out: list[tuple[str, int]] = []
-    stack: list[tuple[str, int, bool]] = []  # tag, state, inside an article
-    state, inside = OPEN, False
+    hidden: list[int] = []
+    around: dict[int, frozenset[int]] = {}
+    if not page:
+        return out, hidden, around
+    stack: list[tuple[str, int, bool, int, int]] = []  # tag, number; before it: state, inside an article, article inside a dropped element
+    state, inside, within, number = OPEN, False, 0, 0
     text: list[str] = []
     at = 0
 
@@ -80,6 +103,7 @@ def blocks_of(page: str | None) -> list[tuple[str, int]]:
             joined = " ".join(html.unescape("".join(text)).split())
             if joined:
                 out.append((joined, state))
+                hidden.append(within)
             text.clear()
 
     for m in _PIECE.finditer(page):
@@ -92,8 +116,7 @@ def blocks_of(page: str | None) -> list[tuple[str, int]]:
                 pass
             continue
         if tag in _INLINE:
-            hints = _words(m[4]) & _HIDDEN_WORDS if m[4] and not m[2] else ()
-            if not hints and not (stack and stack[-1][0] == tag):
+            if not (m[4] and not m[2] and any(_hints(m[4]))) and not (stack and stack[-1][0] == tag):
                 continue
             if tag in _VOID:
                 continue
@@ -103,31 +126,38 @@ def blocks_of(page: str | None) -> list[tuple[str, int]]:
         if m[2]:
             if any(t == tag for t, *_ in stack):
                 while stack:
-                    t, state, inside = stack.pop()
+                    t, state, inside, within, _ = stack.pop()
                     if t == tag:
                         break
             continue
         if m[4].rstrip().endswith("/") and tag not in _PLAIN and tag != "div":
             continue
         if tag in _CLOSES_P and stack and stack[-1][0] == "p":
-            _, state, inside = stack.pop()
+            _, state, inside, within, _ = stack.pop()
         if tag in ("li", "dt", "dd", "tr", "td", "th") and stack and stack[-1][0] == tag:
-            _, state, inside = stack.pop()
-        stack.append((tag, state, inside))
-        if state != DROPPED:
-            hidden = _words(m[4]) & _HIDDEN_WORDS if m[4] else ()
-            if tag in ("html", "body"):
-                hidden = ()
-            if tag in _DROP_TAGS or hidden:
-                state = DROPPED
-            elif tag in ("article", "main"):
-                state, inside = KEPT, True
-            elif inside and tag not in _PLAIN and not (tag == "div" and state == KEPT and not m[4].strip()):
-                state = OPEN
+            _, state, inside, within, _ = stack.pop()
+        number += 1
+        stack.append((tag, state, inside, within, number))
+        if state == DROPPED:
+            if tag in ("article", "main") and not within:
+                within = number
+                around[number] = frozenset(x[4] for x in stack)
+            continue
+        whole, part = _hints(m[4]) if tag not in ("html", "body") else (False, False)
+        if tag in ("article", "main"):
+            state, inside = (OPEN if whole and not inside else KEPT), True
+        elif number in spared:
+            state = OPEN
+        elif tag == "header" and inside:
+            state = OPEN if part else state
+        elif tag in _DROP_TAGS or whole:
+            state = DROPPED
+        elif part or (inside and tag not in _PLAIN and not (tag == "div" and state == KEPT and not m[4].strip())):
+            state = OPEN
     if at < len(page):
         text.append(page[at:])
     flush()
-    return out
+    return out, hidden, around
 
 
 def split_url(url: str | None) -> tuple[str, str]:

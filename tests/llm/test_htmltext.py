@@ -31,6 +31,21 @@ def test_odd_pages():
     assert [s for _, s in blocks_of('<div class="nav">m</div><p>t</p>')] == [DROPPED, OPEN]
 
 
+def left(page):
+    return " ".join(t for t, s in blocks_of(page) if s != DROPPED)
+
+
+def test_words_in_longer_names_and_what_holds_the_article():
+    assert left("<div class='layout no-sidebar'><p>a</p></div>") == "a"
+    assert kept("<main class='with-sidebar'><p>a</p></main>") == kept("<article class='post comments-open'><p>a</p></article>") == "a"
+    assert left("<article class='notice'><p>a</p></article>") == left("<article><p class='social-share'>a</p></article>") == "a"
+    assert kept("<header>Site</header><article><header><h1>a</h1></header><p>b</p></article>") == "a b"
+    assert left("<form id='form'><div class='search'><article><p>text</p><div class='ad'>x</div></article></div></form><footer>f</footer>") == "text"
+    assert left("<article><p>long text</p></article><div class='comments'><article>an even longer comment</article></div>") == "long text"
+    assert left("<p>the page's text</p><aside><article>teaser</article></aside>") == "the page's text"
+    assert [s for _, s in blocks_of("<div class='main side'>m</div><p class='side-by-side'>t</p>")] == [DROPPED, OPEN]
+
+
 def lcs(a, b):
     t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
