@@ -3,8 +3,10 @@
 Equal vectors of a label are merged first and carry their number, so a group of copies of any size is one node. A label
 with more than ``cap`` distinct vectors is spread over several shards by hash; each shard's graph is built in one task and
 stored. Queries go to every shard of their label in blocks of bounded size. In each block a hashed twentieth of the
-queries (at least 32) is compared with the whole shard by brute force, and the beam is doubled until the share of their
-links that the graph finds reaches ``recall``. Candidates are verified in double precision.
+queries (at least 32) is compared with the whole shard by brute force, and ever more of them until ``LINKED`` have a link
+to another vector; a block with fewer is thereby searched exactly as a whole. The beam is doubled until the share of their
+links, without themselves, that the graph finds reaches ``recall``, over all links and on average over these queries.
+Candidates are verified in double precision.
 
 A block returns the number of links of each vector, and of the links themselves only as many as join what they join.
 
@@ -23,6 +25,7 @@ from glyphlake.llm.common import Workspace
 from glyphlake.llm.components import connected_components
 from glyphlake.llm.hnsw import Index
 
+LINKED = 100
 _SLACK = 1e-5  # the graph works in single precision
 
 
@@ -44,20 +47,37 @@ def _exact(unit: np.ndarray, q: np.ndarray, least: float, block: int = 256) -> l
     return [np.flatnonzero(row >= least) for k in range(0, len(q), block) for row in q[k : k + block] @ unit.T]
 
 
-def audited(index: Index, unit: np.ndarray, q: np.ndarray, audit: np.ndarray, least: float, recall: float, ef: int) -> list[np.ndarray]:
-    """For each query the verified nodes with cosine >= least; the beam is doubled until the audit passes."""
-    truth = _exact(unit, q[audit], least)
-    want = sum(map(len, truth))
+def audited(
+    index: Index, unit: np.ndarray, q: np.ndarray, order: np.ndarray, least: float, recall: float, ef: int, reps: np.ndarray, mine: np.ndarray
+) -> list[np.ndarray]:
+    """For each query the verified nodes with cosine >= least, without itself (nodes are named ``reps``, queries ``mine``).
 
-    def found(some: np.ndarray, beam: int) -> list[np.ndarray]:
-        return [c[(unit[c] @ v) >= least] for c, v in zip(index.near(some, least - _SLACK, beam), some, strict=True)]
+    Queries are audited in the order given until LINKED of them have links; then the beam is doubled until the audit passes.
+    """
 
-    while ef < len(unit):
-        got = sum(len(np.intersect1d(a, b)) for a, b in zip(truth, found(q[audit], ef), strict=True))
-        if got >= recall * want:
-            return found(q, ef)
-        ef *= 2
-    return _exact(unit, q, least)
+    def others(hits: list[np.ndarray], at: np.ndarray) -> list[np.ndarray]:
+        return [h[reps[h] != me] for h, me in zip(hits, mine[at], strict=True)]
+
+    def found(at: np.ndarray, beam: int) -> list[np.ndarray]:
+        return others([c[(unit[c] @ v) >= least] for c, v in zip(index.near(q[at], least - _SLACK, beam), q[at], strict=True)], at)
+
+    out: dict[int, np.ndarray] = {}
+    upto = max(32, len(q) // 20)
+    while len(out) < len(q) and sum(len(t) > 0 for t in out.values()) < LINKED:
+        at = order[len(out) : upto]
+        out.update(zip(at.tolist(), others(_exact(unit, q[at], least), at), strict=True))
+        upto *= 2
+    rest = order[len(out) :]
+    if len(rest):
+        linked = np.array([k for k, t in out.items() if len(t)])
+        want = np.array([len(out[k]) for k in linked])
+        while ef < len(unit):
+            got = np.array([len(np.intersect1d(out[k], f)) for k, f in zip(linked, found(linked, ef), strict=True)])
+            if got.sum() >= recall * want.sum() and (got / want).mean() >= recall:
+                break
+            ef *= 2
+        out.update(zip(rest.tolist(), found(rest, ef) if ef < len(unit) else others(_exact(unit, q[rest], least), rest), strict=True))
+    return [out[k] for k in range(len(q))]
 
 
 def link_vectors(
@@ -106,12 +126,11 @@ def link_vectors(
         unit = np.frombuffer(one["unit"], dtype=np.float64).reshape(len(reps), -1)
         q = q.sort_values(["node", "rep"])
         mine = q["rep"].to_numpy()
-        audit = np.argsort(q["node"].to_numpy().astype(np.uint64) % np.uint64(1009), kind="stable")[: max(32, len(q) // 20)]
-        found = audited(index, unit, _unit(np.stack(q["v"].to_numpy())), audit, least, recall, ef)
+        order = np.argsort(q["node"].to_numpy().astype(np.uint64) % np.uint64(1009), kind="stable")
+        found = audited(index, unit, _unit(np.stack(q["v"].to_numpy())), order, least, recall, ef, reps, mine)
         label = np.arange(len(reps))
         out: list[tuple[int, int, int]] = []
-        for me, hits in zip(mine.tolist(), found, strict=True):
-            other = hits[reps[hits] != me]
+        for me, other in zip(mine.tolist(), found, strict=True):
             out.append((me, int(copies[other].sum()), me))
             if len(other):
                 groups, first = np.unique(label[other], return_index=True)

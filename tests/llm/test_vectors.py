@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from glyphlake.llm.hnsw import Index
-from glyphlake.llm.vectors import _levels, link_vectors
+from glyphlake.llm.vectors import _levels, audited, link_vectors
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -76,6 +76,30 @@ def test_recall_of_the_graph():
     assert sum(truth[k][np.unique(f)].sum() for k, f in enumerate(found)) >= 0.95 * truth.sum()
 
 
+class Blind:
+    """An index that finds nothing but the query itself."""
+
+    def __init__(self, x):
+        self.x = x
+
+    def near(self, q, least, ef):
+        return [np.array([int(np.argmax(self.x @ v))]) for v in q]
+
+
+def test_audit_does_not_count_a_vector_s_match_with_itself():
+    rng = np.random.default_rng(3)
+    for pairs in (15, 1000):  # links too few to judge by, and enough
+        x = rng.normal(size=(2000, 24))
+        x[:pairs] = x[1000 : 1000 + pairs] + 0.01 * rng.normal(size=(pairs, 24))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        names = np.arange(len(x)) + 7
+        found = audited(Blind(x), x, x, rng.permutation(len(x)), 0.98, 0.98, 32, names, names)
+        assert [k for k, f in enumerate(found) if len(f)] == [*range(pairs), *range(1000, 1000 + pairs)]
+        assert all(f.tolist() == [(k + 1000) % 2000] for k, f in enumerate(found) if len(f))
+        graph = audited(Index(x, _levels(names, 16)), x, x, rng.permutation(len(x)), 0.98, 0.98, 32, names, names)
+        assert sum(map(len, graph)) >= 0.98 * 2 * pairs
+
+
 def test_tiny_indexes():
     for n in (1, 2, 3):
         x = np.eye(4)[:n]
