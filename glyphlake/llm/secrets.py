@@ -5,13 +5,13 @@ more characters is a candidate. Its encoding is inferred (hex, base 32, one-case
 tests ask how far its symbols are from uniform and independent: chi-squared over the alphabet, runs about the alphabet's
 middle, and lag-1 serial correlation. Together they give one statistic that is small for random strings.
 
-How often running text looks as random as that is counted over the whole corpus: the statistic of every window of letters
-of every document (candidates left out), by length class, as a histogram. A candidate's p-value is the share of text windows of its length
-class (the longest one that is not above its own length) with a statistic as small; short tokens have large p-values by
-themselves. The Benjamini-Hochberg procedure over all candidates of the corpus then sets the cut. Decimal numbers are
+How often running text looks as random as that is counted over the whole corpus: windows of 128 letters start at every
+64th letter of every document (candidates left out), and the statistic of each one's first n letters is counted for every
+n from 20 to 128, or as far as the text goes, as a histogram. A candidate's p-value is the share of text windows of its own
+length (128 for longer ones) with a statistic as small; short tokens have large p-values by themselves. The Benjamini-Hochberg procedure over all candidates of the corpus then sets the cut. Decimal numbers are
 not secrets and are no candidates.
 
-Two scans, no shuffle but that of the histogram, which has at most a few hundred rows. Defined results: null text is
+Two scans, no shuffle but that of the histogram, which has at most 2 * 109 * 120 rows. Defined results: null text is
 empty; repeated rows are each reported; empty tables give empty results; extra columns are ignored.
 """
 
@@ -36,7 +36,8 @@ _ASSIGN = re.compile(
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-LENGTHS = (20, 32, 48, 80)
+LENGTHS = range(20, 129)
+STEP = 64
 BINS = 120
 
 _ORDER = np.zeros(128, dtype=np.int64)
@@ -91,7 +92,51 @@ def _bin(t: np.ndarray) -> np.ndarray:
 
 
 def length_class(n: int) -> int:
-    return max(k for k, least in enumerate(LENGTHS) if n >= least)
+    return min(n, LENGTHS[-1]) - LENGTHS[0]
+
+
+def prefix_statistics(x: np.ndarray, k: int) -> np.ndarray:
+    """``statistic`` of the first n symbols of each row, for every n of LENGTHS up to the row's width: (rows, lengths)."""
+    rows, width = x.shape
+    counts, at = np.zeros((rows, k)), np.arange(rows)
+    rank = np.empty((rows, width))
+    for i in range(width):  # how often a row's symbol has come before
+        rank[:, i] = counts[at, x[:, i]]
+        counts[at, x[:, i]] += 1
+    n = np.arange(LENGTHS[0], width + 1).astype(np.float64)
+    upto = slice(LENGTHS[0] - 1, width)
+    y = x.astype(np.float64)
+    high = x >= (k + 1) // 2
+    products, changes = np.zeros((rows, width)), np.zeros((rows, width))
+    products[:, 1:] = y[:, 1:] * y[:, :-1]
+    changes[:, 1:] = high[:, 1:] != high[:, :-1]
+    chi = (np.cumsum(2 * rank + 1, axis=1)[:, upto] * k / n - n - (k - 1)) / np.sqrt(2.0 * (k - 1))
+    n1 = np.cumsum(high, axis=1)[:, upto].astype(np.float64)
+    both = 2 * n1 * (n - n1)
+    runs = 1.0 + np.cumsum(changes, axis=1)[:, upto]
+    total = np.cumsum(y, axis=1)[:, upto]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        run_z = (runs - both / n - 1) / np.sqrt(both * (both - n) / (n * n * (n - 1.0)))
+        lagged = n * np.cumsum(products, axis=1)[:, upto] - total * (2 * total - y[:, :1] - y[:, upto]) + (n - 1) * total * total / n
+        serial = lagged / (n * np.cumsum(y * y, axis=1)[:, upto] - total * total) * np.sqrt(n)
+    run_z = np.where(np.isfinite(run_z), run_z, 10.0)
+    serial = np.where(np.isfinite(serial), serial, 10.0)
+    return np.maximum(chi, 0) ** 2 + run_z**2 + serial**2
+
+
+def text_windows(texts: list[np.ndarray], most: int = 1024) -> np.ndarray:
+    """Counts of the statistic's bins for every length, over the windows of some texts (as letter numbers)."""
+    total = np.zeros((len(LENGTHS), BINS), dtype=np.int64)
+    width = LENGTHS[-1]
+    parts = [x[k : k + width] for x in texts for k in range(0, len(x) - LENGTHS[0] + 1, STEP)]
+    for first in range(0, len(parts), most):
+        some = parts[first : first + most]
+        sizes = np.array([len(p) for p in some])
+        x = np.zeros((len(some), width), dtype=np.int64)
+        x[np.arange(width) < sizes[:, None]] = np.concatenate(some)
+        bins = _bin(prefix_statistics(x, 26)) + BINS * np.arange(len(LENGTHS))
+        total += np.bincount(bins[np.array(LENGTHS) <= sizes[:, None]], minlength=total.size).reshape(total.shape)
+    return total
 
 
 def candidates(text: str) -> list[tuple[int, int, int, int]]:
@@ -120,23 +165,25 @@ def _histogram(docs: DataFrame, text_col: str) -> np.ndarray:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((2, len(LENGTHS), BINS), dtype=np.int64)
+        held: list[np.ndarray] = []
         for batch in batches:
             for text in batch["_text"]:
                 if not text:
                     continue
                 words = _TOKEN.sub(" ", text)  # candidates are no running text
-                letters = np.frombuffer(words.encode("utf-8", "surrogatepass").translate(_LOWER, _DROP), dtype=np.uint8).astype(np.int64) - 97
-                for k, n in enumerate(LENGTHS):
-                    if rows := len(letters) // n:
-                        total[0, k] += np.bincount(_bin(statistic(letters[: rows * n].reshape(rows, n), 26)), minlength=BINS)
+                held.append(np.frombuffer(words.encode("utf-8", "surrogatepass").translate(_LOWER, _DROP), dtype=np.uint8).astype(np.int64) - 97)
                 for _, _, k, b in candidates(text):
                     total[1, k, b] += 1
+                if sum(map(len, held[-64:])) > 1 << 16 or len(held) >= 64:
+                    total[0] += text_windows(held)
+                    held.clear()
+        total[0] += text_windows(held)
         at = np.nonzero(total)
         yield pd.DataFrame({"what": at[0], "k": at[1], "b": at[2], "n": total[at]})
 
     counted = docs.select(F.col(text_col).alias("_text")).mapInPandas(run, "what int, k int, b int, n long")
     out = np.zeros((2, len(LENGTHS), BINS), dtype=np.int64)
-    for what, k, b, n in counted.groupBy("what", "k", "b").agg(F.sum("n")).collect():  # at most 2 * 4 * 120 rows
+    for what, k, b, n in counted.groupBy("what", "k", "b").agg(F.sum("n")).collect():  # at most 2 * 109 * 120 rows
         out[what, k, b] = n
     return out
 

@@ -4,7 +4,7 @@ import re
 
 import numpy as np
 
-from glyphlake.llm.secrets import base_spans, redacted, scan_secrets, statistic
+from glyphlake.llm.secrets import LENGTHS, base_spans, prefix_statistics, redacted, scan_secrets, statistic
 
 PATTERNS = {
     "assign": r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -60,6 +60,30 @@ def test_statistic_tells_uniform_from_skewed():
     assert np.isfinite(statistic(np.zeros((1, 20), dtype=np.int64), 16)).all()
 
 
+def test_statistic_of_every_length():
+    x = np.random.default_rng(1).integers(0, 26, (50, 128))
+    x[:3], x[3, :60] = 7, 20
+    assert all(np.allclose(prefix_statistics(x, 26)[:, n - LENGTHS[0]], statistic(x[:, :n], 26)) for n in LENGTHS)
+
+
+def test_tokens_of_lengths_between_are_found_in_prose(spark, make_docs):
+    rnd = random.Random(8)
+    lengths, rows = [24, 31, 40, 47], []
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()]
+    for k, text in enumerate(t for t in texts if t):
+        key = "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(lengths[k // 3 % 4]))
+        rows.append((k, f"{text} {key}" if k % 3 == 0 else text))
+    ends = {k: len(t) for k, t in rows}
+    found, there = dict.fromkeys(lengths, 0), dict.fromkeys(lengths, 0)
+    for r in scan_secrets(make_docs(rows)).collect():
+        if r.doc_id % 3 == 0:
+            n = lengths[r.doc_id // 3 % 4]
+            there[n] += 1
+            found[n] += any(x.startswith("random:") and x.endswith(f":{ends[r.doc_id]}") for x in r.spans.split(","))
+    least = {24: 0.4, 31: 0.75, 40: 0.9, 47: 0.9}
+    assert all(found[n] >= least[n] * there[n] > 0 for n in lengths), (found, there)
+
+
 def test_redaction_and_empty():
     assert redacted("abcdef", [(1, 0, 3), (2, 2, 4)]) == "a[assign removed]ef"
     assert redacted(None, []) is None
