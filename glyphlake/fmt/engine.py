@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from glyphlake.functions.text import width_of
 from glyphlake.parse.blocks import Block
-from glyphlake.parse.facts import Parsed, canonical, parse, walk
+from glyphlake.parse.facts import ADMONITION, SOLID, Parsed, canonical, continuation, parse, walk
 from glyphlake.sources.config import Fmt
 
 Edit = tuple[int, int, str]
@@ -213,7 +213,7 @@ def aligned_rows(body: str) -> str:
 
 
 def math_normalise(doc: Parsed, o: Fmt) -> list[Edit]:
-    from glyphlake.parse.math import scan_math
+    from glyphlake.parse.math import ALIGNING, scan_math
 
     if not o.math_normalise:
         return []
@@ -221,7 +221,7 @@ def math_normalise(doc: Parsed, o: Fmt) -> list[Edit]:
     regions, _ = scan_math(doc.text, skip)
     out: list[Edit] = []
     for r in regions:
-        if r.env and r.env.rstrip("*") in ("align", "aligned", "alignat", "eqnarray", "split", "cases"):
+        if r.env in ALIGNING:
             new = aligned_rows(doc.text[r.body_start : r.body_end])
             if new != doc.text[r.body_start : r.body_end]:
                 out.append((r.body_start, r.body_end, new))
@@ -291,13 +291,13 @@ def wrap(doc: Parsed, o: Fmt) -> list[Edit]:
         return []
     out: list[Edit] = []
     for b, line in doc.inlines:
-        if b.kind != "paragraph" or re.match(r"(?:!!!|\?\?\?)\+? ", b.lines[0][0]):
+        if b.kind != "paragraph" or ADMONITION.match(b.lines[0][0]):
             continue
         start = doc.text.rfind("\n", 0, b.lines[0][1]) + 1
         head = doc.text[start : b.lines[0][1]]
-        later = re.sub(r"[^>\s]", " ", head) if o.continuation_indent != "four-space" or not head.strip(" >") else re.sub(r"[^>\s].*", "    ", head)
+        later = continuation(head, o.continuation_indent == "four-space")
         hard = [p.end for p in line.pieces if p.kind == "hard"]
-        solid = [(p.start, p.end) for p in line.pieces if p.kind in ("code", "link", "image", "html", "autolink")]
+        solid = [(p.start, p.end) for p in line.pieces if p.kind in SOLID]
         parts, at = [], 0
         for e in [*hard, len(line.text)]:
             parts.append((at, e))

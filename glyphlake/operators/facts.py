@@ -14,7 +14,8 @@ _FIELDS = ["doc_id", "fact", "ord", "s", "e", "text", "kind", "label", "n"]
 FACT_SCHEMA = "doc_id long, fact string, ord int, s int, e int, text string, kind string, label string, n int"
 ALL_FACTS = (
     "nodes headings heading_attrs code_blocks html_blocks suppressions thematic_breaks list_groups list_items link_defs tables table_cells block_gaps prose "
-    "inline_codes inline_html autolinks link_like links link_dests emphasis math_regions math_errors frontmatter parse_errors"
+    "inline_codes inline_html autolinks link_like links link_dests emphasis math_regions math_errors frontmatter parse_errors "
+    "tree checkpoints item_widths definition_sites transparent wrappable"
 ).split()
 
 

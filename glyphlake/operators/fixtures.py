@@ -70,15 +70,40 @@ SLOTS: list[tuple[str, str, str]] = [
 ]
 
 
-def slot_columns() -> str:
-    return ", ".join(f"CASE WHEN {cond} THEN {text} ELSE '' END AS t_{name}" for name, cond, text in SLOTS)
-
-
-def markdown_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, text), one document per part."""
-    part = spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand"))
-    text = " || ".join(f"CASE WHEN {cond} THEN {sql.replace('VARCHAR(20)', 'STRING')} ELSE '' END" for _, cond, sql in SLOTS)
-    return part.selectExpr("CAST(p_partkey AS BIGINT) AS doc_id", f"{text} AS text")
+class Recipe:
+    """Documents made of slots, one for each part, and the SQL that knows where everything in them lies."""
+
+    def __init__(self, slots: list[tuple[str, str, str]]):
+        self.slots = slots
+
+    def docs(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        """(doc_id, text), one document per part."""
+        part = spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand"))
+        text = " || ".join(f"CASE WHEN {cond} THEN {sql.replace('VARCHAR(20)', 'STRING')} ELSE '' END" for _, cond, sql in self.slots)
+        return part.selectExpr("CAST(p_partkey AS BIGINT) AS doc_id", f"{text} AS text")
+
+    def text_sql(self, new: dict[str, str] | None = None) -> str:
+        """An SQL expression over ``part``: the text, with other content in some slots."""
+        return " || ".join(f"CASE WHEN {cond} THEN {(new or {}).get(name, text)} ELSE '' END" for name, cond, text in self.slots)
+
+    def placed(self) -> str:
+        """CTEs: ``d`` with all slots, ``o`` with byte offsets o_x and line numbers l_x of each."""
+        byte, line, cols = [], [], []
+        for name, _, _ in self.slots:
+            cols.append(f"{' + '.join(byte) or '0'} AS o_{name}, {' + '.join(line) or '0'} + 1 AS l_{name}")
+            byte.append(f"strlen(t_{name})")
+            line.append(f"(length(t_{name}) - length(replace(t_{name}, chr(10), '')))")
+        slots = ", ".join(f"CASE WHEN {cond} THEN {text} ELSE '' END AS t_{name}" for name, cond, text in self.slots)
+        return f"d AS (SELECT *, {slots} FROM part), o AS (SELECT *, {', '.join(cols)} FROM d)"
+
+    def expected(self, rule: str, expects: list[Expect], extra: str = "") -> str:
+        conds = {name: cond for name, cond, _ in self.slots}
+        return " UNION ALL ".join(
+            f"SELECT CAST(p_partkey AS BIGINT) AS doc_id, '{rule}' AS rule, CAST(l_{x.slot} + {x.line} AS BIGINT) AS line, CAST({x.col} AS BIGINT) AS col, "
+            f"CAST(o_{x.slot} + {x.at} AS BIGINT) AS span_start, CAST(o_{x.slot} + {x.at} + {x.length} AS BIGINT) AS span_end{extra if x.extra is None else ', ' + x.extra} "
+            f"FROM o WHERE {conds[x.slot]} AND {x.when}"
+            for x in expects
+        )
 
 
 @dataclass(frozen=True)
@@ -91,22 +116,8 @@ class Expect:
     col: str
     line: int = 0
     when: str = "TRUE"
+    extra: str | None = None
 
 
-def placed_sql() -> str:
-    """CTEs: ``d`` with all slots, ``o`` with byte offsets o_x and line numbers l_x of each."""
-    byte, line, cols = [], [], []
-    for name, _, _ in SLOTS:
-        cols.append(f"{' + '.join(byte) or '0'} AS o_{name}, {' + '.join(line) or '0'} + 1 AS l_{name}")
-        byte.append(f"strlen(t_{name})")
-        line.append(f"(length(t_{name}) - length(replace(t_{name}, chr(10), '')))")
-    return f"d AS (SELECT *, {slot_columns()} FROM part), o AS (SELECT *, {', '.join(cols)} FROM d)"
-
-
-def expected_rows(rule: str, expects: list[Expect], extra: str = "") -> str:
-    conds = {name: cond for name, cond, _ in SLOTS}
-    return " UNION ALL ".join(
-        f"SELECT CAST(p_partkey AS BIGINT) AS doc_id, '{rule}' AS rule, CAST(l_{x.slot} + {x.line} AS BIGINT) AS line, CAST({x.col} AS BIGINT) AS col, "
-        f"CAST(o_{x.slot} + {x.at} AS BIGINT) AS span_start, CAST(o_{x.slot} + {x.at} + {x.length} AS BIGINT) AS span_end{extra} FROM o WHERE {conds[x.slot]} AND {x.when}"
-        for x in expects
-    )
+BASE = Recipe(SLOTS)
+markdown_docs, placed_sql, expected_rows = BASE.docs, BASE.placed, BASE.expected

@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from glyphlake.parse.blocks import Block, blank, parse_blocks, split_lines
+from glyphlake.parse.blocks import QUOTE, Block, blank, parse_blocks, split_lines
 from glyphlake.parse.inline import Inline, normal_label
 
 _DIRECTIVE = re.compile(r"^ {0,3}<!--\s*lint:\s*(allow-next-line|allow|disable-all|disable|enable-all|enable)\b[ \t]*([^>]*?)\s*-->\s*$")
+ADMONITION = re.compile(r"(?:!!!|\?\?\?)\+? ")
+SOLID = ("code", "link", "image", "html", "autolink")  # what wrapping never breaks
 _KEY = re.compile(r"^\s*[\w\"'.-]+\s*[:=]")
 
 
@@ -20,6 +22,7 @@ class Options:
     math: str = "tex"  # github adds dollars
     tables: bool = True
     heading_attributes: bool = True
+    definition_lists: bool = False
 
 
 @dataclass
@@ -55,12 +58,58 @@ def walk(blocks: list[Block], depth: int = 0, owner: Block | None = None):
         yield from walk(b.children, depth + 1, b)
 
 
+def untabled(blocks: list[Block]) -> list[Block]:
+    """Tables as the paragraphs they are without the extension."""
+    for b in blocks:
+        b.children = untabled(b.children)
+    return [Block("paragraph", b.start, b.end, b.lines) if b.kind == "table" else b for b in blocks]
+
+
+def defined(blocks: list[Block]) -> list[Block]:
+    """Paragraphs whose later lines begin with a colon, as a term and its descriptions."""
+    out = []
+    for b in blocks:
+        at = [k for k, (t, _) in enumerate(b.lines) if re.match(r":[ \t]+\S", t)] if b.kind == "paragraph" else []
+        if not at or at[0] == 0:
+            out.append(b)
+            continue
+        parts = [b.lines[: at[0]], *(b.lines[i:j] for i, j in zip(at, [*at[1:], len(b.lines)], strict=True))]
+        items = []
+        for k, lines in enumerate(parts):
+            skip = re.match(r":[ \t]+", lines[0][0]).end() if k else 0
+            lines = [(lines[0][0][skip:], lines[0][1] + skip), *lines[1:]]
+            end = lines[-1][1] + len(lines[-1][0])
+            items.append(Block("description" if k else "term", lines[0][1], end, children=[Block("paragraph", lines[0][1], end, lines)]))
+        out.append(Block("definitions", b.start, b.end, b.lines, items))
+    return out
+
+
+def prefix_runs(doc: Parsed) -> list[tuple[int, int]]:
+    """Ranges from the start of a line to where its content begins inside quotes and items, one a line."""
+    ends: dict[int, int] = {}
+    for b, _, owner in walk(doc.blocks):
+        spots = [a for _, a in b.lines] if owner is not None and not b.children else []
+        if b.kind == "quote":
+            spots += [a + QUOTE.match(t).end() for t, a in b.lines if QUOTE.match(t)]
+        for a in spots:
+            start = doc.text.rfind("\n", 0, a) + 1
+            if a > start:
+                ends[start] = max(a, ends.get(start, 0))
+    return sorted(ends.items())
+
+
 def parse(text: str, options: Options | None = None) -> Parsed:
     options = options or Options()
     text = canonical(text)
     front = front_matter(text)
     lines = split_lines(text[front[0] :], front[0]) if front else split_lines(text)
     blocks = parse_blocks(lines)
+    if not options.tables:
+        blocks = untabled(blocks)
+    if options.definition_lists:
+        for b, _, _ in [*walk(blocks)]:
+            b.children = defined(b.children)
+        blocks = defined(blocks)
     out = Parsed(text, blocks, front=front)
     refs: dict[str, tuple] = {}
     for b, _, _ in walk(blocks):
@@ -94,8 +143,14 @@ def _collect(doc: Parsed, options: Options) -> None:
     if doc.front:
         add("frontmatter", 0, doc.front[0], text=text[: doc.front[0]], kind=doc.front[1])
     groups = 0
+    numbers: dict[int, int] = {}
+    labels: set[str] = set()
     for b, depth, owner in walk(doc.blocks):
         add("nodes", b.start, b.end, kind=b.kind, n=depth)
+        numbers[id(b)] = len(numbers)
+        add("tree", b.start, b.end, kind=b.kind, n=depth, text=str(numbers[id(b)]), label=str(numbers[id(owner)]) if owner else None)
+        if depth == 0:
+            add("checkpoints", b.start, b.start, kind=b.kind)
         if b.kind == "heading":
             first, last = (b.lines[0], b.lines[-1]) if b.lines else (("", b.end), ("", b.end))
             add("headings", first[1], last[1] + len(last[0]), text="\n".join(t for t, _ in b.lines), n=b.info["level"], kind="setext" if b.info["setext"] else "atx")
@@ -116,10 +171,14 @@ def _collect(doc: Parsed, options: Options) -> None:
         elif b.kind == "list":
             add("list_groups", b.start, b.end, n=len(b.children), kind="ordered" if b.info["ordered"] else "bullet", text="loose" if b.info["loose"] else "tight", label=str(groups))
             for k, item in enumerate(b.children):
+                add("item_widths", item.info["marker_start"], item.info["marker_end"], n=item.info["width"])
                 add("list_items", item.info["marker_start"], item.info["marker_end"], n=k, kind="ordered" if b.info["ordered"] else "bullet", text=item.info["marker"], label=str(groups))
             groups += 1
         elif b.kind == "definition":
             add("link_defs", b.start, b.end, text=b.info["label"], label=normal_label(b.info["label"]), kind=b.info["dest"])
+            if normal_label(b.info["label"]) not in labels:
+                labels.add(normal_label(b.info["label"]))
+                add("definition_sites", b.info["dest_start"], b.info["dest_end"], label=normal_label(b.info["label"]), text=text[b.info["dest_start"] : b.info["dest_end"]])
         elif b.kind == "table":
             add("tables", b.start, b.end, n=len(b.info["align"]), text=",".join(b.info["align"]))
             for k, row in enumerate(b.info["rows"]):
@@ -127,7 +186,18 @@ def _collect(doc: Parsed, options: Options) -> None:
                     add("table_cells", a, a + len(t), n=k, text=t, label=str(j))
     for a, b in zip(doc.blocks, doc.blocks[1:], strict=False):
         add("block_gaps", a.end, b.start, kind=f"{a.kind}>{b.kind}", n=text.count("\n", a.end, b.start) - 1)
+    for at in (0, len(text)):
+        add("checkpoints", at, at, kind="bookend")
+    runs = prefix_runs(doc)
+    for s, e in runs:
+        add("transparent", s, e, text=text[s:e])
+    owners = {id(b): owner for b, _, owner in walk(doc.blocks)}
     for b, line in doc.inlines:
+        if b.kind == "paragraph" and not ADMONITION.match(b.lines[0][0]):
+            head = text[text.rfind("\n", 0, b.lines[0][1]) + 1 : b.lines[0][1]]
+            owner = owners.get(id(b))
+            add("wrappable", b.lines[0][1], b.lines[-1][1] + len(b.lines[-1][0]), kind=owner.kind if owner else "document", text=continuation(head),
+                label=str(sum(p.kind == "hard" for p in line.pieces)), n=sum(p.kind in SOLID for p in line.pieces))
         src = line.src
         for p in sorted(line.pieces, key=lambda p: (p.start, -p.end)):
             s, e = src(p.start), src(p.end - 1) + 1 if p.end > p.start else src(p.start)
@@ -160,13 +230,20 @@ def _collect(doc: Parsed, options: Options) -> None:
         exclude += [(line.src(p.start), line.src(p.end - 1) + 1) for p in line.pieces if p.kind in ("code", "html")]
     if doc.front:
         exclude.append((0, doc.front[0]))
-    regions, errors = scan_math(text, sorted(exclude), dollars=options.math == "github")
+    regions, errors = scan_math(text, sorted(exclude), options.math == "github", runs)
     for r in regions:
-        add("math_regions", r.start, r.end, kind=r.kind, label=r.env or "", text=text[r.body_start : r.body_end], n=byte(r.body_start))
+        add("math_regions", r.start, r.end, kind=r.kind, label=r.env or "", text=r.clean(text, runs)[0], n=byte(r.body_start))
     for e in errors:
         add("math_errors", e.start, e.end, kind=e.kind, text=e.name)
     doc.facts = {k: sorted(v, key=lambda f: (f["s"], f["e"])) for k, v in facts.items()}
 
 
+def continuation(head: str, four_space: bool = False) -> str:
+    """What stands before the later lines of a paragraph whose first line has ``head`` before it."""
+    if four_space and head.strip(" >"):
+        return re.sub(r"[^>\s].*", "    ", head)
+    return re.sub(r"[^>\s]", " ", head)
+
+
 def is_blank_line(text: str) -> bool:
     return blank(text)

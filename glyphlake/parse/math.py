@@ -6,7 +6,9 @@ import re
 from bisect import bisect_right
 from dataclasses import dataclass
 
-ENVIRONMENTS = "equation align gather multline alignat flalign eqnarray split cases matrix pmatrix bmatrix vmatrix array aligned gathered math displaymath".split()
+# The environments with a name of their own, and those whose rows have cells to align.
+KNOWN = "align align* aligned equation equation* gather gather* matrix pmatrix bmatrix vmatrix smallmatrix cases array split multline multline*".split()
+ALIGNING = "align align* aligned matrix pmatrix bmatrix vmatrix smallmatrix cases array split".split()
 _OPEN = re.compile(r"\\\[|\\\(|\\begin\{([A-Za-z]+\*?)\}|\\end\{([A-Za-z]+\*?)\}|\\\]|\\\)|\$\$?")
 
 
@@ -19,6 +21,23 @@ class Region:
     body_end: int
     env: str | None = None
 
+    def clean(self, text: str, runs: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
+        """The body without container prefixes, and (offset in it, offset in the source) where its pieces begin."""
+        parts, pieces, size, at = [], [], 0, self.body_start
+        for s, e in [*(r for r in runs if r[1] > self.body_start and r[0] < self.body_end), (self.body_end, self.body_end)]:
+            if s > at or not pieces:
+                pieces.append((size, at))
+                parts.append(text[at : max(s, at)])
+                size += len(parts[-1])
+            at = max(at, e)
+        return "".join(parts), pieces
+
+
+def source_offset(pieces: list[tuple[int, int]], offset: int) -> int:
+    """Where an offset of a clean body lies in the source."""
+    clean, source = pieces[bisect_right(pieces, (offset, 1 << 62)) - 1]
+    return source + offset - clean
+
 
 @dataclass
 class MathError:
@@ -49,7 +68,7 @@ def first_unbalanced(body: str) -> int | None:
     return 0 if depth else None
 
 
-def scan_math(text: str, exclude: list[tuple[int, int]], dollars: bool = False) -> tuple[list[Region], list[MathError]]:
+def scan_math(text: str, exclude: list[tuple[int, int]], dollars: bool = False, runs: list[tuple[int, int]] = ()) -> tuple[list[Region], list[MathError]]:
     starts = [s for s, _ in exclude]
     ends: list[int] = []
     for _, e in exclude:
@@ -117,7 +136,8 @@ def scan_math(text: str, exclude: list[tuple[int, int]], dollars: bool = False)
             errors.append(MathError("env" if m[2] else "delim", i, m.end(), m[2] or token))
             i = m.end()
     for r in regions:
-        if (bad := first_unbalanced(text[r.body_start : r.body_end])) is not None:
-            at = r.body_start + bad
+        body, pieces = r.clean(text, runs)
+        if (bad := first_unbalanced(body)) is not None:
+            at = source_offset(pieces, bad)
             errors.append(MathError("braces", at, min(at + 1, r.end), r.env or r.kind))
     return regions, errors

@@ -14,7 +14,7 @@ from glyphlake.queries.lint import _KL, EXPECTED, _empty
 from glyphlake.rules.run import suppressed_ranges
 from glyphlake.sources.config import Fmt
 from glyphlake.sources.corpus import changed
-from glyphlake.sources.scratch import written
+from glyphlake.sources.scratch import shared_dir, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -271,15 +271,6 @@ def edit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select((F.col("user_id") % 97).cast("string").alias("uri"), (F.col("event_id") * 31 % 1009).cast("long").alias("version"), F.lit("change").alias("kind"), F.concat(F.lit("# Edit "), F.col("event_id").cast("string"), F.lit(".\n")).alias("text"), F.col("ts").alias("arrival"))
 
 
-def _stream_dir(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="glyphlake-stream-")
-    return base.rstrip("/")
-
-
 @query(
     "stm03_debounce",
     f"""WITH e AS (SELECT {_EDITS} FROM events), g AS (SELECT *, CASE WHEN arrival < lag(arrival) OVER w + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (PARTITION BY uri ORDER BY arrival, version)),
@@ -289,7 +280,7 @@ def _stream_dir(spark: SparkSession) -> str:
 def stm03(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glyphlake.streaming.editing import debounced, run_to_end
 
-    return run_to_end(debounced(edit_stream(spark, sf_dir), "1 hour"), _stream_dir(spark), "complete").select("uri", "version", "n_edits")
+    return run_to_end(debounced(edit_stream(spark, sf_dir), "1 hour"), shared_dir(spark), "complete").select("uri", "version", "n_edits")
 
 
 @query(
@@ -300,7 +291,7 @@ def stm03(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stm04(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glyphlake.streaming.editing import accepted, run_to_end
 
-    return run_to_end(accepted(edit_stream(spark, sf_dir)), _stream_dir(spark)).select("uri", "version", "status")
+    return run_to_end(accepted(edit_stream(spark, sf_dir)), shared_dir(spark)).select("uri", "version", "status")
 
 
 def parsed_once(spark: SparkSession, sf_dir: str) -> DataFrame:

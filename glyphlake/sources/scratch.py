@@ -5,19 +5,29 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Only a local session, whose tasks run on this machine, may go without it; it then gets a temporary folder.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    if not _OWN:
+        _OWN.append("file://" + tempfile.mkdtemp(prefix="glyphlake-"))
+    return _OWN[0]
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """The rows as a Parquet table under ``spark.checkpoint.dir``: lineage ends here, and a lost executor loses nothing."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not _OWN:
-            _OWN.append("file://" + tempfile.mkdtemp(prefix="glyphlake-lint-"))
-        base = _OWN[0]
-    path = f"{base.rstrip('/')}/glyphlake/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/glyphlake/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
