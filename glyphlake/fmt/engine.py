@@ -10,8 +10,10 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from glyphlake.functions.text import width_of
 from glyphlake.parse.blocks import Block
@@ -285,6 +287,12 @@ def fill(words: list[str], width: int, first: int, later: int, strategy: str) ->
     return [words[a:b] for a, b in reversed(cuts)]
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def filled(text: pd.Series, width: pd.Series, strategy: pd.Series) -> pd.Series:
+    """The words of a text as lines of at most ``width``."""
+    return pd.Series([None if t is None else [" ".join(x) for x in fill(t.split(), int(w), 0, 0, s)] for t, w, s in zip(text, width, strategy, strict=True)])
+
+
 def wrap(doc: Parsed, o: Fmt) -> list[Edit]:
     """Top-level paragraphs, and those in quotes and items by their own prefix; code and links are not broken."""
     if o.wrap == "keep":

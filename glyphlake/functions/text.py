@@ -143,3 +143,123 @@ def percent_encode(x: pd.Series) -> pd.Series:
     from urllib.parse import quote
 
     return x.map(lambda u: None if u is None else quote(u, safe="!#$%&'()*+,-./:;=?@_~").replace("&", "&amp;").replace("'", "&#x27;"))
+
+
+def canonical_attributes(trailer: Column) -> Column:
+    """The inside of a heading's attribute trailer in order: the last id, classes, then the rest."""
+    words = F.split(strip(trailer), r"\s+")
+    ids = F.filter(words, lambda w: w.startswith("#"))
+    last = F.when(F.size(ids) > 0, F.slice(ids, F.size(ids), F.lit(1))).otherwise(F.expr("cast(array() as array<string>)"))
+    rest = F.filter(words, lambda w: ~w.startswith("#") & ~w.startswith(".") & (w != ""))
+    return F.array_join(F.concat(last, F.filter(words, lambda w: w.startswith(".")), rest), " ")
+
+
+def is_admonition(line: Column) -> Column:
+    """Whether a line opens a marked note, which is not wrapped."""
+    return line.rlike(r"^(?:!!!|\?\?\?)\+? ")
+
+
+def first_difference(a: Column, b: Column) -> Column:
+    """struct<at, old, new> of the first place where two arrays differ; null if they are equal."""
+    both = F.transform(F.arrays_zip(a.alias("old"), b.alias("new")), lambda x, i: F.struct(i.alias("at"), x["old"].alias("old"), x["new"].alias("new")))
+    return F.try_element_at(F.filter(both, lambda x: ~x["old"].eqNullSafe(x["new"])), F.lit(1))
+
+
+def same_ignoring_case(a: Column, b: Column) -> Column:
+    """Equal but for the case of ASCII letters."""
+    return ascii_lower(a) == ascii_lower(b)
+
+
+def first_word(info: Column) -> Column:
+    """What stands before the first comma, blank or tab."""
+    return F.split(info, "[, \t]", 2)[0]
+
+
+def count_at_start(x: Column, kind: str) -> Column:
+    return F.length(F.regexp_extract(x, f"^(?:{kind})*", 0))
+
+
+def count_at_end(x: Column, kind: str) -> Column:
+    return F.length(F.regexp_extract(x, rf"(?:{kind})*\z", 0))
+
+
+def byte_at(x: Column, at: Column) -> Column:
+    """The byte at an offset as a number; null beyond the end."""
+    return F.conv(F.nullif(F.hex(F.substring(F.encode(x, "UTF-8"), at + 1, F.lit(1))), F.lit("")), 16, 10).cast("int")
+
+
+def is_char_boundary(x: Column, at: Column) -> Column:
+    """Whether a character begins at the byte offset, or the text ends there."""
+    return F.coalesce(byte_at(x, at).bitwiseAND(F.lit(0xC0)) != 0x80, at == F.octet_length(x))
+
+
+def replace_range(x: Column, start: Column, end: Column, new: Column) -> Column:
+    """The text with the bytes from ``start`` to ``end`` replaced."""
+    return F.decode(F.overlay(F.encode(x, "UTF-8"), F.encode(new, "UTF-8"), start + 1, end - start), "UTF-8")
+
+
+def centred(x: Column, width: Column) -> Column:
+    gap = F.greatest(width - F.length(x), F.lit(0))
+    left = F.floor(gap / 2).cast("int")
+    return F.concat(F.repeat(F.lit(" "), left), x, F.repeat(F.lit(" "), gap - left))
+
+
+def json_string(x: Column) -> Column:
+    """The text as a JSON string with its quotes."""
+    return F.regexp_extract(F.to_json(F.struct(x.alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
+
+
+def suppress_marker(rule: Column) -> Column:
+    return F.concat(F.lit("<!-- lint: allow "), rule, F.lit(" -->"))
+
+
+def severity(advisory: Column) -> Column:
+    return F.when(advisory, "advisory").otherwise("warning")
+
+
+def line_range(x: Column) -> Column:
+    """struct<line, col, end_line, end_col> of ``LINE:COL-LINE:COL``; null if it is not of that form."""
+    part = lambda k: F.regexp_extract(x, r"^(\d+):(\d+)-(\d+):(\d+)$", k).try_cast("int")
+    return F.when(x.rlike(r"^\d+:\d+-\d+:\d+$"), F.struct(*(part(k).alias(n) for k, n in enumerate(("line", "col", "end_line", "end_col"), 1))))
+
+
+def is_plain_suffix(after: Column) -> Column:
+    """Whether what follows a code span is an English plural or possessive ending."""
+    return after.rlike("^'?s(?:[^A-Za-z]|$)")
+
+
+def saturating_sub(a: Column, b: Column) -> Column:
+    return F.greatest(a - b, F.lit(0))
+
+
+def clamped(x: Column, low: int, high: int) -> Column:
+    return F.least(F.greatest(x, F.lit(low)), F.lit(high))
+
+
+def marker_number(marker: Column) -> Column:
+    """The number of an ordered list marker such as ``3.`` or ``3)``; null if there is none."""
+    return F.regexp_replace(marker, "[.)]$", "").try_cast("bigint")
+
+
+def has_all(mask: Column, bits: int) -> Column:
+    return mask.bitwiseAND(F.lit(bits)) == bits
+
+
+def windows(x: Column) -> Column:
+    """Pairs of neighbours in an array as array<struct<a, b>>."""
+    n = F.greatest(F.size(x) - 1, F.lit(0))
+    return F.transform(F.arrays_zip(F.slice(x, F.lit(1), n).alias("a"), F.slice(x, F.lit(2), n).alias("b")), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b")))
+
+
+def partition_point(ordered: Column, x: Column) -> Column:
+    """How many elements of an ascending array are at most ``x``."""
+    return F.size(F.filter(ordered, lambda e: e <= x))
+
+
+def inserted(m: Column, key: str, value: Column) -> Column:
+    """The map with a key added if it was absent."""
+    return F.when(F.map_contains_key(m, key), m).otherwise(F.map_concat(m, F.create_map(F.lit(key), value)))
+
+
+def removed(m: Column, key: str) -> Column:
+    return F.map_filter(m, lambda k, _: k != key)

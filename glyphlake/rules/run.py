@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
@@ -9,7 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from glyphlake.functions import text as T
 from glyphlake.operators.facts import Facts, located
 from glyphlake.parse.facts import Options
-from glyphlake.rules.stdlib import RULES, Rule
+from glyphlake.rules.stdlib import RULES, Rule, info_string, render_compat
+from glyphlake.sources.config import Config
+from glyphlake.tex.render import Profile
 
 SUPPRESSION = "suppression"
 
@@ -23,6 +26,13 @@ def suggestion(name: str, names: list[str], least: float = 0.7) -> str | None:
     return best if best is not None and T.jaro_winkler(name, best) >= least else None
 
 
+def suggestions(names: DataFrame, pool: list[str] | None = None, least: float = 0.7) -> DataFrame:
+    """(name, nearest): the most similar rule of each name, null below the threshold. ``pool`` is a catalogue's size."""
+    rows = names.withColumn("known", F.explode(F.array(*map(F.lit, sorted(pool or RULES))))).withColumn("score", F.round(T.similarity("name", "known"), 9))
+    best = F.max(F.when(F.col("score") >= least, F.struct("score", "known")))
+    return rows.groupBy("name").agg(best.alias("x")).select("name", F.col("x.known").alias("nearest"))
+
+
 class RuleSet:
     """An ordered set of rules with unique names."""
 
@@ -81,6 +91,18 @@ def select_by_config(preset: str = "default", chosen: list[str] | None = None, e
     return RuleSet([r for n, r in pool.items() if n in names])
 
 
+def configured(config: Config) -> RuleSet:
+    """The rules that a configuration selects, with its own languages, renderer, packages and macros in them."""
+    lint = config.lint
+    pool = dict(RULES)
+    if lint.info_strings:
+        pool["info-string-typo"] = replace(RULES["info-string-typo"], check=lambda facts: info_string(facts, tuple(lint.info_strings)))
+    profile = Profile(lint.renderer, frozenset(lint.packages), dict(lint.macros))
+    if profile != Profile():
+        pool["math/render-compat"] = replace(RULES["math/render-compat"], check=lambda facts: render_compat(facts, profile))
+    return select_by_config(lint.preset, lint.select, lint.extend_select, lint.ignore, pool)
+
+
 def catalogue(spark: SparkSession, pool: dict[str, Rule] | None = None) -> DataFrame:
     """The rules as a small table."""
     rows = [(k, r.name, r.description, r.default, r.advisory, r.fixes) for k, r in enumerate((pool or RULES).values())]
@@ -136,6 +158,11 @@ def diagnostics(docs: DataFrame, rules: RuleSet | None = None, suppress: bool =
     return rows.select("doc_id", "rule", *where, F.col("s").cast("long").alias("span_start"), F.col("e").cast("long").alias("span_end"), "message", "advisory", "replacement", "safe")
 
 
+def ordinal(*ties: str) -> Column:
+    """The place of a finding in its document's final order."""
+    return F.row_number().over(W.partitionBy("doc_id").orderBy("line", "col", "rule", "span_end", *ties))
+
+
 def in_order(rows: DataFrame) -> DataFrame:
     """The final order: by document, place and rule."""
     return rows.orderBy("doc_id", "line", "col", "rule", "span_end")

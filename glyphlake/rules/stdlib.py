@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from glyphlake.functions import text as T
 from glyphlake.operators.facts import Facts
+from glyphlake.operators.ranges import outside, under_heading
 from glyphlake.tex import registry
+from glyphlake.tex.render import Profile, issues
 
 Check = Callable[[Facts], DataFrame]
 
@@ -50,13 +52,6 @@ def in_text(facts: Facts, table: str, pattern: str) -> DataFrame:
     return hits.select("doc_id", (F.col("at") + F.col("x.s")).alias("s"), (F.col("at") + F.col("x.e")).alias("e"), F.col("x.m").alias("m"))
 
 
-def outside(rows: DataFrame, ranges: DataFrame, how: str = "overlap") -> DataFrame:
-    """Interval anti join within a document: drop rows that overlap, lie in, or start in one of the ranges."""
-    r = ranges.select(F.col("doc_id").alias("_d"), F.col("s").alias("_s"), F.col("e").alias("_e"))
-    test = {"overlap": (F.col("s") < F.col("_e")) & (F.col("_s") < F.col("e")), "inside": (F.col("_s") <= F.col("s")) & (F.col("e") <= F.col("_e")), "start": (F.col("_s") <= F.col("s")) & (F.col("s") < F.col("_e"))}
-    return rows.join(r, (F.col("doc_id") == F.col("_d")) & test[how], "left_anti")
-
-
 @rule("unbalanced-backtick", "prose", "A backtick that opens no code span")
 def unbalanced_backtick(facts: Facts) -> DataFrame:
     hits = in_text(facts, "prose", r"\\*`")
@@ -79,10 +74,8 @@ def math_braces(facts: Facts) -> DataFrame:
 
 
 @rule("math/render-compat", "math_regions", "A command that the renderer does not know", default=False)
-def render_compat(facts: Facts) -> DataFrame:
-    from glyphlake.tex.render import issues
-
-    return found(issues(facts.table("math_regions")), "s", "e", F.concat_ws(": ", "code", "name"))
+def render_compat(facts: Facts, profile: Profile | None = None) -> DataFrame:
+    return found(issues(facts.table("math_regions"), profile), "s", "e", F.concat_ws(": ", "code", "name"))
 
 
 @rule("adjacent-code-no-space", "inline_codes", "Code that touches a word", fixes="safe")
@@ -170,18 +163,7 @@ def tightness(facts: Facts) -> DataFrame:
 
 @rule("duplicate-heading", "headings", "A heading that repeats one under the same parent", advisory=True)
 def duplicate_heading(facts: Facts) -> DataFrame:
-    before = W.partitionBy("doc_id").orderBy("s").rowsBetween(W.unboundedPreceding, -1)
-    rows = facts.table("headings").select("doc_id", "s", "e", "text", F.col("n").alias("level"))
-    for k in range(1, 6):
-        hit = F.col("level") == k
-        rows = rows.withColumn(f"o{k}", F.last(F.when(hit, F.col("s")), True).over(before)).withColumn(f"x{k}", F.last(F.when(hit, F.col("text")), True).over(before))
-    parents = []
-    for k in range(5, 0, -1):
-        ok = (F.col("level") > k) & F.col(f"o{k}").isNotNull()
-        for j in range(1, k):
-            ok = ok & (F.col(f"o{j}").isNull() | (F.col(f"o{k}") > F.col(f"o{j}")))
-        parents.append(F.when(ok, F.col(f"x{k}")))
-    rows = rows.withColumn("parent", F.coalesce(*parents, F.lit(""))).withColumn("low", F.lower("text"))
+    rows = under_heading(facts.table("headings").select("doc_id", "s", "e", "text", F.col("n").alias("level"))).withColumn("low", F.lower("text"))
     again = F.row_number().over(W.partitionBy("doc_id", "level", "parent", "low").orderBy("s"))
     return found(rows.withColumn("k", again).where("k > 1"), "s", "e", F.concat(F.lit("heading repeats: "), "text"))
 

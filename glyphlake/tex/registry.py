@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
 _GREEK = "alpha α beta β gamma γ delta δ epsilon ε varepsilon ϵ zeta ζ eta η theta θ vartheta ϑ iota ι kappa κ varkappa ϰ lambda λ mu μ nu ν xi ξ pi π varpi ϖ rho ρ varrho ϱ sigma σ varsigma ς tau τ upsilon υ phi φ varphi ϕ chi χ psi ψ omega ω Gamma Γ Delta Δ Theta Θ Lambda Λ Xi Ξ Pi Π Sigma Σ Upsilon Υ Phi Φ Psi Ψ Omega Ω"
 _OPERATORS = "boxtimes ⊠ pm ± mp ∓ times × div ÷ cdot ⋅ ast ∗ star ⋆ circ ∘ bullet • oplus ⊕ ominus ⊖ otimes ⊗ oslash ⊘ odot ⊙ cap ∩ cup ∪ uplus ⊎ sqcap ⊓ sqcup ⊔ vee ∨ wedge ∧ setminus ∖ wr ≀ dagger † ddagger ‡ amalg ⨿ diamond ⋄ triangleleft ◁ triangleright ▷ land ∧ lor ∨"
 _RELATIONS = "leqslant ⩽ geqslant ⩾ nsubset ⊄ nsupset ⊅ nsupseteq ⊉ subsetneq ⊊ supsetneq ⊋ nprec ⊀ leq ≤ le ≤ geq ≥ ge ≥ neq ≠ ne ≠ equiv ≡ sim ∼ simeq ≃ approx ≈ cong ≅ propto ∝ prec ≺ succ ≻ preceq ≼ succeq ≽ ll ≪ gg ≫ subset ⊂ supset ⊃ subseteq ⊆ supseteq ⊇ sqsubseteq ⊑ sqsupseteq ⊒ in ∈ ni ∋ notin ∉ vdash ⊢ dashv ⊣ models ⊨ perp ⊥ mid ∣ parallel ∥ asymp ≍ bowtie ⋈ doteq ≐"
@@ -59,3 +61,9 @@ FROM_ALPHABET = {c: (name, k) for name, table in ALPHABETS.items() for k, c in t
 ENVIRONMENTS = "equation align gather multline alignat flalign eqnarray split cases matrix pmatrix bmatrix vmatrix Vmatrix Bmatrix smallmatrix array aligned gathered alignedat".split()
 #: Commands that need a package, by renderer.
 PACKAGES = {"ce": "mhchem", "pu": "mhchem", "cancel": "cancel", "bcancel": "cancel", "xcancel": "cancel", "textcolor": "color", "color": "color", "bra": "braket", "ket": "braket", "braket": "braket", "dv": "physics", "pdv": "physics", "qty": "physics", "unicode": "unicode", "enclose": "enclose", "SI": "siunitx", "si": "siunitx"}
+
+
+def commands(spark: SparkSession) -> DataFrame:
+    """(name, category, symbol, preferred): the registry as a small table; ``preferred`` is the name a symbol goes back to."""
+    rows = [(n, c, SYMBOLS.get(n), COMMANDS.get(SYMBOLS.get(n)) == n) for n, c in CATEGORY.items()]
+    return spark.createDataFrame(rows, "name string, category string, symbol string, preferred boolean")

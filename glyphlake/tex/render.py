@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from glyphlake.tex import registry as R
 from glyphlake.tex.translate import events
@@ -39,14 +39,20 @@ def command_events(regions: DataFrame) -> DataFrame:
     return regions.select("doc_id", F.col("n").alias("at"), "text").mapInArrow(run, "doc_id long, s int, e int, what string, name string, in_text boolean")
 
 
+STRUCTURAL = ("text", "mbox", "textrm", "textbf", "textit", "big", "Big", "bigl", "bigr", "Bigl", "Bigr")
+
+
+def overlay(spark: SparkSession) -> DataFrame:
+    """(name, category, package): every command a renderer knows, once; a fixed table of a few hundred rows."""
+    known = {n: ("structural", None) for n in STRUCTURAL} | {n: ("package", p) for n, p in R.PACKAGES.items()} | {n: (c, R.PACKAGES.get(n)) for n, c in R.CATEGORY.items()}
+    return spark.createDataFrame([(n, *v) for n, v in sorted(known.items())], "name string, category string, package string")
+
+
 def issues(regions: DataFrame, profile: Profile | None = None) -> DataFrame:
     """(doc_id, s, e, code, name): unsupported commands and environments, missing packages, math commands in text."""
     profile = profile or Profile()
     spark = regions.sparkSession
-    known = [(n, c, R.PACKAGES.get(n)) for n, c in R.CATEGORY.items()] + [(n, "package", p) for n, p in R.PACKAGES.items() if n not in R.CATEGORY]
-    known += [(n, "structural", None) for n in ("text", "mbox", "textrm", "textbf", "textit", "big", "Big", "bigl", "bigr", "Bigl", "Bigr")]
-    table = F.broadcast(spark.createDataFrame(known, "name string, category string, package string").dropDuplicates(["name"]))
-    rows = command_events(regions).join(table, "name", "left")
+    rows = command_events(regions).join(F.broadcast(overlay(spark)), "name", "left")
     macro = F.col("name").isin(*profile.macros) if profile.macros else F.lit(False)
     lacks = ~F.col("name").isin(*R.ENVIRONMENTS) if profile.renderer != "katex" else ~F.col("name").isin(*sorted(set(R.ENVIRONMENTS) - _KATEX_LACKS))
     loaded = F.col("package").isin(*profile.packages) if profile.packages else F.lit(False)
