@@ -7,8 +7,10 @@ import re
 from collections.abc import Iterator
 from urllib.parse import quote
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from glyphlake.parse.blocks import Block
 from glyphlake.parse.facts import Options, Parsed, parse
@@ -219,3 +221,8 @@ def highlighted(html: str) -> str:
         return _TAG + re.sub(r'"[^"]*"', lambda v: f"{_ATTRIBUTE}{v[0]}{_TAG}", m[0]) + _OFF
 
     return re.sub(r"</?[A-Za-z][^<>]*>|<!--.*?-->", tag, html, flags=re.S)
+
+
+@F.pandas_udf(StringType())
+def highlighted_column(html: pd.Series) -> pd.Series:
+    return html.map(lambda h: None if h is None else highlighted(h))

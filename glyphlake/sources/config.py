@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import os
 import tomllib
 from dataclasses import dataclass, field, fields
 
+from glyphlake.sources.files import Files
+
 TOOL = "glyphlake"
 NAMES = (f".{TOOL}.toml", f"{TOOL}.toml")
 
@@ -70,21 +71,21 @@ _CHOICES = {
 }
 
 
-def discover(start: str) -> str | None:
+def discover(start: str, files: Files) -> str | None:
     """The nearest configuration above a path; the search ends at a repository's root."""
-    folder = os.path.abspath(start if os.path.isdir(start) else os.path.dirname(start))
+    folder = files.absolute(start)
+    folder = folder.rsplit("/", 1)[0] if files.is_file(folder) else folder
     while True:
         for name in NAMES:
-            if os.path.isfile(path := os.path.join(folder, name)):
+            if files.is_file(path := f"{folder}/{name}"):
                 return path
-        path = os.path.join(folder, "pyproject.toml")
-        if os.path.isfile(path):
-            with open(path, "rb") as file:
-                if TOOL in tomllib.load(file).get("tool", {}):
-                    return path
-        if os.path.exists(os.path.join(folder, ".git")) or os.path.dirname(folder) == folder:
+        path = f"{folder}/pyproject.toml"
+        if files.is_file(path) and TOOL in tomllib.loads(files.read(path)).get("tool", {}):
+            return path
+        above = folder.rsplit("/", 1)[0]
+        if files.exists(f"{folder}/.git") or above == folder or above.endswith((":", "/")) or "/" not in above:
             return None
-        folder = os.path.dirname(folder)
+        folder = above
 
 
 def _fill(target: object, values: dict, where: str) -> None:
@@ -118,12 +119,9 @@ def load(text: str) -> Config:
     return config
 
 
-def resolve(start: str | None = None, explicit: str | None = None) -> Config:
-    path = explicit or (discover(start) if start else None)
-    if path is None:
-        return Config()
-    with open(path, encoding="utf-8") as file:
-        return load(file.read())
+def resolve(files: Files, start: str | None = None, explicit: str | None = None) -> Config:
+    path = explicit or (discover(start, files) if start else None)
+    return Config() if path is None else load(files.read(path))
 
 
 def default_toml() -> str:

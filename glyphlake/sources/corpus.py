@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import os
 import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from glyphlake.sources.files import Files
+
 SKIPPED = ("target", "node_modules", ".venv", ".lake", ".ruff_cache", ".pytest_cache", ".cargo")
 LIMIT = 10_000_000
 
@@ -43,32 +44,51 @@ def excluded(path: Column, patterns: list[str]) -> Column:
     return out
 
 
-def ignore_file(folder: str) -> list[str]:
-    """Patterns of .gitignore and .git/info/exclude in a folder the driver can read."""
+def ignore_file(files: Files, folder: str) -> list[str]:
+    """Patterns of .gitignore and .git/info/exclude in a folder."""
     out: list[str] = []
     for name in (".gitignore", ".git/info/exclude"):
-        path = os.path.join(folder, name)
-        if os.path.isfile(path):
-            with open(path, encoding="utf-8") as lines:
-                out += lines.read().splitlines()
+        if files.is_file(f"{folder}/{name}"):
+            out += files.read(f"{folder}/{name}").splitlines()
     return out
 
 
+def in_skipped_folder(path: Column) -> Column:
+    return path.rlike(rf"(?:^|/)(?:{'|'.join(map(re.escape, SKIPPED))})/")
+
+
+class MissingRoot(ValueError):
+    pass
+
+
 def scan(spark: SparkSession, roots: list[str], exclude: list[str] = (), ignore: bool = True) -> DataFrame:
-    """(path, text): every .md and .markdown file under the roots, once each."""
-    parts = []
-    for root in roots:
-        rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,markdown}").text(root, wholetext=True)
-        rows = rows.select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("path"), F.col("value").alias("text"))
-        inside = F.regexp_replace("path", "^" + re.escape(os.path.abspath(root).rstrip("/")) + "/", "")
-        patterns = [*(ignore_file(root) if ignore and os.path.isdir(root) else []), *exclude]
-        parts.append(rows.where(~inside.rlike(rf"(?:^|/)(?:{'|'.join(map(re.escape, SKIPPED))})/") & ~excluded(inside, patterns)))
+    """(path, text): every .md and .markdown file under the roots, once each. A root that is a file yields itself."""
+    files, parts = Files(spark), []
+    for root in map(files.absolute, roots):
+        if not files.exists(root):
+            raise MissingRoot(f"no such file or folder: {root}")
+        single = files.is_file(root)
+        reader = spark.read if single else spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,markdown}")
+        rows = reader.text(root, wholetext=True).select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/").alias("path"), F.col("value").alias("text"))
+        if not single:
+            inside = F.substring("path", len(root) + 2, 1 << 30)
+            patterns = [*(ignore_file(files, root) if ignore else []), *exclude]
+            rows = rows.where(~in_skipped_folder(inside) & ~excluded(inside, patterns))
+        parts.append(rows)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
+    out = out.withColumn("path", F.regexp_replace("path", "^file:", ""))
     return out.dropDuplicates(["path"]) if len(parts) > 1 else out
 
 
+def listed(spark: SparkSession, paths: list[str], fallback: str, more: list[str] = ()) -> DataFrame:
+    """The listed files if all are there, else every Markdown file under ``fallback``; and ``more`` files in any case."""
+    files = Files(spark)
+    roots = list(paths) if paths and all(files.is_file(p) for p in paths) else [fallback]
+    return scan(spark, [*roots, *more])
+
+
 def numbered(files: DataFrame) -> DataFrame:
     """A document id from the path: stable, and no global order is needed."""
     return files.withColumn("doc_id", F.xxhash64("path"))
@@ -83,7 +103,10 @@ def admitted(docs: DataFrame, limit: int = LIMIT) -> tuple[DataFrame, DataFrame]
     return rows.where("error is null").drop("error"), rows.where("error is not null").drop("text")
 
 
-def from_text(spark: SparkSession, text: str, path: str = "<stdin>") -> DataFrame:
+def from_text(spark: SparkSession, text: str, path: str = "<stdin>", limit: int = LIMIT) -> DataFrame:
+    """One document that was typed or piped in; too large a one is refused."""
+    if limit and len(text.encode()) > limit:
+        raise ValueError(f"{path}: over {limit} bytes")
     return spark.createDataFrame([(0, path, text)], "doc_id long, path string, text string")
 
 
@@ -100,13 +123,28 @@ def changed(old: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def write_back(rows: DataFrame) -> int:
-    """Write (path, text) rows to their files; returns how many. Only for folders that all executors share."""
+    """Write (path, text) rows to their files, each from the task that holds it; returns how many.
+
+    Only for folders that all executors reach. A task that is run again writes the same bytes to the same file.
+    """
 
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
         for batch in batches:
             for path, text in zip(batch["path"], batch["text"], strict=True):
-                with open(path, "w", encoding="utf-8", newline="") as file:
-                    file.write(text)
+                system, inner = fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else re.sub("^file:/*", "/", path))
+                sums = "/.".join(inner.rsplit("/", 1)) + ".crc"  # that Hadoop keeps beside local files; stale after this
+                if system.type_name == "local" and system.get_file_info(sums).type == fs.FileType.File:
+                    system.delete_file(sums)
+                with system.open_output_stream(inner) as file:
+                    file.write(text.encode())
             yield pd.DataFrame({"n": [len(batch)]})
 
-    return sum(r.n for r in rows.select("path", "text").mapInPandas(put, "n long").collect())
+    return rows.select("path", "text").mapInPandas(put, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def rewritten(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(path, text) of the files whose text changes: what an in-place rewrite has to touch."""
+    was = old.select("path", F.col("text").alias("_old"))
+    return new.join(was, "path").where(~F.col("text").eqNullSafe(F.col("_old"))).select("path", "text")

@@ -6,7 +6,7 @@ import re
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from glyphlake.tex import registry as R
 
@@ -410,3 +410,34 @@ def layout(body: str) -> Grid:
     if i < len(body) or not parts:
         parts.append(Grid([to_unicode(body[i:]).text], 0))
     return _beside(parts)
+
+
+def notes(rows: DataFrame) -> DataFrame:
+    """``(doc_id, path, x)`` with x a translation -> one line of text for each thing lost."""
+    lost = rows.select("doc_id", "path", F.explode("x.losses").alias("loss"))
+    return lost.select("doc_id", F.concat("path", F.lit(": note: "), "loss").alias("note"))
+
+
+def translated_regions(docs: DataFrame, to: str, keep_delimiters: bool = True) -> DataFrame:
+    """(doc_id, text, n_regions, losses): the mathematics of each document translated in its place.
+
+    Regions come sorted and do not overlap; bodies are translated row by row and put back in one splice a document.
+    """
+    from glyphlake.functions import text as T
+    from glyphlake.operators.facts import Facts
+
+    facts = Facts(docs, ["math_regions"])
+    regions = facts.table("math_regions").where("kind <> 'environment'")
+    body = F.col("text") if keep_delimiters else F.regexp_replace("text", r"^\s+|\s+$", "")
+    rows = regions.select("doc_id", "s", "e", F.col("n").alias("at"), F.octet_length("text").alias("size"), translate(body, to).alias("x"))
+    start, end = (F.col("at"), F.col("at") + F.col("size")) if keep_delimiters else (F.col("s"), F.col("e"))
+    edit = F.struct(start.alias("s"), F.lit(0).alias("ord"), end.alias("e"), F.col("x.text").alias("r"))
+    edits = rows.groupBy("doc_id").agg(F.collect_list(edit).alias("edits"), F.flatten(F.collect_list("x.losses")).alias("losses"))
+    none = F.expr("cast(array() as array<struct<s:int,ord:int,e:int,r:string>>)")
+    out = facts.docs.join(edits, "doc_id", "left").withColumn("edits", F.coalesce(T.greedy_from_the_end(F.col("edits")), none))
+    return out.select("doc_id", T.splice(F.col("text"), F.col("edits")).alias("text"), F.size("edits").alias("n_regions"), F.coalesce(F.array_sort("losses"), F.expr("cast(array() as array<string>)")).alias("losses"))
+
+
+def previewed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): mathematics as plain Unicode without its delimiters, for a terminal."""
+    return translated_regions(docs, "unicode", keep_delimiters=False).select("doc_id", "text")
