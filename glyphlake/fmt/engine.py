@@ -33,10 +33,14 @@ class Report:
     converged: bool = True
 
 
-def signature(text: str, keep_front: bool = True) -> list[tuple]:
+def read(text: str) -> Parsed:
+    return parse(text, facts=False)
+
+
+def signature(source: str | Parsed, keep_front: bool = True) -> list[tuple]:
     """What a document says: blocks and inline structure with white space collapsed; code as it is."""
-    doc = parse(text)
-    out: list[tuple] = [("front", text[: doc.front[0]])] if doc.front and keep_front else []
+    doc = read(source) if isinstance(source, str) else source
+    out: list[tuple] = [("front", doc.text[: doc.front[0]])] if doc.front and keep_front else []
     inline = {}
     for b, line in doc.inlines:
         inline.setdefault(id(b), []).append(line)
@@ -188,14 +192,18 @@ def tables(doc: Parsed, o: Fmt) -> list[Edit]:
     return out
 
 
+def excluded_from_math(doc: Parsed) -> list[tuple[int, int]]:
+    skip = [(b.start, b.end) for b, _, _ in walk(doc.blocks) if b.kind in ("code", "html")]
+    skip += [(line.src(p.start), line.src(p.end - 1) + 1) for _, line in doc.inlines for p in line.pieces if p.kind in ("code", "html")]
+    return sorted(skip)
+
+
 def math_render(doc: Parsed, o: Fmt) -> list[Edit]:
     from glyphlake.parse.math import scan_math
 
     if o.math_render != "dollar":
         return []
-    skip = [(b.start, b.end) for b, _, _ in walk(doc.blocks) if b.kind in ("code", "html")]
-    skip += [(line.src(p.start), line.src(p.end - 1) + 1) for _, line in doc.inlines for p in line.pieces if p.kind in ("code", "html")]
-    regions, _ = scan_math(doc.text, sorted(skip))
+    regions, _ = scan_math(doc.text, excluded_from_math(doc))
     out: list[Edit] = []
     for r in regions:
         body = doc.text[r.body_start : r.body_end].strip()
@@ -219,8 +227,7 @@ def math_normalise(doc: Parsed, o: Fmt) -> list[Edit]:
 
     if not o.math_normalise:
         return []
-    skip = sorted((b.start, b.end) for b, _, _ in walk(doc.blocks) if b.kind in ("code", "html"))
-    regions, _ = scan_math(doc.text, skip)
+    regions, _ = scan_math(doc.text, excluded_from_math(doc))
     out: list[Edit] = []
     for r in regions:
         if r.env in ALIGNING:
@@ -254,7 +261,6 @@ FAMILIES: dict[str, Callable[[Parsed, Fmt], list[Edit]]] = {
     "thematic-break": thematic_break, "references": references, "heading-attrs": heading_attrs, "tables": tables, "math-normalise": math_normalise, "math-render": math_render,
     "heading-gaps": heading_gaps,
 }
-_OWN_CHECK = {"frontmatter", "math-render", "math-normalise"}
 
 
 def fill(words: list[str], width: int, first: int, later: int, strategy: str) -> list[list[str]]:
@@ -287,6 +293,13 @@ def fill(words: list[str], width: int, first: int, later: int, strategy: str) ->
     return [words[a:b] for a, b in reversed(cuts)]
 
 
+def tokens(text: str, solid: list[tuple[int, int]]) -> list[str]:
+    """What wrapping may move: words, and solid ranges in one piece with all that touches them. Canonical text holds no NUL."""
+    for s, e in solid:
+        text = text[:s] + re.sub(r"[ \t\n]", "\0", text[s:e]) + text[e:]
+    return [w.replace("\0", " ") for w in re.split(r"[ \t\n]+", text) if w]
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def filled(text: pd.Series, width: pd.Series, strategy: pd.Series) -> pd.Series:
     """The words of a text as lines of at most ``width``."""
@@ -312,20 +325,7 @@ def wrap(doc: Parsed, o: Fmt) -> list[Edit]:
             at = e
         rows: list[str] = []
         for a, e in parts:
-            words, cur, i = [], "", a
-            while i < e:
-                if (stop := next((y for x, y in solid if x == i), None)) is not None:
-                    cur += line.text[i:stop].replace("\n", " ")
-                    i = stop
-                elif line.text[i] in " \t\n":
-                    if cur:
-                        words.append(cur)
-                    cur, i = "", i + 1
-                else:
-                    cur += line.text[i]
-                    i += 1
-            if cur:
-                words.append(cur)
+            words = tokens(line.text[a:e], [(x - a, y - a) for x, y in solid if a <= x and y <= e])
             if not words:
                 continue
             tail = "" if e == len(line.text) else "\\" if line.text[e - 2] == "\\" else "  "
@@ -341,58 +341,108 @@ def wrap(doc: Parsed, o: Fmt) -> list[Edit]:
 
 
 def _commit(text: str, edits: list[Edit], check: Callable[[str], bool], report: Report, salvage: bool = True) -> str:
+    """The text with all edits if that passes the check; else with those that pass, found by halving."""
     edits = [e for e in dict.fromkeys(edits) if text[e[0] : e[1]] != e[2]]
     report.proposed += len(edits)
     if not edits or not disjoint(edits):
         report.rejected += len(edits)
         return text
-    whole = splice(text, edits)
+    whole, kept = splice(text, edits), []
     if check(whole):
         report.applied += len(edits)
         return whole
-    kept: list[Edit] = []
-    for e in edits if salvage else []:
-        if check(splice(text, [*kept, e])):
-            kept.append(e)
+
+    def keep(part: list[Edit], failed: bool = False) -> None:
+        if not failed and check(splice(text, [*kept, *part])):
+            kept.extend(part)
+        elif len(part) > 1:
+            half = len(part) // 2
+            keep(part[:half])
+            keep(part[half:])
+
+    if salvage:
+        keep(edits, failed=True)
     report.applied += len(kept)
     report.rejected += len(edits) - len(kept)
     return splice(text, kept)
 
 
+PROFILES = {
+    "preserve": {},
+    "mdformat": {"list_marker": "dash", "ordered_list": "one", "thematic_break": "underscore-70", "italic": "asterisk", "strong": "asterisk", "trailing_newline": "ensure"},
+}
+
+
+def resolved_options(o: Fmt) -> Fmt:
+    """The options with those of their profile filled in where they are left as they are."""
+    default = Fmt()
+    filled_in = {k: v for k, v in PROFILES[o.profile].items() if getattr(o, k) == getattr(default, k)}
+    return Fmt(**{**o.__dict__, "profile": "preserve", **filled_in})
+
+
+def line_ends(text: str, o: Fmt, crlf: bool) -> str:
+    if o.trailing_newline != "preserve" and text:
+        text = text.rstrip("\n") + ("\n" if o.trailing_newline == "ensure" else "")
+    return text.replace("\n", "\r\n") if o.end_of_line == "crlf" or (o.end_of_line == "keep" and crlf) else text
+
+
+def _front_only(old: Parsed, new: str) -> bool:
+    """Whether a text is the old one without its front matter."""
+    return signature(old, False) == signature(new, False) and old.text.endswith(new)
+
+
+def _same_math(old: Parsed, new: str) -> bool:
+    """Whether mathematics has kept its bodies, up to delimiters and blanks, and nothing else has changed."""
+    from glyphlake.parse.math import scan_math
+
+    def shape(doc: Parsed) -> tuple[list[str], str]:
+        regions, _ = scan_math(doc.text, excluded_from_math(doc), dollars=True)
+        rest, at = [], 0
+        for r in regions:
+            rest.append(doc.text[at : r.start])
+            at = r.end
+        return ["".join(doc.text[r.body_start : r.body_end].split()) for r in regions], "".join([*rest, doc.text[at:]])
+
+    return shape(old) == shape(read(new))
+
+
 def format_text(text: str, o: Fmt | None = None) -> tuple[str, Report]:
-    o, report = o or Fmt(), Report()
-    crlf = "\r\n" in text and o.end_of_line == "keep"
-    source = out = canonical(text)
-    if o.profile == "mdformat":
-        o = Fmt(**{**o.__dict__, "profile": "preserve", "list_marker": "dash", "ordered_list": "one", "thematic_break": "underscore-70", "italic": "asterisk", "strong": "asterisk", "trailing_newline": "ensure"})
+    o, report = resolved_options(o or Fmt()), Report()
+    crlf, source = "\r\n" in text, canonical(text)
+    doc, meaning = read(source), None
     for _ in range(MOST_STEPS):
-        before = out
+        before = doc.text
         for name, family in FAMILIES.items():
-            edits = family(parse(out), o)
+            edits = family(doc, o)
             if not edits:
                 continue
-            want = None if name in _OWN_CHECK else signature(out)
-            new = _commit(out, edits, lambda t, want=want: want is None or signature(t) == want, report, salvage=name != "ordered-list")
-            report.families[name] = report.families.get(name, 0) + (new != out)
-            out = new
-        if out == before:
+            if name == "frontmatter":
+                check = lambda t, old=doc: _front_only(old, t)
+            elif name in ("math-render", "math-normalise"):
+                check = lambda t, old=doc: _same_math(old, t)
+            else:
+                meaning = meaning or signature(doc)
+                check = lambda t, want=meaning: signature(t) == want
+            new = _commit(doc.text, edits, check, report, salvage=name != "ordered-list")
+            report.families[name] = report.families.get(name, 0) + (new != doc.text)
+            if new != doc.text:
+                doc = read(new)
+                meaning = meaning if name not in ("frontmatter", "math-render", "math-normalise") else None
+        if doc.text == before:
             break
     else:
-        report.converged, out = False, source
-    if o.wrap != "keep":
-        want = signature(out)
-        out = _commit(out, wrap(parse(out), o), lambda t: signature(t) == want, report)
-    if o.trailing_newline != "preserve" and out:
-        out = out.rstrip("\n") + ("\n" if o.trailing_newline == "ensure" else "")
-    if crlf or o.end_of_line == "crlf":
-        out = out.replace("\n", "\r\n")
-    return out, report
+        report.converged, doc = False, read(source)
+    out = doc.text
+    if o.wrap != "keep" and (edits := wrap(doc, o)):
+        want = meaning or signature(doc)
+        out = _commit(out, edits, lambda t: signature(t) == want, report)
+    return line_ends(out, o, crlf), report
 
 
 def format_range(text: str, start: int, end: int, o: Fmt | None = None) -> tuple[int, int, str]:
     """The top-level blocks that a range touches, formatted: (start, end, new text) in characters."""
     text = canonical(text)
-    blocks = parse(text).blocks
+    blocks = read(text).blocks
     inside = [b for b in blocks if b.start < max(end, start + 1) and start < b.end + 1]
     if not inside:
         return start, start, ""

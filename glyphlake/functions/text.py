@@ -95,6 +95,8 @@ def splice(text: Column, edits: Column) -> Column:
 def width_of(text: str | None) -> int | None:
     if text is None:
         return None
+    if text.isascii():
+        return len(text)
     return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
 
 

@@ -98,7 +98,8 @@ def prefix_runs(doc: Parsed) -> list[tuple[int, int]]:
     return sorted(ends.items())
 
 
-def parse(text: str, options: Options | None = None) -> Parsed:
+def parse(text: str, options: Options | None = None, facts: bool = True) -> Parsed:
+    """Blocks and inline structure; the fact lists only if they are asked for."""
     options = options or Options()
     text = canonical(text)
     front = front_matter(text)
@@ -122,7 +123,8 @@ def parse(text: str, options: Options | None = None) -> Parsed:
             for k, row in enumerate(b.info["rows"]):
                 if k != 1:
                     out.inlines += [(b, Inline([cell], refs)) for cell in row if cell[0]]
-    _collect(out, options)
+    if facts:
+        _collect(out, options)
     return out
 
 
