@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from glyphlake.functions.text import width_of
@@ -59,7 +59,13 @@ def signature(source: str | Parsed, keep_front: bool = True) -> list[tuple]:
                     words.append(f"\0{p.kind}{line.text[p.a : p.b].strip('<>')}\0")
                 elif p.kind != "gfm":
                     words.append(f"\0{p.kind}{' '.join(p.text.split())}\0")
-            yield ("inline", " ".join("".join(words).split()))
+            said = " ".join("".join(words).split())
+            if b.kind == "heading" and (m := re.search(r"\s*\{([^{}]*)\}$", said)):
+                parts = m[1].split()
+                named = tuple([x for x in parts if x[0] == "#"][-1:]), tuple(x for x in parts if x[0] == "."), tuple(x for x in parts if x[0] not in "#.")
+                said = said[: m.start()]
+                yield ("attributes", *named)
+            yield ("inline", said)
 
     for b, depth, _ in walk(doc.blocks):
         if b.kind == "code":
@@ -457,6 +463,73 @@ def stable(text: str, o: Fmt | None = None) -> bool:
     return signature(once, False) == signature(text, False) and format_text(once, o)[0] == once
 
 
+def divergence(a: str, b: str) -> tuple[int, str, str] | None:
+    """Number and content of the first element in which two documents' meanings differ."""
+    x, y = signature(a), signature(b)
+    for k in range(max(len(x), len(y))):
+        left, right = (x[k] if k < len(x) else None), (y[k] if k < len(y) else None)
+        if left != right:
+            return k, repr(left), repr(right)
+    return None
+
+
+def plan(edits: DataFrame) -> DataFrame:
+    """Edits (doc_id, family, s, e, replacement) in order; a family of which two overlap is left out as a whole."""
+    from glyphlake.operators.ranges import drop_overlapping_families
+
+    return drop_overlapping_families(edits).orderBy("doc_id", "s", "e")
+
+
+def candidates(docs: DataFrame, o: Fmt, families: list[str] | None = None) -> DataFrame:
+    """(doc_id, family, s, e, replacement): what each family proposes for a document as it stands; bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                try:
+                    doc = read(canonical(text or ""))
+                    rows += [(doc_id, n, len(doc.text[:s].encode()), len(doc.text[:e].encode()), new) for n in families or FAMILIES for s, e, new in FAMILIES[n](doc, o)]
+                except (RecursionError, ValueError, IndexError):
+                    continue
+            columns = zip(*rows, strict=True) if rows else [()] * 5
+            kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "family", "s", "e", "replacement"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, family string, s int, e int, replacement string")
+
+
+#: The kinds of block in whose bounds a family may edit.
+OWNERS = {"italic": ("paragraph", "heading", "table"), "strong": ("paragraph", "heading", "table"), "list-marker": ("list",), "ordered-list": ("list",), "thematic-break": ("break",), "references": ("definition", "paragraph"), "heading-attrs": ("heading",), "tables": ("table",)}
+
+
+def owned(edits: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edits that lie in a block of a kind their family may edit; families without an owner pass."""
+    pairs = edits.sparkSession.createDataFrame([(f, k) for f, kinds in OWNERS.items() for k in kinds], "_family string, _kind string")
+    n = nodes.select(F.col("doc_id").alias("_d"), F.col("kind").alias("_kind"), F.col("s").alias("_s"), F.col("e").alias("_e")).join(F.broadcast(pairs), "_kind")
+    test = (F.col("doc_id") == F.col("_d")) & (F.col("family") == F.col("_family")) & (F.col("_s") <= F.col("s")) & (F.col("e") <= F.col("_e"))
+    bound = F.col("family").isin(list(OWNERS))
+    return edits.where(bound).join(n, test, "left_semi").unionByName(edits.where(~bound))
+
+
+def text_function(function: Callable[[str], object], kind: str) -> Callable[[Column], Column]:
+    """A function of one text as a column; null stays null."""
+
+    def call(x: Column, *more: Column) -> Column:
+        @F.arrow_udf(kind)
+        def run(*columns: pa.Array) -> pa.Array:
+            rows = zip(*(c.to_pylist() for c in columns), strict=True)
+            return pa.array([None if r[0] is None else function(*r) for r in rows], type=_ARROW[kind])
+
+        return run(x, *more)
+
+    return call
+
+
+_ARROW = {"string": pa.string(), "boolean": pa.bool_(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
+meaning = text_function(lambda t: [repr(x) for x in signature(t)], "array<string>")
+same_meaning = text_function(lambda a, b: signature(a) == signature(b or ""), "boolean")
+
 _SCHEMA = "doc_id long, formatted string, changed boolean, proposed int, applied int, rejected int, converged boolean, stable boolean"
 
 
@@ -480,6 +553,21 @@ def formatted(docs: DataFrame, o: Fmt | None = None, check: bool = False) -> Dat
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SCHEMA)
 
 
+def explanation(rows: DataFrame) -> DataFrame:
+    """(doc_id, note): a line on what was proposed, applied and rejected where anything was."""
+    some = rows.where("proposed > 0 or not converged")
+    note = F.concat(F.col("proposed").cast("string"), F.lit(" proposed, "), F.col("applied").cast("string"), F.lit(" applied, "), F.col("rejected").cast("string"), F.lit(" rejected"))
+    return some.select("doc_id", F.when(~F.col("converged"), F.concat(F.lit("not settled, kept as it was: "), note)).otherwise(note).alias("note"))
+
+
 def format_report(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n_docs"), F.count_if("changed").alias("n_changed"), F.sum("proposed").alias("n_proposed"), F.sum("applied").alias("n_applied"),
                     F.sum("rejected").alias("n_rejected"), F.count_if(~F.col("converged")).alias("n_not_converged"))
+
+
+def salvaged(text: str, o: Fmt, family: str) -> tuple[int, int, int]:
+    """Edits proposed, applied and rejected in one commit of one family."""
+    doc, report = read(canonical(text)), Report()
+    want = signature(doc)
+    _commit(doc.text, FAMILIES[family](doc, o), lambda t: signature(t) == want, report)
+    return report.proposed, report.applied, report.rejected

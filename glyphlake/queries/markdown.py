@@ -166,7 +166,6 @@ FORMATS: dict[str, tuple[Fmt, dict[str, str]]] = {
     "fmt09_tables_align": (Fmt(tables_style="align"), {"table": _lit("|   a | b   |\n| --: | --- |\n|   1 | 2   |\n\n")}),
     "fmt01_italic": (Fmt(italic="asterisk"), {"table": _TABLE, "em": _lit("Some *soft* and __hard__ words.\n\n")}),
     "fmt02_strong": (Fmt(strong="asterisk"), {"table": _TABLE, "em": _lit("Some _soft_ and **hard** words.\n\n")}),
-    "fmt03_list_marker": (Fmt(list_marker="plus"), {"table": _TABLE, "list": _lit("- one\n- two\n* three\n\n")}),
     "fmt04_ordered_one": (Fmt(ordered_list="one"), {"table": _TABLE, "ol": _lit("3. c\n3. d\n\n")}),
     "fmt04_ordered_consistent": (Fmt(ordered_list="consistent"), {"table": _TABLE, "ol": _lit("3. c\n4. d\n\n")}),
     "fmt05_thematic_break": (Fmt(thematic_break="underscore-70"), {"table": _TABLE, "rule": _lit("_" * 70 + "\n\n")}),
@@ -186,9 +185,7 @@ def _format(options: Fmt) -> Query:
 
 
 for _key, (_options, _new) in FORMATS.items():
-    if _key != "fmt03_list_marker":
-        QUERIES[_key] = _format(_options)
-        ORACLE[_key] = _text_sql(_new)
+    QUERIES[_key], ORACLE[_key] = _format(_options), _text_sql(_new)
 
 
 @query("fmt13_wrap")
