@@ -346,8 +346,11 @@ def wrap(doc: Parsed, o: Fmt) -> list[Edit]:
     return out
 
 
-def _commit(text: str, edits: list[Edit], check: Callable[[str], bool], report: Report, salvage: bool = True) -> str:
-    """The text with all edits if that passes the check; else with those that pass, found by halving."""
+def _commit(text: str, edits: list[Edit], check: Callable[[str], bool], report: Report, salvage: bool = True, halve: bool = False) -> str:
+    """The text with all edits if that passes the check; else with those that pass one by one.
+
+    Edits that do not depend on each other, such as those of wrapping, are sought by halving.
+    """
     edits = [e for e in dict.fromkeys(edits) if text[e[0] : e[1]] != e[2]]
     report.proposed += len(edits)
     if not edits or not disjoint(edits):
@@ -362,9 +365,9 @@ def _commit(text: str, edits: list[Edit], check: Callable[[str], bool], report:
         if not failed and check(splice(text, [*kept, *part])):
             kept.extend(part)
         elif len(part) > 1:
-            half = len(part) // 2
-            keep(part[:half])
-            keep(part[half:])
+            at = len(part) // 2 if halve else 1
+            for k in range(0, len(part), at):
+                keep(part[k : k + at])
 
     if salvage:
         keep(edits, failed=True)
@@ -441,7 +444,7 @@ def format_text(text: str, o: Fmt | None = None) -> tuple[str, Report]:
     out = doc.text
     if o.wrap != "keep" and (edits := wrap(doc, o)):
         want = meaning or signature(doc)
-        out = _commit(out, edits, lambda t: signature(t) == want, report)
+        out = _commit(out, edits, lambda t: signature(t) == want, report, halve=True)
     return line_ends(out, o, crlf), report
 
 
