@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _GREEK = "alpha α beta β gamma γ delta δ epsilon ε varepsilon ϵ zeta ζ eta η theta θ vartheta ϑ iota ι kappa κ varkappa ϰ lambda λ mu μ nu ν xi ξ pi π varpi ϖ rho ρ varrho ϱ sigma σ varsigma ς tau τ upsilon υ phi φ varphi ϕ chi χ psi ψ omega ω Gamma Γ Delta Δ Theta Θ Lambda Λ Xi Ξ Pi Π Sigma Σ Upsilon Υ Phi Φ Psi Ψ Omega Ω"
 _OPERATORS = "boxtimes ⊠ pm ± mp ∓ times × div ÷ cdot ⋅ ast ∗ star ⋆ circ ∘ bullet • oplus ⊕ ominus ⊖ otimes ⊗ oslash ⊘ odot ⊙ cap ∩ cup ∪ uplus ⊎ sqcap ⊓ sqcup ⊔ vee ∨ wedge ∧ setminus ∖ wr ≀ dagger † ddagger ‡ amalg ⨿ diamond ⋄ triangleleft ◁ triangleright ▷ land ∧ lor ∨"
@@ -67,3 +67,9 @@ def commands(spark: SparkSession) -> DataFrame:
     """(name, category, symbol, preferred): the registry as a small table; ``preferred`` is the name a symbol goes back to."""
     rows = [(n, c, SYMBOLS.get(n), COMMANDS.get(SYMBOLS.get(n)) == n) for n, c in CATEGORY.items()]
     return spark.createDataFrame(rows, "name string, category string, symbol string, preferred boolean")
+
+
+def scripted(text: Column, table: dict[str, str]) -> Column:
+    """The text in super- or subscript characters (``SUPER`` or ``SUB``); null if one of its characters has no such form."""
+    inside = "".join("\\" + c if c in "^-]\\" else c for c in table)
+    return F.when(text.rlike(f"^[{inside}]+$"), F.translate(text, "".join(table), "".join(table.values())))

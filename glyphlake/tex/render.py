@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from glyphlake.tex import registry as R
 from glyphlake.tex.translate import events
@@ -21,7 +21,26 @@ class Profile:
     macros: dict = field(default_factory=dict)
 
 
+    def with_package(self, name: str) -> Profile:
+        return replace(self, packages=self.packages | {name})
+
+    def with_macro(self, name: str, arguments: int = 0) -> Profile:
+        return replace(self, macros={**self.macros, name: arguments})
+
+
 _KATEX_LACKS = {"eqnarray", "multline", "flalign"}
+#: Packages that a renderer has loaded from the start.
+BUILT_IN = {"mathjax-v3": frozenset(), "katex": frozenset({"cancel", "color", "braket"})}
+_NAMES = sorted(set(R.PACKAGES.values()))
+
+
+def package_mask(names: set[str] | frozenset[str]) -> int:
+    return sum(1 << k for k, n in enumerate(_NAMES) if n in names)
+
+
+def package_bit(name: Column) -> Column:
+    """The bit of a package; 0 if it is null or unknown."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k, n in enumerate(_NAMES) for x in (n, 1 << k)]), name), F.lit(0))
 
 
 def command_events(regions: DataFrame) -> DataFrame:
@@ -44,24 +63,37 @@ STRUCTURAL = ("text", "mbox", "textrm", "textbf", "textit", "big", "Big", "bigl"
 
 def overlay(spark: SparkSession) -> DataFrame:
     """(name, category, package): every command a renderer knows, once; a fixed table of a few hundred rows."""
-    known = {n: ("structural", None) for n in STRUCTURAL} | {n: ("package", p) for n, p in R.PACKAGES.items()} | {n: (c, R.PACKAGES.get(n)) for n, c in R.CATEGORY.items()}
+    known = {n: (c, R.PACKAGES.get(n)) for n, c in R.CATEGORY.items()} | {n: ("package", p) for n, p in R.PACKAGES.items()} | {n: ("structural", None) for n in STRUCTURAL}
     return spark.createDataFrame([(n, *v) for n, v in sorted(known.items())], "name string, category string, package string")
 
 
+def classified(rows: DataFrame, profile: Profile | None = None) -> DataFrame:
+    """Commands (column ``name``) with their class: macro, structural, package, a registry category, or unsupported.
+
+    The user's macros come first, then structure, then the overlay of packages, then the registry.
+    """
+    profile = profile or Profile()
+    rows = rows.join(F.broadcast(overlay(rows.sparkSession)), "name", "left")
+    macro = F.col("name").isin(*profile.macros) if profile.macros else F.lit(False)
+    kind = F.when(macro, "macro").when(F.col("category") == "structural", "structural").when(F.col("package").isNotNull(), "package")
+    return rows.withColumn("class", kind.otherwise(F.coalesce("category", F.lit("unsupported"))))
+
+
+def environments_of(profile: Profile) -> list[str]:
+    return sorted(set(R.ENVIRONMENTS) - (_KATEX_LACKS if profile.renderer == "katex" else set()))
+
+
 def issues(regions: DataFrame, profile: Profile | None = None) -> DataFrame:
     """(doc_id, s, e, code, name): unsupported commands and environments, missing packages, math commands in text."""
     profile = profile or Profile()
-    spark = regions.sparkSession
-    rows = command_events(regions).join(F.broadcast(overlay(spark)), "name", "left")
-    macro = F.col("name").isin(*profile.macros) if profile.macros else F.lit(False)
-    lacks = ~F.col("name").isin(*R.ENVIRONMENTS) if profile.renderer != "katex" else ~F.col("name").isin(*sorted(set(R.ENVIRONMENTS) - _KATEX_LACKS))
-    loaded = F.col("package").isin(*profile.packages) if profile.packages else F.lit(False)
+    rows = classified(command_events(regions), profile)
+    lacks = ~F.regexp_replace("name", r"\*$", "").isin(environments_of(profile))
+    loaded = package_bit(F.col("package")).bitwiseAND(F.lit(package_mask({*profile.packages, *BUILT_IN[profile.renderer]}))) != 0
     code = (
         F.when(F.col("what") == "exit", None)
-        .when(F.col("what") == "enter", F.when(lacks & ~F.regexp_replace("name", r"\*$", "").isin(*R.ENVIRONMENTS), "unsupported-environment"))
-        .when(macro, None)
-        .when(F.col("category").isNull() | ((F.col("category") == "unsupported") & F.col("package").isNull()), "unsupported-command")
-        .when(F.col("package").isNotNull() & ~loaded, "missing-package")
-        .when(F.col("in_text") & F.col("category").isin("greek", "operator", "relation", "arrow", "large"), "math-in-text")
+        .when(F.col("what") == "enter", F.when(lacks, "unsupported-environment"))
+        .when(F.col("class") == "unsupported", "unsupported-command")
+        .when((F.col("class") == "package") & ~loaded, "missing-package")
+        .when(F.col("in_text") & F.col("class").isin("greek", "operator", "relation", "arrow", "large"), "math-in-text")
     )
     return rows.withColumn("code", code).where("code is not null").select("doc_id", "s", "e", "code", "name")

@@ -366,52 +366,6 @@ def translate(body: Column, to: str) -> Column:
     return run(body)
 
 
-@dataclass
-class Grid:
-    lines: list[str]
-    base: int
-
-    @property
-    def width(self) -> int:
-        return max(map(len, self.lines), default=0)
-
-
-def _beside(grids: list[Grid]) -> Grid:
-    if not grids:
-        return Grid([""], 0)
-    above = max(g.base for g in grids)
-    below = max(len(g.lines) - g.base for g in grids)
-    rows = ["" for _ in range(above + below)]
-    for g in grids:
-        for k in range(len(rows)):
-            j = k - above + g.base
-            rows[k] += (g.lines[j] if 0 <= j < len(g.lines) else "").ljust(g.width)
-    return Grid(rows, above)
-
-
-def layout(body: str) -> Grid:
-    """Fractions and roots on a grid of characters around a base line; the rest in one line of Unicode."""
-    parts, i = [], 0
-    group = r"\{((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}"
-    for m in re.finditer(rf"\\[dt]?frac\s*{group}\s*{group}|\\sqrt\s*{group}", body):
-        if m.start() > i:
-            parts.append(Grid([to_unicode(body[i : m.start()]).text], 0))
-        if m[3] is not None:
-            inner = layout(m[3])
-            lines = [" " + "_" * inner.width, *("│" + x.ljust(inner.width) for x in inner.lines)]
-            lines[-1] = "√" + lines[-1][1:]
-            parts.append(Grid(lines, inner.base + 1))
-        else:
-            top, bottom = layout(m[1]), layout(m[2])
-            w = max(top.width, bottom.width)
-            lines = [*(x.ljust(top.width).center(w) for x in top.lines), "─" * w, *(x.ljust(bottom.width).center(w) for x in bottom.lines)]
-            parts.append(Grid(lines, len(top.lines)))
-        i = m.end()
-    if i < len(body) or not parts:
-        parts.append(Grid([to_unicode(body[i:]).text], 0))
-    return _beside(parts)
-
-
 def notes(rows: DataFrame) -> DataFrame:
     """``(doc_id, path, x)`` with x a translation -> one line of text for each thing lost."""
     lost = rows.select("doc_id", "path", F.explode("x.losses").alias("loss"))
