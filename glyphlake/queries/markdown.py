@@ -283,7 +283,7 @@ def stm03(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "stm04_stale_versions",
     f"""WITH e AS (SELECT {_EDITS} FROM events), m AS (SELECT *, max(version) OVER (PARTITION BY uri ORDER BY arrival, version ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e)
-    SELECT uri, version, 'open' AS status FROM m WHERE before IS NULL OR version > before""",
+    SELECT uri, version, 'open' AS status FROM m WHERE before IS NULL OR version >= before""",
 )
 def stm04(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glyphlake.streaming.editing import accepted, run_to_end

@@ -138,12 +138,18 @@ def unknown_names(facts: Facts, known: list[str]) -> DataFrame:
     return rows.select("doc_id", "s", "e", F.concat(F.lit("unknown rule "), "text").alias("message"), F.lit(None).cast("string").alias("replacement"), F.lit(False).alias("safe"))
 
 
-def diagnostics(docs: DataFrame, rules: RuleSet | None = None, suppress: bool = True, options: Options | None = None, locate: bool = True, share: bool | None = None) -> DataFrame:
+def stamped(rows: DataFrame, rule: Rule) -> DataFrame:
+    """Findings with their rule's name and kind. A rule of several codes names its findings itself; those names stay."""
+    name = F.coalesce(F.nullif(F.col("rule"), F.lit("")), F.lit(rule.name)) if "rule" in rows.columns else F.lit(rule.name)
+    return rows.withColumns({"rule": name, "advisory": F.lit(rule.advisory)})
+
+
+def diagnostics(docs: DataFrame, rules: RuleSet | None = None, suppress: bool = True, options: Options | None = None, locate: bool = True, share: bool | None = None, known: list[str] | None = None) -> DataFrame:
     """``docs(doc_id, text)`` -> (doc_id, rule, line, col, span_start, span_end, message, advisory, replacement, safe)."""
     rules = rules or RuleSet()
     wanted = {n for r in rules.rules.values() for n in r.needs} | ({"suppressions"} if suppress else set())
     facts = Facts(docs, sorted(wanted), options, share=len(rules) > 1 if share is None else share)
-    parts = [r.check(facts).withColumns({"rule": F.lit(r.name), "advisory": F.lit(r.advisory)}) for r in rules.rules.values()]
+    parts = [stamped(r.check(facts), r) for r in rules.rules.values()]
     if not parts:
         parts = [unknown_names(facts, list(RULES)).where("false").withColumns({"rule": F.lit(""), "advisory": F.lit(False)})]
     rows = reduce(DataFrame.unionByName, parts)
@@ -151,7 +157,7 @@ def diagnostics(docs: DataFrame, rules: RuleSet | None = None, suppress: bool =
         silent = suppressed_ranges(facts).select(F.col("doc_id").alias("_d"), F.col("rule").alias("_r"), F.col("s").alias("_s"), F.col("e").alias("_e"))
         test = (F.col("doc_id") == F.col("_d")) & ((F.col("_r") == "") | (F.col("_r") == F.col("rule"))) & (F.col("_s") <= F.col("s")) & (F.col("s") < F.col("_e"))
         rows = rows.join(silent, test, "left_anti")
-        rows = rows.unionByName(unknown_names(facts, list(RULES)).withColumns({"rule": F.lit(SUPPRESSION), "advisory": F.lit(True)}))
+        rows = rows.unionByName(unknown_names(facts, known or list(RULES)).withColumns({"rule": F.lit(SUPPRESSION), "advisory": F.lit(True)}))
     if locate:
         rows = located(rows, facts.docs).withColumns({"line": F.col("line").cast("long"), "col": F.col("col").cast("long")})
     where = ["line", "col"] if locate else []

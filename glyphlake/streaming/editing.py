@@ -8,39 +8,99 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from glyphlake.rules.run import RuleSet, diagnostics
+from glyphlake.fmt.engine import formatted
+from glyphlake.functions import text as T
+from glyphlake.operators.facts import Facts
+from glyphlake.operators.ranges import snapped
+from glyphlake.rules.run import RuleSet, configured, diagnostics
+from glyphlake.sources.config import Config, Fmt
 
-ACCEPTED = "uri string, version long, kind string, text string, status string"
+ACCEPTED = "uri string, n long, version long, kind string, text string, status string, due string"
+STATE = "version long, text string, n long"
 LIMIT = 10_000_000
 
 
-def accept(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Edits newer than what is known, in order of arrival; too large ones are marked and not kept."""
-    version = state.get[0] if state.exists else -(1 << 62)
-    rows = pd.concat(list(batches)).sort_values(["arrival", "version"])
+def accept(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, limit: int = LIMIT) -> Iterator[pd.DataFrame]:
+    """What takes effect, in order of arrival, numbered by ``n``.
+
+    An open replaces what was known. A change with a version below the current one comes late and is dropped. A save tells
+    of the text as it is. Opens and saves are due for a check at once, changes when the document is quiet. A close forgets
+    the document. Too large a text is marked, kept out of the state, and not passed on.
+    """
+    version, text, n = state.get if state.exists else (None, None, 0)
+    rows = pd.concat(list(batches)).sort_values(["arrival", "version", "kind"])
     out = []
-    for kind, new, text in zip(rows["kind"], rows["version"], rows["text"], strict=True):
+    for kind, new, body in zip(rows["kind"], rows["version"], rows["text"], strict=True):
+        if kind == "save" and version is None or kind == "change" and version is not None and new < version:
+            continue
+        n += 1
         if kind == "close":
-            version = -(1 << 62)
-            out.append((key[0], new, kind, None, "closed"))
-        elif new > version:
-            version = int(new)
-            out.append((key[0], new, kind, text, "too-large" if text is not None and len(text.encode()) > LIMIT else "open"))
-    if version == -(1 << 62):
+            version = text = None
+            out.append((key[0], n, new, kind, None, "closed", "now"))
+        elif kind == "save":
+            out.append((key[0], n, version, kind, text, "too-large" if text is None else "open", "now"))
+        else:
+            version, text = int(new), body if body is not None and len(body.encode()) <= limit else None
+            out.append((key[0], n, new, kind, text, "too-large" if text is None else "open", "now" if kind == "open" else "quiet"))
+    if version is None:
         state.remove()
     else:
-        state.update((version,))
-    yield pd.DataFrame(out, columns=["uri", "version", "kind", "text", "status"])
+        state.update((version, text, n))
+    yield pd.DataFrame(out, columns=["uri", "n", "version", "kind", "text", "status", "due"])
 
 
-def accepted(edits: DataFrame) -> DataFrame:
+def accepted(edits: DataFrame, limit: int = LIMIT) -> DataFrame:
     """``edits(uri, version, kind, text, arrival)`` as a stream -> those that take effect."""
-    return edits.groupBy("uri").applyInPandasWithState(accept, ACCEPTED, "version long", "append", GroupStateTimeout.NoTimeout)
+    one = partial(accept, limit=limit)
+    return edits.groupBy("uri").applyInPandasWithState(one, ACCEPTED, STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def first_change(changes: Column) -> Column:
+    """The text of an edit that lists several whole-text changes: the first counts."""
+    return F.get(changes, F.lit(0))
+
+
+def open_documents(rows: DataFrame) -> DataFrame:
+    """(uri, version, text) of the documents that are open after all ``accepted`` rows."""
+    last = rows.groupBy("uri").agg(F.max_by(F.struct("version", "text", "status"), F.col("n")).alias("x"))
+    return last.where("x.status <> 'closed'").select("uri", "x.version", "x.text")
+
+
+def current_results(results: DataFrame, documents: DataFrame, revision: int) -> DataFrame:
+    """Results of checks that are not stale: the document still has their version, and the configuration their revision."""
+    now = documents.select("uri", F.col("version").alias("_now"))
+    return results.where(F.col("revision") == revision).join(now, "uri").where("version = _now").drop("_now")
+
+
+def relint(documents: DataFrame, config: Config, revision: int) -> DataFrame:
+    """Every open document checked under a new configuration; the findings carry its revision."""
+    docs = documents.where("text is not null").select(F.xxhash64("uri").alias("doc_id"), "uri", "version", "text")
+    found = diagnostics(docs, configured(config))
+    return found.join(docs.select("doc_id", "uri", "version"), "doc_id").drop("doc_id").withColumn("revision", F.lit(revision))
+
+
+def negotiated(offers: Column) -> Column:
+    """The position encoding of a client that offers an array of them. Edits need utf-8; utf-16 is what all speak."""
+    return F.when(F.array_contains(offers, "utf-8"), "utf-8").otherwise("utf-16")
+
+
+def range_edits(docs: DataFrame, start: Column, end: Column, options: Fmt) -> DataFrame:
+    """(doc_id, s, e, text): the top-level blocks around a byte range of each document, formatted.
+
+    The range is widened to the parse's checkpoints (an as-of join on either side) and only that slice is formatted.
+    """
+    facts = Facts(docs, ["checkpoints"])
+    wanted = facts.docs.select("doc_id", start.cast("int").alias("s"), end.cast("int").alias("e"))
+    spans = snapped(wanted, facts.table("checkpoints").select("doc_id", "s").distinct())
+    cut = spans.join(facts.docs, "doc_id").select("doc_id", "lo", "hi", T.bytes_of(F.col("text"), F.col("lo"), F.col("hi")).alias("text"))
+    new = formatted(cut.select("doc_id", "text"), options)
+    return cut.select("doc_id", F.col("lo").alias("s"), F.col("hi").alias("e")).join(new.where("changed").select("doc_id", F.col("formatted").alias("text")), "doc_id")
 
 
 def debounced(edits: DataFrame, quiet: str = "300 milliseconds") -> DataFrame:
@@ -72,7 +132,7 @@ def lint_each(edits: DataFrame, publish: Callable[[DataFrame], None], rules: Rul
     """
 
     def each(rows: DataFrame, _: int) -> None:
-        newest = rows.where("status = 'open'").groupBy("uri").agg(F.max_by(F.struct("version", "text"), F.col("version")).alias("x"))
+        newest = rows.where("status = 'open'").groupBy("uri").agg(F.max_by(F.struct("version", "text"), F.col("n")).alias("x"))
         docs = newest.select(F.xxhash64("uri").alias("doc_id"), "uri", "x.version", "x.text")
         found = diagnostics(docs, rules, share=False)
         publish(found.join(docs.select("doc_id", "uri", "version"), "doc_id").drop("doc_id"))
