@@ -115,6 +115,13 @@ def explain(name: str) -> str:
     return f"{r.name}: {r.description} ({', '.join(flags) or 'off by default'})"
 
 
+def rule_pages(spark: SparkSession) -> DataFrame:
+    """(path, text): a page of documentation for each rule."""
+    flags = F.concat_ws(", ", F.when(F.col("is_default"), "on by default").otherwise("off by default"), F.when(F.col("is_advisory"), "advisory"), F.when(F.col("fixes") != "", F.concat("fixes", F.lit(" fix"))))
+    text = F.concat(F.lit("# "), "name", F.lit("\n\n"), "description", F.lit(".\n\n"), flags, F.lit("\n"))
+    return catalogue(spark).select(F.concat(F.lit("rules/"), "name", F.lit(".md")).alias("path"), text.alias("text"))
+
+
 def suppressed_ranges(facts: Facts) -> DataFrame:
     """(doc_id, rule, s, e): where a rule is silent; rule '' stands for all. Regions end at the next ``enable`` or the end."""
     rows = facts.table("suppressions").select("doc_id", F.col("text").alias("rule"), "kind", "s", "e")

@@ -5,10 +5,12 @@ import math
 import duckdb
 import pytest
 
-from glyphlake.queries import lint, markdown
+from glyphlake.queries import corpora, formatting, lint, markdown, relational, scalars, sessions, sources, structure, texqueries
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLE = {**lint.QUERIES, **markdown.QUERIES}, {**lint.ORACLE, **markdown.ORACLE}
+BOOKS = (lint, markdown, structure, relational, scalars, sources, formatting, texqueries, sessions, corpora)
+QUERIES = {k: q for b in BOOKS for k, q in b.QUERIES.items()}
+ORACLE = {k: q for b in BOOKS for k, q in b.ORACLE.items()}
 
 
 @pytest.fixture(scope="module")
