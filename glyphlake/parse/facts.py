@@ -128,6 +128,16 @@ def parse(text: str, options: Options | None = None, facts: bool = True) -> Pars
     return out
 
 
+def _reach(text: str, at: int, directive: str) -> int:
+    """Where a directive for what follows it ends: the next line, or the next block and the line after it."""
+    if directive == "allow-next-line":
+        end = text.find("\n", at)
+        return min(len(text), end + 1) if end >= 0 else len(text)
+    at = re.compile(r"(?:[ \t]*\n)*").match(text, min(at, len(text))).end()
+    end = re.compile(r"\n[ \t]*(?:\n|\Z)").search(text, at)
+    return min(len(text), end.start() + 1) if end else len(text)
+
+
 def _collect(doc: Parsed, options: Options) -> None:
     text = doc.text
     if text.isascii():
@@ -160,14 +170,15 @@ def _collect(doc: Parsed, options: Options) -> None:
                 add("heading_attrs", last[1] + m.start(), last[1] + m.end(1) + 1, text=m[1])
         elif b.kind == "code":
             body = "\n".join(t for t, _ in b.lines)
-            add("code_blocks", b.start, b.end, text=body, kind="fenced" if b.info["fenced"] else "indented", label=b.info["info"])
+            head = text[b.start : b.end].split("\n", 1)[0]
+            add("code_blocks", b.start, b.end, text=body, kind="fenced" if b.info["fenced"] else "indented", label=b.info["info"], n=len(head.encode()))
         elif b.kind == "html":
             for t, a in b.lines:
                 add("html_blocks", a, a + len(t), text=t)
                 if m := _DIRECTIVE.match(t):
                     for name in [x for x in re.split(r"[, \t]+", m[2]) if x] or [""]:
                         if name or m[1].endswith("-all"):
-                            add("suppressions", a, a + len(t), kind=m[1].removesuffix("-all"), text=name)
+                            add("suppressions", a, a + len(t), kind=m[1].removesuffix("-all"), text=name, n=byte(_reach(text, a + len(t) + 1, m[1])))
         elif b.kind == "break":
             add("thematic_breaks", b.start, b.end, text=text[b.start : b.end])
         elif b.kind == "list":
@@ -185,7 +196,8 @@ def _collect(doc: Parsed, options: Options) -> None:
             add("tables", b.start, b.end, n=len(b.info["align"]), text=",".join(b.info["align"]))
             for k, row in enumerate(b.info["rows"]):
                 for j, (t, a) in enumerate(row):
-                    add("table_cells", a, a + len(t), n=k, text=t, label=str(j))
+                    around = text[max(a - 1, 0) : a].rjust(1) + text[a + len(t) : a + len(t) + 1].ljust(1)
+                    add("table_cells", a, a + len(t), n=k, text=t, label=str(j), kind=around)
     for a, b in zip(doc.blocks, doc.blocks[1:], strict=False):
         add("block_gaps", a.end, b.start, kind=f"{a.kind}>{b.kind}", n=text.count("\n", a.end, b.start) - 1)
     for at in (0, len(text)):
@@ -206,7 +218,7 @@ def _collect(doc: Parsed, options: Options) -> None:
             if p.kind == "text":
                 add("prose", s, e, text=p.text)
             elif p.kind == "code":
-                add("inline_codes", s, e, text=p.text)
+                add("inline_codes", s, e, text=p.text, kind=text[max(s - 1, 0) : s], label=text[e : e + 3])
             elif p.kind == "html":
                 add("inline_html", s, e, text=p.text)
             elif p.kind == "autolink":

@@ -11,7 +11,7 @@ from glyphlake.operators.fixtures import Expect, Recipe, _lit
 from glyphlake.parse.facts import Options
 
 Query = Callable[[SparkSession, str], DataFrame]
-PLACE = [F.col(a).cast("long").alias(b) for a, b in (("line", "line"), ("col", "col"), ("s", "span_start"), ("e", "span_end"))]
+Columns = Callable[[], dict[str, Column]]  # made when a query runs: a column needs a session
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,20 +37,21 @@ class Book:
 
         return put
 
-    def fact(self, name: str, fact: str, recipe: Recipe, expects: list[Expect], options: Options | None = None, extra: dict[str, Column] | None = None, where: str = "true") -> None:
+    def fact(self, name: str, fact: str, recipe: Recipe, expects: list[Expect], options: Options | None = None, extra: Columns | None = None, where: str = "true") -> None:
         """Facts of one kind with their places; further columns by name, whose expected values are in ``Expect.extra``."""
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             facts = Facts(recipe.docs(spark, sf_dir), [fact], options)
             rows = located(facts.table(fact).where(where), facts.docs)
-            return rows.select("doc_id", F.lit(fact).alias("rule"), *PLACE, *(c.alias(n) for n, c in (extra or {}).items()))
+            place = [F.col(a).cast("long").alias(b) for a, b in (("line", "line"), ("col", "col"), ("s", "span_start"), ("e", "span_end"))]
+            return rows.select("doc_id", F.lit(fact).alias("rule"), *place, *(c.alias(n) for n, c in (extra() if extra else {}).items()))
 
         self.queries[name], self.oracle[name] = run, f"WITH {recipe.placed()} {recipe.expected(fact, expects)}"
 
-    def column(self, name: str, source: str, spark_columns: dict[str, Column], sql: str) -> None:
+    def column(self, name: str, source: str, columns: Columns, sql: str) -> None:
         """Scalar expressions over one table; ``sql`` is the whole SQL twin."""
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return table(spark, sf_dir, source).select(*[c.alias(n) for n, c in spark_columns.items()])
+            return table(spark, sf_dir, source).select(*[c.alias(n) for n, c in columns().items()])
 
         self.queries[name], self.oracle[name] = run, sql

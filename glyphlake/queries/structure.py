@@ -28,17 +28,17 @@ def prs02(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PROSE = document(("a", "p_partkey % 2 = 0", "Café \\*x `code` tail\n\n"), END)
-BOOK.fact("prs07_prose", "prose", _PROSE, [Expect("a", "0", "10", "1", extra="9 AS n_chars"), Expect("a", "16", "5", "16", extra="5 AS n_chars"), Expect("end", "0", "4", "1", extra="4 AS n_chars")], extra={"n_chars": F.length("text")})
+BOOK.fact("prs07_prose", "prose", _PROSE, [Expect("a", "0", "10", "1", extra="9 AS n_chars"), Expect("a", "16", "5", "16", extra="5 AS n_chars"), Expect("end", "0", "4", "1", extra="4 AS n_chars")], extra=lambda: {"n_chars": F.length("text")})
 
 _LISTS = document(("ul", "p_partkey % 2 = 0", "-   one\n    more\n* two\n\n"), ("ol", "p_partkey % 3 = 0", "10. ten\n\n"), END)
-BOOK.fact("prs11_item_widths", "item_widths", _LISTS, [Expect("ul", "0", "1", "1", extra="4 AS width"), Expect("ul", "17", "1", "1", 2, extra="2 AS width"), Expect("ol", "0", "3", "1", extra="4 AS width")], extra={"width": F.col("n")})
+BOOK.fact("prs11_item_widths", "item_widths", _LISTS, [Expect("ul", "0", "1", "1", extra="4 AS width"), Expect("ul", "17", "1", "1", 2, extra="2 AS width"), Expect("ol", "0", "3", "1", extra="4 AS width")], extra=lambda: {"width": F.col("n")})
 _QUOTED = document(("q", "p_partkey % 2 = 0", "> one\n> - two\n>   three\n\n"), ("li", "p_partkey % 3 = 0", "1. a\n   b\n\n"), END)
 BOOK.fact("prs12_container_prefixes", "transparent", _QUOTED, [Expect("q", "0", "2", "1"), Expect("q", "6", "4", "1", 1), Expect("q", "14", "4", "1", 2), Expect("li", "0", "3", "1"), Expect("li", "5", "3", "1", 1)])
 BOOK.fact("prs15_checkpoints", "checkpoints", _QUOTED, [Expect("q", "0", "0", "1"), Expect("li", "0", "0", "1"), Expect("end", "0", "0", "1"), Expect("end", "5", "0", "1", 1)], where="not (kind = 'bookend' and s = 0)")
 BOOK.fact(
     "prs16_tree", "tree", _QUOTED,
     [Expect("q", "0", "23", "1", extra="'quote' AS kind, -1 AS parent"), Expect("q", "2", "3", "3", extra="'paragraph', 0"), Expect("q", "8", "15", "3", 1, extra="'list', 0"), Expect("q", "8", "15", "3", 1, extra="'item', 2"), Expect("q", "10", "13", "5", 1, extra="'paragraph', 3")],
-    extra={"kind": F.col("kind"), "parent": F.coalesce(F.col("label").cast("int"), F.lit(-1))}, where="text < 5 and doc_id % 2 = 0",
+    extra=lambda: {"kind": F.col("kind"), "parent": F.coalesce(F.col("label").cast("int"), F.lit(-1))}, where="text < 5 and doc_id % 2 = 0",
 )
 
 
@@ -86,16 +86,16 @@ def prs22(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LINKS = document(("a", "p_partkey % 2 = 0", "Go http://a.org/x@b.org or me@c.org now.\n\n"), END)
-BOOK.fact("prs25_autolinks_do_not_overlap", "autolinks", _LINKS, [Expect("a", "3", "20", "4", extra="'GfmUrl' AS kind"), Expect("a", "27", "8", "28", extra="'GfmEmail' AS kind")], extra={"kind": F.col("kind")})
+BOOK.fact("prs25_autolinks_do_not_overlap", "autolinks", _LINKS, [Expect("a", "3", "20", "4", extra="'GfmUrl' AS kind"), Expect("a", "27", "8", "28", extra="'GfmEmail' AS kind")], extra=lambda: {"kind": F.col("kind")})
 
 _HEADS = document(("h", "p_partkey % 2 = 0", "# Top {.c #id k=v .d}\n\n"), ("s", "p_partkey % 3 = 0", "Low {.x}\n---\n\n"), END)
-BOOK.fact("prs27_heading_attributes", "heading_attrs", _HEADS, [Expect("h", "6", "15", "7", extra="'#id .c .d k=v' AS canonical"), Expect("s", "4", "4", "5", extra="'.x' AS canonical")], extra={"canonical": T.canonical_attributes(F.col("text"))})
-BOOK.fact("prs29_block_gaps", "block_gaps", _HEADS, [Expect("h", "21", "2", "22", extra="'heading' AS after"), Expect("s", "12", "2", "4", 1, extra="'heading' AS after")], extra={"after": F.substring_index("kind", ">", 1)})
+BOOK.fact("prs27_heading_attributes", "heading_attrs", _HEADS, [Expect("h", "6", "15", "7", extra="'#id .c .d k=v' AS canonical"), Expect("s", "4", "4", "5", extra="'.x' AS canonical")], extra=lambda: {"canonical": T.canonical_attributes(F.col("text"))})
+BOOK.fact("prs29_block_gaps", "block_gaps", _HEADS, [Expect("h", "21", "2", "22", extra="'heading' AS after"), Expect("s", "12", "2", "4", 1, extra="'heading' AS after")], extra=lambda: {"after": F.substring_index("kind", ">", 1)})
 _PARAS = document(("p", "p_partkey % 2 = 0", "one `c` and [l](/u)\ntwo  \nthree\n\n"), ("q", "p_partkey % 3 = 0", "> quoted\n> text\n\n"), ("adm", "p_partkey % 5 = 0", "!!! note\n\n"), END)
 BOOK.fact(
     "prs30_wrappable_paragraphs", "wrappable", _PARAS,
     [Expect("p", "0", "31", "1", extra="'document' AS owner, '' AS prefix, 2 AS atomics, '1' AS hard"), Expect("q", "2", "13", "3", extra="'quote', '> ', 0, '0'"), Expect("end", "0", "4", "1", extra="'document', '', 0, '0'")],
-    extra={"owner": F.col("kind"), "prefix": F.col("text"), "atomics": F.col("n"), "hard": F.col("label")},
+    extra=lambda: {"owner": F.col("kind"), "prefix": F.col("text"), "atomics": F.col("n"), "hard": F.col("label")},
 )
 
 
@@ -111,7 +111,7 @@ _TIGHT = document(("t", "p_partkey % 2 = 0", "- a\n- b\n\n"), ("l", "p_partkey %
 BOOK.fact(
     "prs34_list_tightness", "list_groups", _TIGHT,
     [Expect("t", "0", "7", "1", extra="'tight' AS tightness"), Expect("l", "0", "8", "1", extra="'loose' AS tightness"), Expect("n", "0", "16", "1", extra="'tight' AS tightness"), Expect("n", "6", "10", "3", 1, extra="'loose' AS tightness")],
-    extra={"tightness": F.col("text")},
+    extra=lambda: {"tightness": F.col("text")},
 )
 
 _TOGGLED = document(("t", "p_partkey % 2 = 0", "| a |\n|---|\n\n"), ("u", "p_partkey % 3 = 0", "http://x.org and me@x.org\n\n"), ("h", "p_partkey % 5 = 0", "# H {#id}\n\n"), ("d", "p_partkey % 7 = 0", "Term\n: about\n\n"), END)
@@ -139,12 +139,12 @@ def prs37(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-BOOK.fact("mth02_dollar_delimiters", "math_regions", document(("dollar", "p_partkey % 2 = 0", "Cost $x+1$ and $$y$$ now.\n\n"), END), [Expect("dollar", "5", "5", "6", extra="'inline' AS kind"), Expect("dollar", "15", "5", "16", extra="'display' AS kind")], Options(math="github"), {"kind": F.col("kind")})
+BOOK.fact("mth02_dollar_delimiters", "math_regions", document(("dollar", "p_partkey % 2 = 0", "Cost $x+1$ and $$y$$ now.\n\n"), END), [Expect("dollar", "5", "5", "6", extra="'inline' AS kind"), Expect("dollar", "15", "5", "16", extra="'display' AS kind")], Options(math="github"), lambda: {"kind": F.col("kind")})
 BOOK.fact("mth03_exclusions", "math_regions", document(("code", "p_partkey % 3 = 0", "Code `\\(a\\)` then \\(b\\).\n\n"), ("fence", "p_partkey % 3 = 1", "```\n\\(c\\)\n```\n\n"), END), [Expect("code", "18", "5", "19")])
-BOOK.fact("mth04_transparent_runs", "math_regions", document(("quote", "p_partkey % 11 = 0", "> \\[\n> {f\n> 1}\n> \\]\n\n"), END), [Expect("quote", "2", "17", "3", extra="true AS balanced")], extra={"balanced": M.first_unbalanced(F.col("text")).isNull()})
+BOOK.fact("mth04_transparent_runs", "math_regions", document(("quote", "p_partkey % 11 = 0", "> \\[\n> {f\n> 1}\n> \\]\n\n"), END), [Expect("quote", "2", "17", "3", extra="true AS balanced")], extra=lambda: {"balanced": M.first_unbalanced(F.col("text")).isNull()})
 BOOK.fact("mth05_escape_parity", "math_regions", document(("esc", "p_partkey % 5 = 0", "Not \\\\(d\\\\) but \\\\\\(e\\).\n\n"), END), [Expect("esc", "18", "5", "19")])
 BOOK.fact("mth06_alphanumeric_guard", "math_regions", document(("guard", "p_partkey % 7 = 0", "Sign \\( + \\) or \\( + 1 \\).\n\n"), END), [Expect("guard", "16", "9", "17")])
-BOOK.fact("mth07_nested_environments", "math_regions", document(("env", "p_partkey % 4 = 0", "\\begin{split}\\begin{split}a\\end{split} b\\end{split} c\n\n"), END), [Expect("env", "0", "51", "1", extra="'split' AS env")], extra={"env": F.col("label")})
+BOOK.fact("mth07_nested_environments", "math_regions", document(("env", "p_partkey % 4 = 0", "\\begin{split}\\begin{split}a\\end{split} b\\end{split} c\n\n"), END), [Expect("env", "0", "51", "1", extra="'split' AS env")], extra=lambda: {"env": F.col("label")})
 
 _ENVS = [*KNOWN, "theorem"]
 _PICK = f"CASE p_partkey % {len(_ENVS)} " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(_ENVS)) + " END"

@@ -124,17 +124,12 @@ def rule_pages(spark: SparkSession) -> DataFrame:
 
 def suppressed_ranges(facts: Facts) -> DataFrame:
     """(doc_id, rule, s, e): where a rule is silent; rule '' stands for all. Regions end at the next ``enable`` or the end."""
-    rows = facts.table("suppressions").select("doc_id", F.col("text").alias("rule"), "kind", "s", "e")
+    rows = facts.table("suppressions").select("doc_id", F.col("text").alias("rule"), "kind", "s", "e", "n")
     order = W.partitionBy("doc_id", "rule").orderBy("s")
     switches = rows.where("kind in ('disable', 'enable')").withColumn("before", F.lag("kind").over(order))
     switches = switches.withColumn("end", F.min(F.when(F.col("kind") == "enable", F.col("s"))).over(order.rowsBetween(1, W.unboundedFollowing)))
     regions = switches.where("kind = 'disable' and (before is null or before = 'enable')").select("doc_id", "rule", F.col("e").alias("s"), F.coalesce("end", F.lit(2147483647)).alias("e"))
-    single = rows.where("kind in ('allow', 'allow-next-line')").join(facts.docs, "doc_id")
-    after = T.bytes_of(F.col("text"), F.col("e") + 1, F.octet_length("text"))
-    line = F.octet_length(F.substring_index(after, "\n", 1)) + 1
-    skipped = F.octet_length(F.regexp_extract(after, r"^(?:[ \t]*\n)*", 0))
-    block = skipped + F.octet_length(F.element_at(F.split(F.regexp_replace(after, r"^(?:[ \t]*\n)*", ""), r"\n[ \t]*(?:\n|$)", 2), 1)) + 1
-    single = single.select("doc_id", "rule", F.col("e").alias("s"), (F.col("e") + 1 + F.when(F.col("kind") == "allow", block).otherwise(line)).alias("e"))
+    single = rows.where("kind in ('allow', 'allow-next-line')").select("doc_id", "rule", F.col("e").alias("s"), F.col("n").alias("e"))
     return regions.unionByName(single)
 
 
@@ -153,7 +148,7 @@ def stamped(rows: DataFrame, rule: Rule) -> DataFrame:
 
 def diagnostics(docs: DataFrame, rules: RuleSet | None = None, suppress: bool = True, options: Options | None = None, locate: bool = True, share: bool | None = None, known: list[str] | None = None) -> DataFrame:
     """``docs(doc_id, text)`` -> (doc_id, rule, line, col, span_start, span_end, message, advisory, replacement, safe)."""
-    rules = rules or RuleSet()
+    rules = RuleSet() if rules is None else rules
     wanted = {n for r in rules.rules.values() for n in r.needs} | ({"suppressions"} if suppress else set())
     facts = Facts(docs, sorted(wanted), options, share=len(rules) > 1 if share is None else share)
     parts = [stamped(r.check(facts), r) for r in rules.rules.values()]
@@ -161,9 +156,10 @@ def diagnostics(docs: DataFrame, rules: RuleSet | None = None, suppress: bool =
         parts = [unknown_names(facts, list(RULES)).where("false").withColumns({"rule": F.lit(""), "advisory": F.lit(False)})]
     rows = reduce(DataFrame.unionByName, parts)
     if suppress:
-        silent = suppressed_ranges(facts).select(F.col("doc_id").alias("_d"), F.col("rule").alias("_r"), F.col("s").alias("_s"), F.col("e").alias("_e"))
-        test = (F.col("doc_id") == F.col("_d")) & ((F.col("_r") == "") | (F.col("_r") == F.col("rule"))) & (F.col("_s") <= F.col("s")) & (F.col("s") < F.col("_e"))
-        rows = rows.join(silent, test, "left_anti")
+        # One row a document, joined once: an anti join would be pushed below the union and planned again for every rule.
+        silent = suppressed_ranges(facts).groupBy(F.col("doc_id").alias("_d")).agg(F.collect_list(F.struct("rule", "s", "e")).alias("_silent"))
+        inside = F.exists("_silent", lambda r: ((r["rule"] == "") | (r["rule"] == F.col("rule"))) & (r["s"] <= F.col("s")) & (F.col("s") < r["e"]))
+        rows = rows.join(silent, F.col("doc_id") == F.col("_d"), "left").where(~F.coalesce(inside, F.lit(False))).drop("_d", "_silent")
         rows = rows.unionByName(unknown_names(facts, known or list(RULES)).withColumns({"rule": F.lit(SUPPRESSION), "advisory": F.lit(True)}))
     if locate:
         rows = located(rows, facts.docs).withColumns({"line": F.col("line").cast("long"), "col": F.col("col").cast("long")})

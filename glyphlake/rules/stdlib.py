@@ -80,9 +80,7 @@ def render_compat(facts: Facts, profile: Profile | None = None) -> DataFrame:
 
 @rule("adjacent-code-no-space", "inline_codes", "Code that touches a word", fixes="safe")
 def adjacent_code(facts: Facts) -> DataFrame:
-    rows = facts.table("inline_codes").join(facts.docs.withColumnRenamed("text", "doc"), "doc_id")
-    before = F.when(F.col("s") > 0, T.bytes_of(F.col("doc"), F.col("s") - 1, F.col("s"))).otherwise("")
-    after = T.bytes_of(F.col("doc"), F.col("e"), F.col("e") + 3)
+    rows, before, after = facts.table("inline_codes"), F.col("kind"), F.col("label")
     sides = F.array(
         F.when(before.rlike("^[A-Za-z]$"), F.struct(F.col("s").alias("at"), F.lit("before").alias("side"))),
         F.when(after.rlike("^[A-Za-z]") & ~after.rlike("^'?s(?:[^A-Za-z]|$)"), F.struct(F.col("e").alias("at"), F.lit("after").alias("side"))),
@@ -143,11 +141,9 @@ def inconsistent_marker(facts: Facts) -> DataFrame:
 @rule("table-pipe-spacing", "tables table_cells", "A pipe that touches the text of a cell in an aligned table", fixes="safe")
 def pipe_spacing(facts: Facts) -> DataFrame:
     tables = facts.table("tables").where(F.col("text").rlike("left|right|center")).select("doc_id", F.col("s").alias("ts"), F.col("e").alias("te"))
-    cells = facts.table("table_cells").where("n <> 1 and text <> ''").select("doc_id", "s", "e", "text")
-    rows = cells.join(tables, "doc_id").where("s >= ts and e <= te").join(facts.docs.withColumnRenamed("text", "doc"), "doc_id")
-    before = F.when(F.col("s") > 0, T.bytes_of(F.col("doc"), F.col("s") - 1, F.col("s"))).otherwise("")
-    after = T.bytes_of(F.col("doc"), F.col("e"), F.col("e") + 1)
-    spots = F.array(F.when(before == "|", F.col("s")), F.when(after == "|", F.col("e")))
+    cells = facts.table("table_cells").where("n <> 1 and text <> ''").select("doc_id", "s", "e", "kind")
+    rows = cells.join(tables, "doc_id").where("s >= ts and e <= te")
+    spots = F.array(F.when(F.left("kind", F.lit(1)) == "|", F.col("s")), F.when(F.right("kind", F.lit(1)) == "|", F.col("e")))
     spots = rows.select("doc_id", F.explode(F.filter(spots, lambda x: x.isNotNull())).alias("at"))
     return found(spots, "at", "at", "no space at pipe", F.lit(" "), True)
 
@@ -196,9 +192,7 @@ def info_string(facts: Facts, extra: tuple[str, ...] = ()) -> DataFrame:
     known = rows.sparkSession.createDataFrame([(x,) for x in sorted({*LANGUAGES, *extra})], "known string")
     rows = rows.where(~F.col("lang").rlike(r"^\{.*\}$")).withColumn("low", T.ascii_lower(F.col("lang")))
     rows = rows.join(F.broadcast(known), F.col("low") == F.col("known"), "left_anti")
-    rows = rows.join(facts.docs.withColumnRenamed("text", "doc"), "doc_id")
-    first = F.substring_index(T.bytes_of(F.col("doc"), F.col("s"), F.col("e")), "\n", 1)
-    return found(rows, "s", F.col("s") + F.octet_length(first), F.concat(F.lit("unknown language "), "lang"))
+    return found(rows, "s", F.col("s") + F.col("n"), F.concat(F.lit("unknown language "), "lang"))
 
 
 @rule("stray-dollar", "prose", "A dollar sign in prose", default=False, fixes="unsafe")
