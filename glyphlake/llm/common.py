@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,17 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-_OWN_DIR: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not _OWN_DIR:
-        _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="glyphlake-"))
-    return _OWN_DIR[0]
+from glyphlake.sources.scratch import shared_dir
 
 
 class Workspace:
@@ -61,21 +50,25 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def map_texts(
-    df: DataFrame, text_col: str, keep: dict[str, str], fields: str, function: Callable[[str | None], tuple], text_as: str | None = None
+    df: DataFrame, text_col: str, keep: dict[str, str], fields: str, function: Callable[..., tuple], text_as: str | None = None, given: tuple[str, ...] = ()
 ) -> DataFrame:
     """``function(text)`` of every row as columns ``fields`` (DDL), beside the columns ``keep`` (new name: old name).
 
-    Columns pass as Arrow arrays, so nulls and large integers stay what they are. ``text_as`` also keeps the text.
+    Columns pass as Arrow arrays, so nulls and large integers stay what they are. ``text_as`` also keeps the text. Columns in
+    ``given`` are further arguments of the function, and go.
     """
     made = StructType.fromDDL(fields)
     names = [*keep, *([text_as] if text_as else [])]
-    small = df.select(*[F.col(f"`{old}`").alias(new) for new, old in keep.items()], F.col(f"`{text_col}`").alias(text_as or "_text_"))
+    small = df.select(
+        *[F.col(f"`{old}`").alias(new) for new, old in keep.items()], F.col(f"`{text_col}`").alias(text_as or "_text_"), *[F.col(f"`{c}`").alias(f"_given_{c}") for c in given]
+    )
     types = [to_arrow_type(f.dataType) for f in made]
     schema = StructType([small.schema[n] for n in names] + list(made))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [function(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            texts = [batch.column(k).to_pylist() for k in range(len(keep), batch.num_columns)]
+            rows = [function(*x) for x in zip(*texts, strict=True)]
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(types)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(k) for k in range(len(names))), *(pa.array(c, type=t) for c, t in zip(columns, types, strict=True))], names=schema.names

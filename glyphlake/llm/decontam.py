@@ -1,11 +1,13 @@
 """Benchmark decontamination with one Aho-Corasick automaton over the benchmark's word windows.
 
-Item texts and documents are normalised alike (A-Z lower-cased, runs of word characters joined by one space). Every window
-of an item is one pattern, bounded by spaces; the automaton reads a normalised document once, finds all overlapping
-occurrences, and each is mapped back to its words and to its characters in the original text.
+Item texts and documents are normalised alike (A-Z lower-cased, runs of word characters are words). Every window of an item
+is one pattern of the automaton, whose letters are words. A document is read once; all overlapping occurrences are found, and
+each is mapped back to its words and to its characters in the original text.
 
-The benchmark is the stated query set. It is read in blocks of at most ``block_chars`` characters of text, each its own
-automaton; documents stream through all of them in one stage, with no shuffle.
+The benchmark is the stated query set. Up to ``block_chars`` characters of it are one automaton (about 60 bytes a word and
+window place, so some 300 MB at most); documents then pass in one stage without a shuffle. A longer benchmark is read in
+blocks of that size, one after the other, each with a pass of its own over the documents, so that neither the driver nor an
+executor holds more than one.
 
 Defined results: a null or wordless text has no words and no hits; a null or wordless item has no window; items that share
 a window all count; repeated rows are each reported; an empty benchmark leaves every document clean; empty tables give
@@ -17,53 +19,55 @@ from __future__ import annotations
 import re
 import zlib
 import ahocorasick
-import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
-from glyphlake.llm.common import map_texts
+from glyphlake.llm.common import Workspace, map_texts
 
 #: UTF-8 bytes: A-Z become lower case, other ASCII bytes that are not 0-9 or a-z become spaces, the rest stays.
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_BUILT: dict[tuple, ahocorasick.Automaton] = {}
+_BUILT: dict[tuple, tuple] = {}
 
 
 def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_NORMAL).split() if text else []
 
 
-def windows_of(words: list[bytes], width: int) -> list[bytes]:
+def windows_of(words: list[bytes], width: int) -> list[tuple[bytes, ...]]:
     if len(words) <= width:
-        return [b" ".join(words)] if words else []
-    return [b" ".join(words[k : k + width]) for k in range(len(words) - width + 1)]
+        return [tuple(words)] if words else []
+    return [tuple(words[k : k + width]) for k in range(len(words) - width + 1)]
 
 
-def _automaton(key: tuple, patterns: dict[bytes, tuple]) -> ahocorasick.Automaton | None:
-    """Built once in each Python worker. Bytes stand as Latin-1 characters, one byte each."""
-    if key not in _BUILT:
-        if len(_BUILT) > 4:
-            _BUILT.clear()
-        a = ahocorasick.Automaton()
+class WordAutomaton:
+    """An Aho-Corasick automaton whose letters are words: each word of the patterns has a number, all others have 0."""
+
+    def __init__(self, patterns: dict[tuple[bytes, ...], tuple]):
+        self.numbers: dict[bytes, int] = {}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for window, items in patterns.items():
-            a.add_word(f" {window.decode('latin-1')} ", (window.count(b" ") + 1, items))
+            key = tuple(self.numbers.setdefault(w, len(self.numbers) + 1) for w in window)
+            self.automaton.add_word(key, (len(key), items))
         if patterns:
-            a.make_automaton()
-        _BUILT[key] = a
-    return _BUILT[key] if patterns else None
+            self.automaton.make_automaton()
 
+    def hits(self, words: list[bytes]) -> tuple[list[int], list[int], set]:
+        """Starts and ends (exclusive) of the hit word ranges, and the ids of the items that occur."""
+        if not words or not self.numbers:
+            return [], [], set()
+        number = self.numbers.get
+        found = list(self.automaton.iter(tuple([number(w, 0) for w in words])))
+        ends = [e + 1 for e, _ in found]
+        return [e - n for e, (_, (n, _)) in zip(ends, found, strict=True)], ends, {i for _, (_, items) in found for i in items}
 
-def hits_of(words: list[bytes], automaton: ahocorasick.Automaton | None) -> tuple[list[int], list[int], set]:
-    """Starts and ends (exclusive) of the hit word ranges, and the ids of the items that occur."""
-    if automaton is None or not words:
-        return [], [], set()
-    normal = b" " + b" ".join(words) + b" "
-    found = list(automaton.iter(normal.decode("latin-1")))
-    if not found:
-        return [], [], set()
-    spaces = np.flatnonzero(np.frombuffer(normal, dtype=np.uint8) == 32)
-    ends = np.searchsorted(spaces, np.array([e for e, _ in found]))
-    starts = ends - np.array([n for _, (n, _) in found])
-    return starts.tolist(), ends.tolist(), {i for _, (_, items) in found for i in items}
+
+def _automaton(key: tuple, patterns: dict[tuple[bytes, ...], tuple]) -> WordAutomaton:
+    """Built once in each Python worker, which keeps one."""
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = WordAutomaton(patterns)
+    return _BUILT[key]
 
 
 def covered(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
@@ -84,42 +88,67 @@ def char_spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]
     return [(at[s][0], at[e - 1][1]) for s, e in ranges]
 
 
-def item_blocks(items: DataFrame, width: int, block_chars: int, id_col: str, text_col: str) -> list[dict[bytes, tuple]]:
-    """The benchmark's windows, each with the ids of its items, in blocks of bounded size."""
+def block_count(items: DataFrame, block_chars: int, text_col: str) -> int:
     size = items.agg(F.coalesce(F.sum(F.length(text_col)), F.lit(0))).first()[0]
-    n = max(1, -(-size // block_chars))
-    blocks = []
-    for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(n)) == k).select(id_col, text_col).collect()
-        patterns: dict[bytes, set] = {}
-        for item, text in rows:
-            for window in windows_of(words_of(text), width):
-                patterns.setdefault(window, set()).add(item)
-        blocks.append({w: tuple(v) for w, v in patterns.items()})
-    return blocks
+    return max(1, -(-size // block_chars))
+
+
+def item_block(items: DataFrame, k: int, n: int, width: int, id_col: str, text_col: str) -> dict[tuple[bytes, ...], tuple]:
+    """The windows of the ``k``-th of ``n`` parts of the benchmark, each with the ids of its items."""
+    rows = items.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(n)) == k).select(id_col, text_col).collect()
+    patterns: dict[tuple[bytes, ...], set] = {}
+    for item, text in rows:
+        for window in windows_of(words_of(text), width):
+            patterns.setdefault(window, set()).add(item)
+    return {w: tuple(v) for w, v in patterns.items()}
+
+
+_HITS = "starts array<int>, ends array<int>, ids array<string>"
 
 
 def contamination(
     docs: DataFrame, items: DataFrame, width: int = 8, least_items: int = 2, keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text",
-    item_id: str = "item_id", item_text: str = "text", block_chars: int = 32_000_000, text_as: str | None = None,
+    item_id: str = "item_id", item_text: str = "text", block_chars: int = 4_000_000, text_as: str | None = None,
 ) -> DataFrame:
     """One row per document: id, n_words, n_hit, n_items, items, contaminated, char_spans; and the columns in ``keep``."""
     spark = docs.sparkSession
-    blocks = item_blocks(items, width, block_chars, item_id, item_text)
-    shared = [(zlib.crc32(repr(sorted(b)).encode()), len(b), spark.sparkContext.broadcast(b)) for b in blocks]
+    n, names = block_count(items, block_chars, item_text), list(dict.fromkeys([id_col, *(keep or [])]))
 
-    def run(text: str | None) -> tuple:
-        words = words_of(text)
-        starts, ends, ids = [], [], set()
-        for crc, n, block in shared:
-            s, e, i = hits_of(words, _automaton((crc, n), block.value))
-            starts, ends, ids = starts + s, ends + e, ids | i
+    def part(k: int) -> tuple[tuple, Broadcast]:
+        block = item_block(items, k, n, width, item_id, item_text)
+        return (zlib.crc32(repr(sorted(block)).encode()), len(block), k), spark.sparkContext.broadcast(block)
+
+    def finish(text: str | None, words: list[bytes], starts: list[int], ends: list[int], ids: set[str]) -> tuple:
         ranges = covered(starts, ends)
         spans = [x for span in char_spans(text, ranges) for x in span] if ranges else []
-        return len(words), sum(e - s for s, e in ranges), len(ids), sorted(map(str, ids)), spans, len(ids) >= least_items
+        return len(words), sum(e - s for s, e in ranges), len(ids), sorted(ids), spans, len(ids) >= least_items
+
+    def last(text: str | None, starts: list[int], ends: list[int], ids: list[str]) -> tuple:
+        words = words_of(text)
+        s, e, i = _automaton(key, block.value).hits(words)
+        return finish(text, words, [*starts, *s], [*ends, *e], {*ids, *map(str, i)})
+
+    def more(text: str | None, starts: list[int], ends: list[int], ids: list[str]) -> tuple:
+        s, e, i = _automaton(key, block.value).hits(words_of(text))
+        return [*starts, *s], [*ends, *e], sorted({*ids, *map(str, i)})
 
     fields = "n_words long, n_hit long, n_items long, items array<string>, char_spans array<int>, contaminated boolean"
-    return map_texts(docs, text_col, {c: c for c in dict.fromkeys([id_col, *(keep or [])])}, fields, run, text_as)
+    same = {c: c for c in names}
+    if n == 1:
+        key, block = part(0)
+        return map_texts(docs, text_col, same, fields, lambda text: last(text, [], [], []), text_as)
+    # A benchmark of several blocks: one pass and one written table for each, so that one block is held at a time.
+    ws = Workspace(spark, "decontamination")
+    found = docs.select(*names, F.col(text_col).alias("_text"), *(F.expr(f"cast(array() as {t})").alias(c) for c, t in (x.split(" ") for x in _HITS.split(", "))))
+    for k in range(n - 1):
+        key, block = part(k)
+        step = ws.save(map_texts(found, "_text", same, _HITS, more, "_text", ("starts", "ends", "ids")), f"block{k}")
+        block.destroy()
+        ws.drop(found)
+        found = step
+    key, block = part(n - 1)
+    out = map_texts(found, "_text", same, fields, last, text_as or "_text", ("starts", "ends", "ids"))
+    return out if text_as else out.drop("_text")
 
 
 def items_digest(items: Column | str) -> Column:
