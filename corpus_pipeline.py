@@ -13,8 +13,8 @@ from glyphlake.llm.common import Workspace, read_table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 OTHERS = [c for c in COLUMNS if c != "text"]
 
-#: A text is rejected if it has no letters, or if no language reaches this share (four languages share 1 at least as 0.25).
-LEAST_SCORE = 0.35
+#: A text is rejected if it has no letters, or if no language gets this far from chance towards what labelled texts reach.
+LEAST_SHARE = 0.15
 #: One item whose window occurs is a leak. (The query of its own reports two or more as contaminated.)
 LEAST_ITEMS = 1
 
@@ -23,7 +23,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents that are in some language. The network is trained on this stage's labelled documents."""
     predictor = langid.train(docs.where(~langid.is_held_out(F.col("doc_id"))))
     found = langid.identify(docs.select(COLUMNS), predictor, OTHERS, text_as="text")
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(COLUMNS)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= predictor.floor(LEAST_SHARE))).select(COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,8 +4,8 @@ Bytes are embedded, convolved by filters of several widths, rectified, max-poole
 A text is read whole, in windows of fixed length that overlap by the widest filter; window log-probabilities are averaged
 by window size into one distribution.
 
-Training uses a bounded, documented sample of labelled rows (``per_language`` rows a language, taken by hash of the text,
-never by position), whole texts of which are cut into windows. For inference the embedding is folded into the filters, so
+Training uses a bounded, documented sample of labelled rows (``per_language`` different texts of every language, taken by
+hash of the text, never by position), whole texts of which are cut into windows. For inference the embedding is folded into the filters, so
 that a filter's response is a sum of table rows looked up by byte pairs; no multiplication by the embedding is left.
 
 Defined results: a null text or one without letters is ``und`` with score 0; labels that are null are not learned from; with
@@ -17,7 +17,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from glyphlake.llm.common import map_texts
 
@@ -125,9 +125,15 @@ class Predictor:
 
     def __init__(self, model: ByteCNN):
         self.labels, self.model, self._tables = model.labels, model, None
+        self.usual = 1.0  # what all but one in a hundred labelled texts reach when they are read rightly
 
     def __getstate__(self) -> dict:
-        return {"labels": self.labels, "model": self.model, "_tables": None}
+        return {"labels": self.labels, "model": self.model, "usual": self.usual, "_tables": None}
+
+    def floor(self, share: float) -> float:
+        """A score this ``share`` of the way from chance to what labelled texts usually reach, whatever the number of labels."""
+        chance = 1 / max(1, len(self.labels))
+        return chance + share * max(0.0, self.usual - chance)
 
     def log_probs(self, rows: np.ndarray, block: int = 16) -> np.ndarray:
         if self._tables is None:
@@ -162,30 +168,35 @@ def is_held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_sample(labelled: DataFrame, per_language: int, text_col: str, lang_col: str, most_languages: int = 512) -> list[tuple[str, str]]:
-    """At most ``per_language`` (lang, text) rows of each language, by hash of the text; bounded by the two parameters."""
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+def training_sample(labelled: DataFrame, per_language: int, text_col: str, lang_col: str) -> list[tuple[str, str]]:
+    """The ``per_language`` different texts of each language that come first by hash. Every language has its share.
+
+    Texts are told apart by their hash, so a text counts once however many copies it has. Hashes below a bound for each
+    language, set so that about twice as many pass as are wanted, are ranked; only those rows are shuffled.
+    """
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()  # one row a language
     if not counts:
         return []
-    share = F.lit(-1.0)  # so many of each language, in expectation, that the limit below hardly cuts
-    for lang, n in counts:
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(share)
-    point = (F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("point")
-    picked = rows.where(point < share).orderBy(F.xxhash64("text"), "lang").limit(2 * per_language * len(counts)).collect()
-    return [(r["lang"], r["text"]) for r in picked]
+    bounds = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2.0 * per_language / max(1, r["n"])))])
+    point = F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30))
+    picked = rows.where(point < F.try_element_at(bounds, F.col("lang"))).groupBy("lang", "h").agg(F.any_value("text").alias("text"))
+    place = F.row_number().over(W.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))
+    return sorted((r["lang"], r["text"]) for r in picked.withColumn("k", place).where(F.col("k") <= per_language).collect())
 
 
 def train(labelled: DataFrame, per_language: int = 300, per_text: int = 6, text_col: str = "text", lang_col: str = "lang") -> Predictor:
     sample = training_sample(labelled, per_language, text_col, lang_col)
     labels = sorted({lang for lang, _ in sample})
     rng = np.random.default_rng(11)
-    xs, ys = [], []
+    xs, ys, first = [], [], []
     for lang, text in sample:
         if not has_letter(text):
             continue
         rows, _ = windows(text)
         chosen = rows if len(rows) <= per_text else rows[rng.choice(len(rows), per_text, replace=False)]
+        first.append(len(xs))
         xs += list(chosen)
         ys += [labels.index(lang)] * len(chosen)
         short = chosen[0].copy()  # short texts look like this
@@ -193,7 +204,12 @@ def train(labelled: DataFrame, per_language: int = 300, per_text: int = 6, text_
         xs.append(short)
         ys.append(labels.index(lang))
     model = ByteCNN(labels)
-    return Predictor(model.fit(np.array(xs), np.array(ys)) if xs else model)
+    predictor = Predictor(model.fit(np.array(xs), np.array(ys)) if xs else model)
+    if xs:
+        probs = np.exp(predictor.log_probs(np.array([xs[k] for k in first])))
+        right = probs.argmax(axis=1) == np.array([ys[k] for k in first])
+        predictor.usual = float(np.quantile(probs.max(axis=1)[right], 0.01)) if right.any() else 1.0
+    return predictor
 
 
 def identify(docs: DataFrame, predictor: Predictor, keep: list[str], text_col: str = "text", text_as: str | None = None) -> DataFrame:
