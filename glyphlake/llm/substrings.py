@@ -4,7 +4,7 @@ A word goes if it lies in a window of ``width`` words whose sequence also starts
 
 1. One pass over the texts recompresses each (see ``recompress``) and gives every window the name of one symbol inside it
    that equal windows share. Neighbouring windows choose the same symbol, so a document has about a twelfth as many
-   choices as words. Each choice keeps its windows as a block: first window, count, and a hash of the words they cover.
+   choices as words. Each choice keeps its windows as a block: first window, count, and 96 bits of hash of the words they cover.
 2. Names that occur in one text only are dropped; most do. Blocks that also occur in a smaller document are removed as a
    whole, and need not be looked at again: the smaller document has all their windows.
 3. Where a name is shared by blocks that differ, the windows of the first occurrence of each block are hashed one by one
@@ -57,8 +57,8 @@ def _pieces(words: list[bytes], width: int, longest: int) -> Iterator[tuple[int,
         at += longest - width + 1
 
 
-def _choices(group: list[tuple[int, int, list[bytes]]], width: int, rounds: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(document, names, block hashes, first windows, counts) of each part in ``group`` (document, offset, words)."""
+def _choices(group: list[tuple[int, int, list[bytes]]], width: int, rounds: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(document, names, two block hashes, first windows, counts) of each part in ``group`` (document, offset, words)."""
     total = sum(len(w) for _, _, w in group) + len(group) + 1
     word, is_word = np.zeros(total, dtype=np.uint64), np.zeros(total, dtype=bool)
     starts, bounds, at = [], [], 1
@@ -71,7 +71,7 @@ def _choices(group: list[tuple[int, int, list[bytes]]], width: int, rounds: int)
         at += len(words) + 1
     windows = np.concatenate(starts)
     name, place = anchors(word, is_word, windows, width, rounds)
-    hashed = window_hashes(word, width, _BASES[0])
+    hashed = [window_hashes(word, width, base) for base in _BASES]
     done = 0
     for (doc, offset, _), (slot, n) in zip(group, bounds, strict=True):
         if n:
@@ -79,14 +79,14 @@ def _choices(group: list[tuple[int, int, list[bytes]]], width: int, rounds: int)
             p, q = place[own], name[own]
             first = np.flatnonzero(np.append(True, (p[1:] != p[:-1]) | (q[1:] != q[:-1])))
             count = np.diff(np.append(first, n))
-            ends = hashed[slot + first], hashed[slot + first + count - 1]
             # All windows of a block hold its symbol, so its first and last window overlap and cover all its words.
-            yield doc, q[first], ends[0] * np.uint64(0x9E3779B97F4A7C15) + ends[1], first + offset, count
+            block, check = (h[slot + first] * np.uint64(0x9E3779B97F4A7C15) + h[slot + first + count - 1] for h in hashed)
+            yield doc, q[first], block, check >> np.uint64(33), first + offset, count
             done += n
 
 
 def _scan(docs: DataFrame, width: int, rounds: int, id_col: str, text_col: str, most_words: int = 200_000, longest: int = 400_000) -> DataFrame:
-    names = ["doc_id", "sha", "rk", "n_words", "names", "blocks", "starts", "counts"]
+    names = ["doc_id", "sha", "rk", "n_words", "names", "blocks", "checks", "starts", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,9 +111,9 @@ def _scan(docs: DataFrame, width: int, rounds: int, id_col: str, text_col: str,
             if group:
                 flush()
             columns = []
-            for k in range(4):
+            for k in range(5):
                 sizes = [sum(len(part[k]) for part in parts) for parts in found]
-                flat = np.concatenate([np.zeros(0, np.uint64 if k < 2 else np.int64), *(part[k] for parts in found for part in parts)])
+                flat = np.concatenate([np.zeros(0, np.uint64 if k < 3 else np.int64), *(part[k] for parts in found for part in parts)])
                 offsets = np.cumsum([0, *sizes]).astype(np.int32)
                 flat = flat.view(np.int64) if k < 2 else flat.astype(np.int32)
                 columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
@@ -121,7 +121,7 @@ def _scan(docs: DataFrame, width: int, rounds: int, id_col: str, text_col: str,
             yield pa.RecordBatch.from_arrays([ids, pa.array(sha, pa.string()), pa.array(rk, pa.int64()), pa.array(n, pa.int64()), *columns], names=names)
 
     small = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return small.mapInArrow(run, "doc_id long, sha string, rk long, n_words long, names array<long>, blocks array<long>, starts array<int>, counts array<int>")
+    return small.mapInArrow(run, "doc_id long, sha string, rk long, n_words long, names array<long>, blocks array<long>, checks array<int>, starts array<int>, counts array<int>")
 
 
 class IdFilter:
@@ -164,19 +164,26 @@ def remove_repeats(docs: DataFrame, width: int = 50, rounds: int = 8, id_col: st
 
     # Exact copies of a smaller document lose all their words.
     long_enough = scanned.where((F.col("n_words") >= width) & F.col("doc_id").isNotNull()).select("doc_id", "sha")
-    copied = ws.save(long_enough.groupBy("sha").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most"), "copied")
-    copies = ws.save(long_enough.join(copied, "sha").where("doc_id > least").select("doc_id", "sha").distinct(), "copies")
-
-    zipped = F.explode(F.arrays_zip("names", "blocks", "starts", "counts"))
+    # A content that over a thousandth of all rows share is one of less than a thousand: those meet their rows by a bounded
+    # broadcast, so that no content's rows are shuffled into one task.
+    total = long_enough.count()
+    sums = [F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("copies")]
+    copied = ws.save(long_enough.groupBy("sha").agg(*sums).where("least < most").withColumn("hot", F.col("copies") * 1000 > total).drop("most", "copies"), "copied")
+    hot, cold = (copied.where(F.col("hot") == h).select("sha", "least") for h in (True, False))
+    by_hot = long_enough.join(F.broadcast(hot), "sha")
+    by_cold = long_enough.join(F.broadcast(hot.select("sha")), "sha", "left_anti").join(cold, "sha")
+    copies = ws.save(by_hot.unionByName(by_cold).where("doc_id > least").select("doc_id", "sha").distinct(), "copies")
+
+    zipped = F.explode(F.arrays_zip("names", "blocks", "checks", "starts", "counts"))
     entries = scanned.where(F.size("names") > 0).select("doc_id", "rk", zipped.alias("x"))
-    entries = entries.select("doc_id", "rk", *[F.col(f"x.{f}").alias(n) for f, n in (("names", "name"), ("blocks", "block"), ("starts", "start"), ("counts", "n"))])
+    entries = entries.select("doc_id", "rk", *[F.col(f"x.{f}").alias(n) for f, n in (("names", "name"), ("blocks", "block"), ("checks", "check"), ("starts", "start"), ("counts", "n"))])
     ends = [F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min("rk").alias("one"), F.max("rk").alias("other")]
     # Written before it is joined: both sides of the join then are exchanges, whose hot keys can be split.
     names = ws.save(entries.groupBy("name").agg(*ends).where("least < most and one <> other").select("name"), "names")
     shared = ws.save(entries.join(names, "name", "left_semi"), "shared")
-    blocks = ws.save(shared.groupBy("name", "block", "n").agg(F.min("doc_id").alias("least")), "blocks")
+    blocks = ws.save(shared.groupBy("name", "block", "check", "n").agg(F.min("doc_id").alias("least")), "blocks")
     several = ws.save(blocks.groupBy("name").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("name"), "several")
-    known = shared.join(blocks, ["name", "block", "n"])
+    known = shared.join(blocks, ["name", "block", "check", "n"])
     whole = known.where("doc_id > least").select("doc_id", "rk", "start", "n")
     first = known.where("doc_id = least").join(several, "name", "left_semi")
     todo = ws.save(first.groupBy("doc_id", "rk").agg(F.collect_list(F.struct("start", "n")).alias("ranges")), "todo")
