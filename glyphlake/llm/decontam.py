@@ -1,11 +1,11 @@
 """Benchmark decontamination with one Aho-Corasick automaton over the benchmark's word windows.
 
 Item texts and documents are normalised alike (A-Z lower-cased, runs of word characters are words). Every window of an item
-is one pattern of the automaton, whose letters are words. A document is read once; all overlapping occurrences are found, and
+is one pattern of the automaton, which reads numbered words. A document is read once; all overlapping occurrences are found, and
 each is mapped back to its words and to its characters in the original text.
 
-The benchmark is the stated query set. Up to ``block_chars`` characters of it are one automaton (about 60 bytes a word and
-window place, so some 300 MB at most); documents then pass in one stage without a shuffle. A longer benchmark is read in
+The benchmark is the stated query set. Up to ``block_chars`` characters of it are one automaton (24 nodes for each word of
+the benchmark at most, so some 400 MB); documents then pass in one stage without a shuffle. A longer benchmark is read in
 blocks of that size, one after the other, each with a pass of its own over the documents, so that neither the driver nor an
 executor holds more than one.
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import repeat
 import ahocorasick
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
@@ -40,25 +41,34 @@ def windows_of(words: list[bytes], width: int) -> list[tuple[bytes, ...]]:
     return [tuple(words[k : k + width]) for k in range(len(words) - width + 1)]
 
 
+_BASE = 128  # branches of a node at most; three digits number more words than a block can hold
+
+
 class WordAutomaton:
-    """An Aho-Corasick automaton whose letters are words: each word of the patterns has a number, all others have 0."""
+    """An Aho-Corasick automaton over numbered words.
+
+    A word of the patterns is written as three characters, its number's digits, each place with an alphabet of its own, so
+    that no match begins inside a word; all other words are three NULs.
+    """
 
     def __init__(self, patterns: dict[tuple[bytes, ...], tuple]):
-        self.numbers: dict[bytes, int] = {}
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        self.codes: dict[bytes, str] = {}
+        self.automaton = ahocorasick.Automaton()
         for window, items in patterns.items():
-            key = tuple(self.numbers.setdefault(w, len(self.numbers) + 1) for w in window)
-            self.automaton.add_word(key, (len(key), items))
+            for w in window:
+                if w not in self.codes:
+                    k = len(self.codes)
+                    self.codes[w] = "".join(chr(1 + place * _BASE + k // _BASE**place % _BASE) for place in (0, 1, 2))
+            self.automaton.add_word("".join(map(self.codes.__getitem__, window)), (len(window), items))
         if patterns:
             self.automaton.make_automaton()
 
     def hits(self, words: list[bytes]) -> tuple[list[int], list[int], set]:
         """Starts and ends (exclusive) of the hit word ranges, and the ids of the items that occur."""
-        if not words or not self.numbers:
+        if not words or not self.codes:
             return [], [], set()
-        number = self.numbers.get
-        found = list(self.automaton.iter(tuple([number(w, 0) for w in words])))
-        ends = [e + 1 for e, _ in found]
+        found = list(self.automaton.iter("".join(map(self.codes.get, words, repeat("\0\0\0")))))
+        ends = [e // 3 + 1 for e, _ in found]
         return [e - n for e, (_, (n, _)) in zip(ends, found, strict=True)], ends, {i for _, (_, items) in found for i in items}
 
 
@@ -108,7 +118,7 @@ _HITS = "starts array<int>, ends array<int>, ids array<string>"
 
 def contamination(
     docs: DataFrame, items: DataFrame, width: int = 8, least_items: int = 2, keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text",
-    item_id: str = "item_id", item_text: str = "text", block_chars: int = 4_000_000, text_as: str | None = None,
+    item_id: str = "item_id", item_text: str = "text", block_chars: int = 1_500_000, text_as: str | None = None,
 ) -> DataFrame:
     """One row per document: id, n_words, n_hit, n_items, items, contaminated, char_spans; and the columns in ``keep``."""
     spark = docs.sparkSession
