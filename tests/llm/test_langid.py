@@ -53,3 +53,19 @@ def test_nothing_to_learn_from(make_docs):
     assert (out.lang_pred, out.score) == ("und", 0.0)
     empty = make_docs([], "doc_id long, text string, lang string")
     assert langid.identify(empty, langid.train(empty), ["doc_id"]).collect() == []
+
+
+def test_copies_do_not_crowd_the_sample(make_docs):
+    rnd = random.Random(9)
+    rows = [(k, "one hot text", "aa") for k in range(3000)] + [(5000 + k, text(rnd, "bb", 20), f"l{k % 30}") for k in range(300)] + [(9000, None, "aa"), (9001, "x", None)]
+    sample = langid.training_sample(make_docs(rows, "doc_id long, text string, lang string"), 5, "text", "lang")
+    assert sample.count(("aa", "one hot text")) == 1 and len(sample) == len(set(sample))
+    counts = {lang: sum(x == lang for x, _ in sample) for lang, _ in sample}
+    assert len(counts) == 31 and all(n == 5 for lang, n in counts.items() if lang != "aa")
+
+
+def test_floor_does_not_hang_on_the_number_of_labels():
+    for labels in (["a"], ["a", "b"], ["a", "b", "c", "d"]):
+        predictor = langid.Predictor(langid.ByteCNN(labels))
+        predictor.usual = 0.9
+        assert 1 / len(labels) <= predictor.floor(0.15) <= max(0.9, 1 / len(labels))
