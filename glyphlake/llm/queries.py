@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glyphlake.llm import decontam, htmltext, langid, packing, secrets, sharding, simhash, substrings, surrogates, vectors
+from glyphlake.llm import decontam, hashsql, htmltext, langid, packing, secrets, sharding, simhash, substrings, surrogates, vectors
 from glyphlake.llm.common import read_table
 
 
@@ -77,6 +77,13 @@ _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefg
 _ITEM_WORDS = rf"regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_byte_prefix_sharding": f"""
+WITH codes AS ({hashsql.CRC_CODES}),
+c AS (SELECT doc_id, CAST(coalesce(octet_length(encode(text)), 0) + 1 AS BIGINT) AS size, {hashsql.crc32("coalesce(text, '')")} AS text_crc32 FROM documents, codes),
+p AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER () AS total,
+             row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) AS place FROM c),
+s AS (SELECT *, CAST(least(15, (upto * 2 - size) * 16 // (2 * total)) AS INTEGER) AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, place - min(place) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s""",
     "op6_aho_corasick_decontamination": f"""
 WITH d AS (SELECT doc_id, {_ITEM_WORDS} AS ws FROM documents),
 b AS (SELECT item_id, {_ITEM_WORDS} AS ws FROM benchmark),
@@ -120,4 +127,18 @@ c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x),
 n AS (SELECT x, count(*) AS n FROM l GROUP BY x)
 SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
 FROM v JOIN c ON c.x = v.vec_id LEFT JOIN n ON n.x = v.vec_id""",
+    "op10_multi_index_simhash": rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWERED}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT r, array_to_string(ws[i:i+2], ' ') AS shingle, count(*) AS times
+      FROM (SELECT r, ws, unnest(range(1, greatest(len(ws) - 1, least(len(ws), 1) + 1))) AS i FROM d) GROUP BY ALL),
+u AS (SELECT DISTINCT shingle FROM s),{hashsql.xxh64_steps("u", "shingle", 42, "hashed")},
+b AS (SELECT r, bit, sum(CAST((h >> bit) & 1 AS BIGINT) * times) AS ones, sum(times) AS shingles
+      FROM (SELECT r, times, h, unnest(range(64)) AS bit FROM s JOIN hashed USING (shingle)) GROUP BY r, bit),
+m AS (SELECT r, sum(CASE WHEN 2 * ones > shingles THEN CAST(1 AS HUGEINT) << CAST(bit AS INTEGER) ELSE 0 END) AS fp FROM b GROUP BY r),
+p AS (SELECT doc_id, CAST(coalesce(fp, 0) AS HUGEINT) AS fp FROM d LEFT JOIN m USING (r)),
+f AS (SELECT fp, min(doc_id) AS least_id FROM p GROUP BY fp),
+l AS (SELECT a.fp AS x, c.fp AS y FROM f a JOIN f c ON a.fp <> c.fp AND bit_count(xor(a.fp, c.fp)) <= 2),
+w AS (SELECT fp AS x, fp AS y FROM f UNION SELECT w.x, l.y FROM w JOIN l ON w.y = l.x),
+c AS (SELECT x, min(least_id) AS component_id FROM w JOIN f ON w.y = f.fp GROUP BY x)
+SELECT doc_id, lower(lpad(hex(CAST(fp AS UBIGINT)), 16, '0')) AS fingerprint, component_id FROM p JOIN c ON c.x = p.fp""",
 }
