@@ -41,22 +41,23 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
     quantiles = seen["q"] or []
     bounds = sorted(set(quantiles))
     hot = {v: quantiles.count(v) for v in bounds if quantiles.count(v) > 1}
-    spread = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    sub = F.lit(0)
-    part = _bucket(key, bounds)
-    for value, times in hot.items():  # the least id of its partition; the others there come after its parts
-        first = F.when(key == F.lit(value), F.pmod(spread, F.lit(times + 1)).cast("int"))
-        sub = first.when(part == bounds.index(value) + 1, F.lit(times + 1)).otherwise(sub)
-    if seen["n"] > seen["k"]:
-        share = max(1, round(partitions * (seen["n"] - seen["k"]) / seen["n"]))
-        sub = F.when(key.isNull(), F.pmod(spread, F.lit(share)).cast("int")).otherwise(sub)
-    rows = docs.select(
+    parted = docs.select(
         key.alias(id_col),
         (F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"),
-        F.when(key.isNull(), F.lit(-1)).otherwise(part).cast("int").alias("_part"),
-        sub.alias("_sub"),
+        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_spread"),
+        F.when(key.isNull(), F.lit(-1)).otherwise(_bucket(key, bounds)).cast("int").alias("_part"),
     )
+    sub = F.lit(0)
+    if hot:  # a hot id is the least of its partition; the others there come after its parts
+        numbers = [bounds.index(v) + 1 for v in hot]
+        parts = F.map_from_arrays(F.array(*map(F.lit, numbers)), F.array(*map(F.lit, hot.values())))[F.col("_part")]
+        least = F.map_from_arrays(F.array(*map(F.lit, numbers)), F.array(*map(F.lit, hot)))[F.col("_part")]
+        sub = F.when(parts.isNull(), sub).when(key == least, F.pmod("_spread", parts + 1).cast("int")).otherwise(parts + 1)
+    if seen["n"] > seen["k"]:
+        share = max(1, round(partitions * (seen["n"] - seen["k"]) / seen["n"]))
+        sub = F.when(key.isNull(), F.pmod("_spread", F.lit(share)).cast("int")).otherwise(sub)
+    rows = parted.select(id_col, "size", "text_crc32", "_part", sub.alias("_sub"))
     before = W.orderBy("_part", "_sub").rowsBetween(W.unboundedPreceding, -1)
     everything = W.orderBy("_part", "_sub").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     totals = (
