@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -12,15 +13,44 @@ from pyspark.sql.types import DoubleType, IntegerType, StringType
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value computed once: an expression inside a lambda is computed again for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(sizes: Column, block: int = 64) -> Column:
+    """What stands before each element of an array of integers, as sums. Block by block, so appending stays cheap."""
+
+    def sums(values: Column, start: Column) -> Column:
+        first = F.struct(start.alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+        return F.aggregate(values, first, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+
+    def blocks(all_: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(1), F.greatest(F.size(all_), F.lit(1)), F.lit(block)), lambda k: F.slice(all_, k, F.lit(block)))
+        return let(parts, lambda p: let(sums(F.transform(p, lambda b: F.aggregate(b, F.lit(0), lambda a, n: a + n)), F.lit(0)), lambda at: F.flatten(F.transform(p, lambda b, k: sums(b, at[k])))))
+
+    return let(sizes, blocks)
+
+
 def matches(text: Column, pattern: str) -> Column:
-    """array<struct<s, e, m>>: all matches of a pattern that never matches nothing, with byte offsets."""
+    """array<struct<s, e, m>>: all matches of a pattern that never matches nothing, with byte offsets.
+
+    Each text is searched twice, and offsets are running sums: the work grows with the text, not with its matches times it.
+    """
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
 
-    def one(m: Column, i: Column) -> Column:
-        start = F.octet_length(F.concat_ws("", F.slice(gaps, F.lit(1), i + 1), F.slice(found, F.lit(1), i)))
-        return F.struct(start.alias("s"), (start + F.octet_length(m)).alias("e"), m.alias("m"))
+    def placed(x: Column) -> Column:
+        def one(m: Column, i: Column) -> Column:
+            start = x["at"][i] + F.octet_length(x["gaps"][i])
+            return F.struct(start.alias("s"), (start + F.octet_length(m)).alias("e"), m.alias("m"))
+
+        return F.transform(x["found"], one)
+
+    def summed(x: Column) -> Column:
+        sizes = F.transform(x["found"], lambda m, i: F.octet_length(m) + F.octet_length(x["gaps"][i]))
+        return let(F.struct(x["found"].alias("found"), x["gaps"].alias("gaps"), running(sizes).alias("at")), placed)
 
-    return F.transform(found, one)
+    return let(F.struct(found.alias("found"), gaps.alias("gaps")), summed)
 
 
 def ascii_lower(x: Column) -> Column:
