@@ -110,12 +110,16 @@ def path_keys(path: Column) -> Column:
 def classify(differences: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Differences (corpus, path) with the first row (by ``ord``) whose corpus and path pattern match; and those that none matches.
 
-    A path has as many patterns as folders, so the wildcard match is an equi-join on them.
+    A path has as many patterns as folders, so the wildcard match is a lookup of them. The table is kept by hand, so it alone is
+    broadcast, as one map; a difference finds its row where it is, and its patterns are never shuffled or sent to the driver.
     """
-    keys = differences.select("*", F.explode(F.array(F.col("corpus"), F.lit("*"))).alias("_corpus")).select("*", F.explode(path_keys(F.col("path"))).alias("_pattern"))
-    r = rows.select(F.col("corpus").alias("_corpus"), F.col("pattern").alias("_pattern"), F.struct(F.col("ord"), F.col("status")).alias("_row"))
-    hits = keys.join(r, ["_corpus", "_pattern"]).groupBy("corpus", "path").agg(F.min("_row").alias("_row"))
-    return hits.select("corpus", "path", F.col("_row.ord").alias("ord"), F.col("_row.status").alias("status")), differences.join(hits, ["corpus", "path"], "left_anti")
+    named = rows.where("corpus is not null and pattern is not null").groupBy(F.struct("corpus", "pattern").alias("k")).agg(F.min(F.struct("ord", "status")).alias("v"))
+    table = named.agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("_table"))
+    keys = F.flatten(F.transform(F.array(F.col("corpus"), F.lit("*")), lambda c: F.transform("_keys", lambda p: F.struct(c.alias("corpus"), p.alias("pattern")))))
+    hits = F.transform(keys, lambda k: F.try_element_at("_table", k))
+    known = differences.withColumn("_keys", path_keys(F.col("path"))).join(F.broadcast(table)).withColumn("_row", F.array_min(hits)).drop("_table", "_keys")
+    first = known.where("_row is not null").select("corpus", "path", "_row").distinct()
+    return first.select("corpus", "path", F.col("_row.ord").alias("ord"), F.col("_row.status").alias("status")), known.where("_row is null").select(*differences.columns)
 
 
 def matches_any(path: Column, patterns: list[str]) -> Column:

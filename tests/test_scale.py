@@ -5,6 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from glyphlake.functions import text as T
+from glyphlake.operators import compare as C
 
 
 def test_matches_of_a_long_text_take_no_square_of_their_number(spark):
@@ -14,3 +15,17 @@ def test_matches_of_a_long_text_take_no_square_of_their_number(spark):
     got = rows.agg(F.count("x").alias("n"), F.min("x.s").alias("first"), F.max("x.e").alias("last"), F.count_if((F.col("x.s") - 3) % 10 == 0).alias("placed")).first()
     assert tuple(got) == (n, 3, 10 * n - 1, n)
     assert time.monotonic() - start < 60
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_classes_send_only_their_table_to_the_driver(spark):
+    differences = spark.createDataFrame([("c0", "d1/e2/f", 1), ("c0", "d1/x", 2), ("c9", "y", 3), ("c9", "y", 4), (None, "d1/x", 5), ("c0", None, 6)], "corpus string, path string, k int")
+    rows = spark.createDataFrame([(0, "c0", "d1/e2/**", "fixed"), (1, "*", "d1/**", "open-bug"), (2, "c0", "*", "configured"), (3, None, "y", "fixed")], "ord int, corpus string, pattern string, status string")
+    first, rest = C.classify(differences, rows)
+    assert sorted(map(tuple, first.select("path", "ord", "status").collect())) == [("d1/e2/f", 0, "fixed"), ("d1/x", 1, "open-bug"), ("d1/x", 1, "open-bug")]
+    assert sorted(r.k for r in rest.collect()) == [3, 4, 6]
+    for df in (first, rest):
+        assert "Generate" not in plan(df) and "HashJoin" not in plan(df) and "MergeJoin" not in plan(df)
