@@ -3,7 +3,7 @@ a window over one document's rows, which a document's size bounds."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, WindowSpec, functions as F
 
 
 def _tests() -> dict[str, Column]:
@@ -107,8 +107,12 @@ def depth(events: DataFrame) -> DataFrame:
 
 def next_close(rows: DataFrame, is_close: Column) -> DataFrame:
     """Adds ``close``: the place of the next closing row of the document, after this one."""
-    order = W.partitionBy("doc_id").orderBy("s").rowsBetween(1, W.unboundedFollowing)
-    return rows.withColumn("close", F.min(F.when(is_close, F.col("s"))).over(order))
+    return rows.withColumn("close", F.min(F.when(is_close, F.col("s"))).over(after("doc_id")))
+
+
+def after(*keys: str) -> WindowSpec:
+    """The rows behind each one, by ``s``. Read backwards, as a window that runs to its end is computed anew for every row."""
+    return W.partitionBy(*keys).orderBy(F.desc("s")).rangeBetween(W.unboundedPreceding, -1)
 
 
 def islands(rows: DataFrame, flag: Column) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from glyphlake.functions import text as T
 from glyphlake.operators.facts import Facts, located
+from glyphlake.operators.ranges import after
 from glyphlake.parse.facts import Options
 from glyphlake.rules.stdlib import RULES, Rule, info_string, render_compat
 from glyphlake.sources.config import Config
@@ -127,7 +128,7 @@ def suppressed_ranges(facts: Facts) -> DataFrame:
     rows = facts.table("suppressions").select("doc_id", F.col("text").alias("rule"), "kind", "s", "e", "n")
     order = W.partitionBy("doc_id", "rule").orderBy("s")
     switches = rows.where("kind in ('disable', 'enable')").withColumn("before", F.lag("kind").over(order))
-    switches = switches.withColumn("end", F.min(F.when(F.col("kind") == "enable", F.col("s"))).over(order.rowsBetween(1, W.unboundedFollowing)))
+    switches = switches.withColumn("end", F.min(F.when(F.col("kind") == "enable", F.col("s"))).over(after("doc_id", "rule")))
     regions = switches.where("kind = 'disable' and (before is null or before = 'enable')").select("doc_id", "rule", F.col("e").alias("s"), F.coalesce("end", F.lit(2147483647)).alias("e"))
     single = rows.where("kind in ('allow', 'allow-next-line')").select("doc_id", "rule", F.col("e").alias("s"), F.col("n").alias("e"))
     return regions.unionByName(single)

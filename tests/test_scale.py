@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from glyphlake.functions import text as T
-from glyphlake.operators import compare as C
+from glyphlake.operators import compare as C, ranges as R
 
 
 def test_matches_of_a_long_text_take_no_square_of_their_number(spark):
@@ -29,3 +29,10 @@ def test_classes_send_only_their_table_to_the_driver(spark):
     assert sorted(r.k for r in rest.collect()) == [3, 4, 6]
     for df in (first, rest):
         assert "Generate" not in plan(df) and "HashJoin" not in plan(df) and "MergeJoin" not in plan(df)
+
+
+def test_the_next_close_reads_its_window_once(spark):
+    rows = spark.createDataFrame([(1, 1, False), (1, 2, False), (1, 3, True), (1, 5, True), (1, 6, False), (2, 1, True)], "doc_id long, s long, enable boolean")
+    out = R.next_close(rows, F.col("enable"))
+    assert sorted((r.doc_id, r.s, r.close) for r in out.collect()) == [(1, 1, 3), (1, 2, 3), (1, 3, 5), (1, 5, None), (1, 6, None), (2, 1, None)]
+    assert "unboundedfollowing" not in plan(out).lower()
