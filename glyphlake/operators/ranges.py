@@ -33,11 +33,10 @@ def as_of(points: DataFrame, marks: DataFrame, value: str, at: str = "s", forwar
 
     Both sides go through one window a document: no range join, whatever the number of marks.
     """
-    mark = marks.select("doc_id", F.col("s").alias("_at"), F.lit(0 if not forward else 1).alias("_side"), F.struct(F.col(value).alias("v")).alias("_mark"), F.lit(None).cast(points.schema.simpleString()).alias("_row"))
-    point = points.select("doc_id", F.col(at).alias("_at"), F.lit(1 if not forward else 0).alias("_side"), F.lit(None).cast(f"struct<v:{marks.schema[value].dataType.simpleString()}>").alias("_mark"), F.struct(*points.columns).alias("_row"))
-    order = W.partitionBy("doc_id").orderBy("_at", "_side")
-    frame = order.rowsBetween(0, W.unboundedFollowing) if forward else order.rowsBetween(W.unboundedPreceding, 0)
-    found = (F.first if forward else F.last)("_mark", ignorenulls=True).over(frame)
+    mark = marks.select("doc_id", F.col("s").alias("_at"), F.lit(0).alias("_side"), F.struct(F.col(value).alias("v")).alias("_mark"), F.lit(None).cast(points.schema.simpleString()).alias("_row"))
+    point = points.select("doc_id", F.col(at).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(f"struct<v:{marks.schema[value].dataType.simpleString()}>").alias("_mark"), F.struct(*points.columns).alias("_row"))
+    order = W.partitionBy("doc_id").orderBy(F.desc("_at") if forward else F.asc("_at"), "_side")
+    found = F.last("_mark", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
     rows = mark.unionByName(point).withColumn("_found", found).where("_row is not null")
     return rows.select("_row.*", F.col("_found.v").alias(value))
 

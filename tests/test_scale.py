@@ -36,3 +36,11 @@ def test_the_next_close_reads_its_window_once(spark):
     out = R.next_close(rows, F.col("enable"))
     assert sorted((r.doc_id, r.s, r.close) for r in out.collect()) == [(1, 1, 3), (1, 2, 3), (1, 3, 5), (1, 5, None), (1, 6, None), (2, 1, None)]
     assert "unboundedfollowing" not in plan(out).lower()
+
+
+def test_snapping_reads_its_windows_once(spark):
+    rows = spark.createDataFrame([(1, 3, 4, "a"), (1, 5, 5, "b"), (1, 9, 12, "c"), (2, 0, 1, "d")], "doc_id long, s int, e int, id string")
+    marks = spark.createDataFrame([(1, 3), (1, 5), (1, 10)], "doc_id long, s int")
+    out = R.snapped(rows, marks)
+    assert sorted((r.id, r.lo, r.hi) for r in out.collect()) == [("a", 3, 5), ("b", 5, 5), ("c", 5, None), ("d", None, None)]
+    assert "unboundedfollowing" not in plan(out).lower()
