@@ -31,7 +31,8 @@ def within(rows: DataFrame, owners: DataFrame) -> DataFrame:
 def as_of(points: DataFrame, marks: DataFrame, value: str, at: str = "s", forward: bool = False) -> DataFrame:
     """Adds the ``value`` of the last mark at or before ``at`` (``forward``: the first at or after it); null if there is none.
 
-    Both sides go through one window a document: no range join, whatever the number of marks.
+    Both sides go through one window a document: no range join, whatever the number of marks. The window always runs from its
+    start to the row, backwards for ``forward``: one that runs to its end is computed anew for every row.
     """
     mark = marks.select("doc_id", F.col("s").alias("_at"), F.lit(0).alias("_side"), F.struct(F.col(value).alias("v")).alias("_mark"), F.lit(None).cast(points.schema.simpleString()).alias("_row"))
     point = points.select("doc_id", F.col(at).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(f"struct<v:{marks.schema[value].dataType.simpleString()}>").alias("_mark"), F.struct(*points.columns).alias("_row"))
@@ -68,10 +69,36 @@ def drop_overlapping_families(edits: DataFrame) -> DataFrame:
     return rows.withColumn("_bad", F.bool_or("_clash").over(W.partitionBy("doc_id", "family"))).where(~F.col("_bad")).drop("_clash", "_bad")
 
 
+_LEVELS = 31  # halvings of the offsets that an int holds
+
+
 def deepest(points: DataFrame, items: DataFrame, value: str) -> DataFrame:
-    """For each point the ``value`` of the covering item that starts last."""
-    rows = points.join(_other(items, value), (F.col("doc_id") == F.col("_d")) & _tests()["start"])
-    return rows.groupBy(*points.columns).agg(F.max_by(F.col(f"_{value}"), F.struct("_s", F.col(f"_{value}"))).alias(value))
+    """For each point the ``value`` of the covering item that starts last.
+
+    An item is cut into aligned cells of 2^k bytes, at most two of a size; a cell keeps the last of its items. A point lies in
+    one cell of each size that occurs, so an equi-join finds its items and makes no more rows than points times sizes.
+    """
+    keys = [f"_p{k}" for k in range(len(points.columns))]
+
+    def bounds(k: int) -> tuple[Column, Column]:
+        """The cells of a size within an item: from the first to before the second."""
+        return F.shiftright(F.col("_s") + F.lit((1 << k) - 1), k), F.shiftright(F.col("_e"), k)
+
+    cells = []
+    for k in range(_LEVELS):
+        (a, b), (up, to) = bounds(k), bounds(k + 1)
+        for cell, more in ((a, a < b), (b - 1, a < b - 1)):
+            larger = (F.shiftright(cell, 1) >= up) & (F.shiftright(cell, 1) < to)
+            cells.append(F.when(more & ~larger, F.struct(F.lit(k).alias("k"), cell.alias("cell"))))
+    cut = items.select(F.col("doc_id").alias("_d"), F.col("s").cast("long").alias("_s"), F.col("e").cast("long").alias("_e"), F.col(value).alias("_v"))
+    cut = cut.select("_d", "_s", "_v", F.explode(F.array_compact(F.array(*cells))).alias("x"))
+    last = cut.groupBy("_d", F.col("x.k").alias("_k"), F.col("x.cell").alias("_cell")).agg(F.max(F.struct("_s", "_v")).alias("_best"))
+    sizes = F.broadcast(cut.select(F.col("x.k").alias("_size")).distinct())  # at most _LEVELS rows
+    at = points.select(*(F.col(c).alias(k) for c, k in zip(points.columns, keys, strict=True)), F.col("doc_id").alias("_doc"), F.col("s").cast("long").alias("_at"))
+    at = at.join(sizes).select(*keys, "_doc", "_size", F.expr("shiftright(_at, _size)").alias("_in"))
+    rows = at.hint("merge").join(last, (F.col("_doc") == F.col("_d")) & (F.col("_size") == F.col("_k")) & (F.col("_in") == F.col("_cell")))
+    rows = rows.groupBy(*keys).agg(F.max("_best").alias("_best"))
+    return rows.select(*(F.col(k).alias(c) for c, k in zip(points.columns, keys, strict=True)), F.col("_best._v").alias(value))
 
 
 def first_wins(rows: DataFrame, keys: list[str], value: str, order: str = "s") -> DataFrame:

@@ -1,5 +1,6 @@
 """Steps whose work or memory has to grow no faster than their input."""
 
+import random
 import time
 
 from pyspark.sql import functions as F
@@ -44,3 +45,18 @@ def test_snapping_reads_its_windows_once(spark):
     out = R.snapped(rows, marks)
     assert sorted((r.id, r.lo, r.hi) for r in out.collect()) == [("a", 3, 5), ("b", 5, 5), ("c", 5, None), ("d", None, None)]
     assert "unboundedfollowing" not in plan(out).lower()
+
+
+def test_the_deepest_cover_makes_no_pairs_of_points_and_items(spark):
+    rnd = random.Random(7)
+    items = [(k % 3, s, s + rnd.choice([0, 1, 2, 7, 64, 1000]), k) for k in range(400) for s in [rnd.randint(0, 900)]] + [(1, 2**31 - 9, 2**31 - 1, 400)]
+    points = [(k % 4, rnd.randint(0, 1100), k) for k in range(300)] + [(1, 2**31 - 2, 300), (1, 2**31 - 1, 301)]
+    got = R.deepest(spark.createDataFrame(points, "doc_id long, s int, id long"), spark.createDataFrame(items, "doc_id long, s int, e int, owner long"), "owner").collect()
+    best = {id_: max(((s, o) for d, s, e, o in items if d == doc and s <= at < e), default=None) for doc, at, id_ in points}
+    assert {r.id: r.owner for r in got} == {k: v[1] for k, v in best.items() if v}
+    n = 30000
+    rows = spark.range(n).select(F.lit(1).cast("long").alias("doc_id"), F.col("id").cast("int").alias("s"), "id")
+    start = time.monotonic()
+    out = R.deepest(rows, rows.select("doc_id", "s", F.lit(2 * n).alias("e"), F.col("id").alias("owner")), "owner")
+    assert out.where("id = owner").count() == n
+    assert time.monotonic() - start < 60
