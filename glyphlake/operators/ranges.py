@@ -48,9 +48,9 @@ def snapped(rows: DataFrame, marks: DataFrame) -> DataFrame:
     return as_of(low, marks.withColumn("hi", F.col("s")), "hi", at="e", forward=True)
 
 
-def neighbours(rows: DataFrame) -> DataFrame:
-    """Every row with the next of its document: the gap to it, and whether they overlap."""
-    order = W.partitionBy("doc_id").orderBy("s", "e")
+def neighbours(rows: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Every row with the next of its document: the gap to it, and whether they overlap. ``ties`` order equal ranges."""
+    order = W.partitionBy("doc_id").orderBy("s", "e", *ties)
     rows = rows.withColumn("next", F.lead("s").over(order))
     return rows.withColumns({"gap": F.col("next") - F.col("e"), "overlaps": F.coalesce(F.col("next") < F.col("e"), F.lit(False))})
 

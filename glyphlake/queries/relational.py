@@ -101,7 +101,7 @@ _NEXT = "lead(s) OVER (PARTITION BY doc_id ORDER BY s, e)"
 
 @BOOK.add("join10_adjacent_pairs", f"{_CTE} SELECT doc_id, id, coalesce({_NEXT} - e, 0) AS gap, coalesce({_NEXT} < e, FALSE) AS overlaps FROM b")
 def join10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.neighbours(_LARGE.frame(spark, sf_dir)).select("doc_id", "id", F.coalesce("gap", F.lit(0)).alias("gap"), "overlaps")
+    return R.neighbours(_LARGE.frame(spark, sf_dir), ("id",)).select("doc_id", "id", F.coalesce("gap", F.lit(0)).alias("gap"), "overlaps")
 
 
 _GROUPS = document(("t", "p_partkey % 2 = 0", "- a\n- b\n\n"), ("l", "p_partkey % 3 = 0", "+ a\n\n+ b\n\n"), ("end", "TRUE", "Fin.\n"))

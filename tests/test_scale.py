@@ -60,3 +60,10 @@ def test_the_deepest_cover_makes_no_pairs_of_points_and_items(spark):
     out = R.deepest(rows, rows.select("doc_id", "s", F.lit(2 * n).alias("e"), F.col("id").alias("owner")), "owner")
     assert out.where("id = owner").count() == n
     assert time.monotonic() - start < 60
+
+
+def test_neighbours_of_equal_ranges_follow_their_ties(spark):
+    rows = spark.createDataFrame([(1, 0, 5, k) for k in range(50)] + [(1, 9, 12, 50)], "doc_id long, s int, e int, id long")
+    for n in (1, 3, 7):
+        out = R.neighbours(rows.orderBy(F.desc("id")).repartition(n), ("id",)).where("gap = 4").collect()
+        assert [r.id for r in out] == [49]
