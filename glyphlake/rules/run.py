@@ -148,10 +148,13 @@ def stamped(rows: DataFrame, rule: Rule) -> DataFrame:
 
 
 def diagnostics(docs: DataFrame, rules: RuleSet | None = None, suppress: bool = True, options: Options | None = None, locate: bool = True, share: bool | None = None, known: list[str] | None = None) -> DataFrame:
-    """``docs(doc_id, text)`` -> (doc_id, rule, line, col, span_start, span_end, message, advisory, replacement, safe)."""
+    """``docs(doc_id, text)`` -> (doc_id, rule, line, col, span_start, span_end, message, advisory, replacement, safe).
+
+    Facts of several kinds are written once: every plan that reads one would parse the corpus again.
+    """
     rules = RuleSet() if rules is None else rules
     wanted = {n for r in rules.rules.values() for n in r.needs} | ({"suppressions"} if suppress else set())
-    facts = Facts(docs, sorted(wanted), options, share=len(rules) > 1 if share is None else share)
+    facts = Facts(docs, sorted(wanted), options, share=len(wanted) > 1 if share is None else share)
     parts = [stamped(r.check(facts), r) for r in rules.rules.values()]
     if not parts:
         parts = [unknown_names(facts, list(RULES)).where("false").withColumns({"rule": F.lit(""), "advisory": F.lit(False)})]

@@ -67,3 +67,43 @@ def test_neighbours_of_equal_ranges_follow_their_ties(spark):
     for n in (1, 3, 7):
         out = R.neighbours(rows.orderBy(F.desc("id")).repartition(n), ("id",)).where("gap = 4").collect()
         assert [r.id for r in out] == [49]
+
+
+def test_rows_as_long_as_the_corpus_are_not_broadcast(spark):
+    """The planner takes a computed text for a few bytes, so small keys with long texts look small enough to broadcast."""
+    from glyphlake.operators.facts import located
+
+    docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("- é\n"), 3).alias("text"))
+    found = located(docs.select("doc_id", F.lit(6).alias("s")), docs)
+    html = docs.select("doc_id", F.lit('<p data-sourcepos="1:1-2:3">').alias("html"))
+    for df, n in ((found, 1000), (C.envelopes(html, docs), 1000)):
+        assert "Broadcast" not in plan(df)
+        assert df.count() == n
+
+
+def test_one_rule_parses_each_document_once(spark, monkeypatch):
+    from glyphlake.operators import facts as module
+    from glyphlake.rules.run import diagnostics, select
+
+    parsed = []
+    monkeypatch.setattr(module, "written", lambda df, label: parsed.append(label) or df)
+    docs = spark.createDataFrame([(1, "A \\alpha here.\n")], "doc_id long, text string")
+    diagnostics(docs, select("none,+latex-command"))
+    assert parsed == ["facts"]
+
+
+def test_small_tables_are_dealt_out_before_python(spark):
+    from glyphlake.queries import formatting, sessions, structure
+
+    for query in (structure.QUERIES["mth08_environment_class"], sessions.QUERIES["udf02_sql_table_function"], formatting.QUERIES["fmt25_first_divergence"]):
+        assert query(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_byte_offsets_of_wide_characters():
+    from glyphlake.parse.facts import parse
+
+    text = "é漢😀 *a* é\n\n# 漢 x\n\n- 😀 `é`\n"
+    for kind, rows in parse(text).facts.items():
+        for f in rows:
+            assert 0 <= f["s"] <= f["e"] <= len(text.encode()) and text.encode()[f["s"] : f["e"]].decode() is not None, kind
+    assert [(f["s"], f["e"]) for f in parse(text).facts["inline_codes"]] == [(34, 38)]
