@@ -13,7 +13,7 @@ from pyspark.sql.types import IntegerType
 
 from glyphlake.fmt.engine import format_text, signature
 from glyphlake.functions import text as T
-from glyphlake.operators.facts import lines_of
+from glyphlake.operators.facts import at_home, lines_of
 from glyphlake.render.html import html_of
 from glyphlake.sources.config import Fmt
 
@@ -202,7 +202,7 @@ def envelopes(html: DataFrame, docs: DataFrame) -> DataFrame:
     rows = html.select("doc_id", hit.alias("m")).select("doc_id", *(F.regexp_extract("m", pattern, k).alias(n) for k, n in enumerate(("tag", "sl", "sc", "el", "ec"), 1)))
     kind = F.try_element_at(F.create_map(*[F.lit(x) for kv in _KINDS.items() for x in kv]), F.lower("tag"))
     rows = rows.select("doc_id", kind.alias("kind"), *(F.col(c).cast("int").alias(c) for c in ("sl", "sc", "el", "ec"))).where("kind is not null")
-    lines = lines_of(docs)
+    lines = at_home(lines_of(docs))
     at = lambda line, col: lines.select("doc_id", F.col("line").alias(line), F.col("s").alias(f"_{line}"), F.col("text").alias(f"_t{line}"))
     rows = rows.join(at("sl", "sc"), ["doc_id", "sl"]).join(at("el", "ec"), ["doc_id", "el"])
     byte = lambda line, n: F.col(f"_{line}") + F.octet_length(F.substring(F.col(f"_t{line}"), F.lit(1), n))

@@ -86,10 +86,15 @@ def lines_of(docs: DataFrame, short: int = 2000) -> DataFrame:
     return out.select("doc_id", (F.col("k") + 1).alias("line"), "s", (F.col("s") + F.octet_length("t")).alias("e"), F.col("t").alias("text"))
 
 
+def at_home(texts: DataFrame) -> DataFrame:
+    """Rows as long as the corpus, never broadcast in a join: the planner takes computed texts and lists for a few bytes each."""
+    return texts.hint("merge")
+
+
 def located(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """Adds 1-based line and code point column of the byte offset ``s``. An equi-join on the document; no range join."""
     prefix = F.decode(F.substring(F.encode("_text", "UTF-8"), F.lit(1), F.col("s")), "UTF-8")
-    joined = rows.join(docs.select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text")), F.col("doc_id") == F.col("_doc"))
+    joined = rows.join(at_home(docs.select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text"))), F.col("doc_id") == F.col("_doc"))
     before = joined.withColumn("_before", prefix)
     line = F.length("_before") - F.length(F.replace("_before", F.lit("\n"), F.lit(""))) + 1
     column = F.length(F.substring_index("_before", "\n", -1)) + 1

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from glyphlake.fmt.engine import formatted
 from glyphlake.operators import compare as C
-from glyphlake.operators.facts import Facts
+from glyphlake.operators.facts import Facts, at_home
 from glyphlake.operators.fixtures import Recipe, _lit, markdown_docs
 from glyphlake.operators.ranges import outside, require_disjoint
 from glyphlake.queries.book import Book, document, table
@@ -183,8 +183,8 @@ def cor16(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claimed positions that no fact of their kind overlaps; what lies in front matter does not count."""
     docs, html = _positions(spark, sf_dir)
     facts = Facts(docs, ["nodes", "frontmatter"], share=True)
-    claimed = outside(C.envelopes(html, facts.docs), facts.table("frontmatter"))
-    return outside(claimed, facts.table("nodes"), same=("kind",)).select("doc_id", "kind", "s")
+    claimed = outside(C.envelopes(html, facts.docs), at_home(facts.table("frontmatter")))
+    return outside(claimed, at_home(facts.table("nodes")), same=("kind",)).select("doc_id", "kind", "s")
 
 
 @BOOK.add("cor17_position_envelopes", _SPOTS)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from glyphlake.functions import mathtext as M, text as T
-from glyphlake.operators.facts import Facts, canonical, lines_of
+from glyphlake.operators.facts import Facts, at_home, canonical, lines_of
 from glyphlake.operators.fixtures import Expect, _lit
 from glyphlake.operators.offsets import offset_map, to_original
 from glyphlake.parse.facts import Options
@@ -56,7 +56,7 @@ _REFS = document(("use", "TRUE", "See [one][A b], [two][] and [a  B].\n\n"), ("d
 
 def resolved(facts: Facts) -> DataFrame:
     """Reference links with the target of the first definition of their label: an equi-join on (document, label)."""
-    links = facts.table("links").where("kind <> 'inline'").join(facts.docs.withColumnRenamed("text", "doc"), "doc_id")
+    links = facts.table("links").where("kind <> 'inline'").join(at_home(facts.docs.withColumnRenamed("text", "doc")), "doc_id")
     source = T.bytes_of(F.col("doc"), F.col("s"), F.col("e"))
     label = F.when(F.col("kind") == "full", F.regexp_extract(source, r"(?s)\]\[(.*)\]$", 1)).otherwise(F.col("text"))
     links = links.select("doc_id", "s", "e", "kind", T.normal_label(label).alias("label"))
@@ -195,5 +195,5 @@ _FORMS = document(("i", "p_partkey % 2 = 0", "In \\( a \\) line.\n\n"), ("d", "p
 @BOOK.add("mth12_dollar_form", " UNION ALL ".join(f"SELECT {DOC}, {_lit(new)} AS shown FROM part WHERE p_partkey % {m} = 0" for m, new in ((2, "$a$"), (3, "$$ b $$"), (5, "\\begin{align}c\\end{align}"))))
 def mth12(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = Facts(_FORMS.docs(spark, sf_dir), ["math_regions"])
-    rows = facts.table("math_regions").join(facts.docs.withColumnRenamed("text", "doc"), "doc_id")
+    rows = facts.table("math_regions").join(at_home(facts.docs.withColumnRenamed("text", "doc")), "doc_id")
     return rows.select("doc_id", M.dollar_form(F.col("kind"), F.col("text"), T.bytes_of(F.col("doc"), F.col("s"), F.col("e"))).alias("shown"))

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from glyphlake.functions import text as T
-from glyphlake.operators.facts import Facts
+from glyphlake.operators.facts import Facts, at_home
 from glyphlake.operators.ranges import outside, under_heading
 from glyphlake.tex import registry
 from glyphlake.tex.render import Profile, issues
@@ -115,7 +115,7 @@ def bare_url(facts: Facts) -> DataFrame:
     raw = in_text(facts, "prose", r"https?://[^\s<>\[\]()]+").withColumn("m", T.trim_punctuation(F.col("m")))
     raw = raw.withColumn("e", F.col("s") + F.octet_length("m"))
     both = seen.unionByName(raw.select("doc_id", "s", "e", "m")).groupBy("doc_id", "s").agg(F.min(F.struct("e", "m")).alias("x")).select("doc_id", "s", "x.e", "x.m")
-    return found(outside(both, facts.table("link_like")), "s", "e", F.concat(F.lit("bare URL "), "m"), F.concat(F.lit("<"), "m", F.lit(">")), True)
+    return found(outside(both, at_home(facts.table("link_like"))), "s", "e", F.concat(F.lit("bare URL "), "m"), F.concat(F.lit("<"), "m", F.lit(">")), True)
 
 
 @rule("trailing-whitespace", "code_blocks", "Blanks at the end of a line", fixes="safe")
@@ -123,7 +123,7 @@ def trailing_whitespace(facts: Facts) -> DataFrame:
     blanks = F.regexp_extract("text", r"[ \t]+$", 0)
     rows = facts.lines.where((F.length(blanks) > 0) & ~((blanks == "  ") & (F.length("text") > 2)))
     rows = rows.select("doc_id", (F.col("e") - F.length(blanks)).alias("s"), "e")
-    return found(outside(rows, facts.table("code_blocks"), "start"), "s", "e", "trailing blanks", F.lit(""), True)
+    return found(outside(rows, at_home(facts.table("code_blocks")), "start"), "s", "e", "trailing blanks", F.lit(""), True)
 
 
 @rule("inconsistent-list-marker", "list_items list_groups", "Neighbouring bullet lists with different markers", fixes="safe")
@@ -151,7 +151,7 @@ def pipe_spacing(facts: Facts) -> DataFrame:
 @rule("list-tightness-flipped", "list_groups list_items", "A list that looks tight and is loose, or the other way", default=False, advisory=True)
 def tightness(facts: Facts) -> DataFrame:
     items = facts.table("list_items").select("doc_id", "label", "s", F.lead("s").over(W.partitionBy("doc_id", "label").orderBy("s")).alias("next"))
-    items = items.join(facts.docs, "doc_id").withColumn("gap", F.when(F.col("next").isNotNull(), T.bytes_of(F.col("text"), F.col("s"), F.col("next"))).otherwise(""))
+    items = items.join(at_home(facts.docs), "doc_id").withColumn("gap", F.when(F.col("next").isNotNull(), T.bytes_of(F.col("text"), F.col("s"), F.col("next"))).otherwise(""))
     seen = items.groupBy("doc_id", "label").agg(F.bool_or(F.col("gap").rlike(r"\n[ \t\r]*\n")).alias("apart"))
     groups = facts.table("list_groups").join(seen, ["doc_id", "label"]).where((F.col("text") == "loose") != F.col("apart"))
     return found(groups, "s", "e", F.concat(F.lit("list reads as "), "text"))
@@ -174,7 +174,7 @@ def lookup(keys: Column, table: dict[str, str]) -> Column:
 
 @rule("unicodeable-subscript", "prose math_regions", "A script that Unicode can write", advisory=True, fixes="safe")
 def unicode_script(facts: Facts) -> DataFrame:
-    hits = outside(in_text(facts, "prose", r"[\^_]\{(?:-?[0-9]|n|i)\}"), facts.table("math_regions"), "inside").withColumn("new", lookup(F.col("m"), _SCRIPTS))
+    hits = outside(in_text(facts, "prose", r"[\^_]\{(?:-?[0-9]|n|i)\}"), at_home(facts.table("math_regions")), "inside").withColumn("new", lookup(F.col("m"), _SCRIPTS))
     return found(hits.where("new is not null"), "s", "e", F.concat(F.lit("write "), "new"), F.col("new"), True)
 
 
@@ -202,7 +202,7 @@ def stray_dollar(facts: Facts) -> DataFrame:
 
 @rule("latex-command", "prose math_regions", "A TeX command outside mathematics", default=False, fixes="safe")
 def latex_command(facts: Facts) -> DataFrame:
-    hits = outside(in_text(facts, "prose", r"\\[A-Za-z]+(?:\{[^{}\n]*\})?"), facts.table("math_regions"), "inside")
+    hits = outside(in_text(facts, "prose", r"\\[A-Za-z]+(?:\{[^{}\n]*\})?"), at_home(facts.table("math_regions")), "inside")
     hits = hits.where(~F.col("m").rlike(r"^\\(?:begin|end)\{"))
     symbols = hits.sparkSession.createDataFrame([(rf"\{name}", char) for name, char in registry.SYMBOLS.items()], "command string, symbol string")
     hits = hits.join(F.broadcast(symbols), F.col("m") == F.col("command"), "left")
