@@ -11,6 +11,7 @@ from glyphlake.operators.ranges import drop_overlapping_families
 from glyphlake.queries.book import Book, document, table
 from glyphlake.queries.relational import Derived
 from glyphlake.sources.config import Fmt
+from glyphlake.sources.scratch import spread
 
 BOOK = Book()
 QUERIES, ORACLE = BOOK.queries, BOOK.oracle
@@ -142,7 +143,7 @@ _OTHER = "'# A *b*' || chr(10) || chr(10) || 'x y zz ' || " + WORDS + " || chr(1
 
 
 def _said(spark: SparkSession, sf_dir: str, other: str) -> DataFrame:
-    return table(spark, sf_dir, "part").selectExpr("CAST(p_partkey AS BIGINT) AS doc_id", f"{_SAID} AS a", f"{other} AS b")
+    return spread(table(spark, sf_dir, "part")).selectExpr("CAST(p_partkey AS BIGINT) AS doc_id", f"{_SAID} AS a", f"{other} AS b")
 
 
 @BOOK.add("fmt24_signatures", f"SELECT {DOC}, 4 AS elements, TRUE AS same FROM part")
@@ -155,8 +156,8 @@ def fmt24(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fmt25(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glyphlake.functions.text import first_difference
 
-    rows = _said(spark, sf_dir, _OTHER).select("doc_id", E.same_meaning(F.col("a"), F.col("b")).alias("same"), first_difference(E.meaning(F.col("a")), E.meaning(F.col("b"))).alias("d"))
-    return rows.select("doc_id", "same", "d.at")
+    rows = _said(spark, sf_dir, _OTHER).select("doc_id", E.meaning(F.col("a")).alias("a"), E.meaning(F.col("b")).alias("b"))
+    return rows.select("doc_id", (F.col("a") == F.col("b")).alias("same"), first_difference(F.col("a"), F.col("b"))["at"].alias("at"))
 
 
 _MATHS = document(("i", "p_partkey % 2 = 0", "In \\( a \\) line.\n\n"), ("d", "p_partkey % 3 = 0", "\\[ b \\]\n\n"), END)

@@ -10,7 +10,7 @@ from glyphlake.operators.facts import Facts
 from glyphlake.operators.fixtures import Expect, _lit, markdown_docs
 from glyphlake.queries.book import Book, document, table
 from glyphlake.sources.config import Config, Fmt, Lint
-from glyphlake.sources.scratch import shared_dir
+from glyphlake.sources.scratch import shared_dir, spread
 from glyphlake.streaming import editing as S
 
 BOOK = Book()
@@ -179,7 +179,7 @@ def udf02_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glyphlake.api import register_functions
 
     register_functions(spark)
-    table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("doc_id"), F.concat(F.lit("# "), F.col("p_partkey").cast("string"), F.lit("\n\nText\n")).alias("text")).createOrReplaceTempView("udf02_documents")
+    spread(table(spark, sf_dir, "part")).select(F.col("p_partkey").cast("long").alias("doc_id"), F.concat(F.lit("# "), F.col("p_partkey").cast("string"), F.lit("\n\nText\n")).alias("text")).createOrReplaceTempView("udf02_documents")
     return spark.sql("SELECT d.doc_id, f.e, f.text FROM udf02_documents d, LATERAL md_facts(d.text, 'headings') f")
 
 

@@ -11,6 +11,7 @@ from glyphlake.operators.offsets import offset_map, to_original
 from glyphlake.parse.facts import Options
 from glyphlake.parse.math import ALIGNING, KNOWN
 from glyphlake.queries.book import Book, document, table
+from glyphlake.sources.scratch import spread
 
 BOOK = Book()
 QUERIES, ORACLE = BOOK.queries, BOOK.oracle
@@ -152,7 +153,7 @@ _PICK = f"CASE p_partkey % {len(_ENVS)} " + " ".join(f"WHEN {k} THEN '{n}'" for
 
 @BOOK.add("mth08_environment_class", f"SELECT {DOC}, {_PICK} AS name, CASE WHEN {_PICK} IN ({', '.join(map(repr, ALIGNING))}) THEN 'aligning' WHEN {_PICK} = 'theorem' THEN 'custom' ELSE 'plain' END AS class FROM part")
 def mth08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").selectExpr("CAST(p_partkey AS BIGINT) AS doc_id", f"{_PICK} AS name")
+    rows = spread(table(spark, sf_dir, "part")).selectExpr("CAST(p_partkey AS BIGINT) AS doc_id", f"{_PICK} AS name")
     text = F.concat(F.lit("\\begin{"), "name", F.lit("}\na\n\\end{"), "name", F.lit("}\n"))
     regions = Facts(rows.select("doc_id", text.alias("text")), ["math_regions"]).table("math_regions")
     return regions.select("doc_id", F.col("label").alias("name"), M.environment_class(F.col("label")).alias("class"))
