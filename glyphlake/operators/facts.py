@@ -37,7 +37,7 @@ def parse_facts(docs: DataFrame, wanted: list[str], options: Options | None = No
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
-                    facts = parse(text or "", opts).facts
+                    facts = parse(text or "", opts, wanted=keep).facts
                 except (RecursionError, ValueError, IndexError) as error:
                     facts = {"parse_errors": [{"s": 0, "e": 0, "text": type(error).__name__}]}
                 for fact in keep & facts.keys():

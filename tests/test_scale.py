@@ -107,3 +107,37 @@ def test_byte_offsets_of_wide_characters():
         for f in rows:
             assert 0 <= f["s"] <= f["e"] <= len(text.encode()) and text.encode()[f["s"] : f["e"]].decode() is not None, kind
     assert [(f["s"], f["e"]) for f in parse(text).facts["inline_codes"]] == [(34, 38)]
+
+
+def test_candidates_are_refused_by_their_blocks_before_their_words(monkeypatch):
+    """Salvage parses each candidate once, reads words only where the blocks are those of the source, and keeps what passed."""
+    from glyphlake.fmt import engine as E
+    from glyphlake.parse import facts as P
+    from glyphlake.sources.config import Fmt
+
+    read, words = [], []
+    monkeypatch.setattr(E, "read", lambda text, old=E.read: read.append(text) or old(text))
+    monkeypatch.setattr(P, "Inline", lambda *a, old=P.Inline: words.append(1) or old(*a))
+    text, report = E.format_text("- one\n- two\n* three\n\nFin.\n", Fmt(list_marker="plus"))
+    assert text == "- one\n- two\n+ three\n\nFin.\n" and (report.proposed, report.applied) == (5, 1)
+    assert len(read) == len(set(read)) == 7 and len(words) == 8
+
+
+def test_parsed_documents_go_without_the_collector():
+    """A parse must not hang in a cycle, or a batch of documents stays in memory until the collector runs."""
+    import gc
+    import weakref
+
+    from glyphlake.fmt import engine as E
+    from glyphlake.parse.facts import parse
+    from glyphlake.sources.config import Fmt
+
+    gc.collect()
+    gc.disable()
+    try:
+        gone = weakref.ref(parse("- a\n  > b *c*\n\n| x |\n|---|\n"))
+        assert gone() is None
+        E.format_text("- one\n- two\n* three\n\nFin.\n", Fmt(list_marker="plus", wrap=20))
+        assert not [x for x in gc.get_objects() if type(x).__name__ == "Parsed"]
+    finally:
+        gc.enable()
