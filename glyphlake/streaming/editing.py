@@ -34,7 +34,10 @@ def accept(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, limit
     the document. Too large a text is marked, kept out of the state, and not passed on.
     """
     version, text, n = state.get if state.exists else (None, None, 0)
-    rows = pd.concat(list(batches)).sort_values(["arrival", "version", "kind"])
+    first, *others = batches
+    rows = pd.concat([first, *others]) if others else first
+    if len(rows) > 1:  # most documents of a batch have one edit, and pandas is slow on small frames
+        rows = rows.sort_values(["arrival", "version", "kind"])
     out = []
     for kind, new, body in zip(rows["kind"], rows["version"], rows["text"], strict=True):
         if kind == "save" and version is None or kind == "change" and version is not None and new < version:
@@ -52,12 +55,17 @@ def accept(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, limit
         state.remove()
     else:
         state.update((version, text, n))
-    yield pd.DataFrame(out, columns=["uri", "n", "version", "kind", "text", "status", "due"])
+    names = ["uri", "n", "version", "kind", "text", "status", "due"]
+    yield pd.DataFrame(dict(zip(names, map(list, zip(*out, strict=True)), strict=True)) if out else [], columns=None if out else names)
 
 
 def accepted(edits: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """``edits(uri, version, kind, text, arrival)`` as a stream -> those that take effect."""
+    """``edits(uri, version, kind, text, arrival)`` as a stream -> those that take effect.
+
+    Texts over the limit are dropped before the shuffle; ``accept`` takes a missing text for one that is too large.
+    """
     one = partial(accept, limit=limit)
+    edits = edits.withColumn("text", F.when(F.octet_length("text") <= limit, F.col("text")))
     return edits.groupBy("uri").applyInPandasWithState(one, ACCEPTED, STATE, "append", GroupStateTimeout.NoTimeout)
 
 

@@ -141,3 +141,34 @@ def test_parsed_documents_go_without_the_collector():
         assert not [x for x in gc.get_objects() if type(x).__name__ == "Parsed"]
     finally:
         gc.enable()
+
+
+def test_one_edit_of_a_document_is_accepted_without_sorting(spark, monkeypatch):
+    import pandas as pd
+
+    from glyphlake.queries.sessions import stream
+    from glyphlake.streaming import editing as S
+
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.get = value
+
+        def remove(self):
+            self.get = None
+
+    def edits(*rows):
+        return pd.DataFrame([(v, k, t, pd.Timestamp(at, unit="s")) for v, k, t, at in rows], columns=["version", "kind", "text", "arrival"])
+
+    two, state = iter([edits((3, "change", "c", 2)), edits((1, "open", "a", 1), (2, "change", "too long", 3))]), State()
+    assert [r[1:5] for r in next(S.accept(("u",), two, state, 5)).itertuples(index=False, name=None)] == [(1, 1, "open", "a"), (2, 3, "change", "c")]
+    assert state.get == (3, "c", 2)
+    monkeypatch.setattr(pd, "concat", None)
+    monkeypatch.setattr(pd.DataFrame, "sort_values", None)
+    out = next(S.accept(("u",), iter([edits((1, "open", "long text", 1))]), State(), 5))
+    assert list(out.itertuples(index=False, name=None)) == [("u", 1, 1, "open", None, "too-large", "now")]
+    out = next(S.accept(("u",), iter([edits((1, "save", None, 1))]), State(), 5))
+    assert len(out) == 0 and list(out.columns) == ["uri", "n", "version", "kind", "text", "status", "due"]
+    rows = stream(spark, "/root/testdata/sf0.001", "documents").selectExpr("cast(doc_id as string) as uri", "1L as version", "'open' as kind", "text", "timestamp_seconds(0) as arrival")
+    assert "octet_length" in S.accepted(rows, 5)._jdf.queryExecution().logical().toString()  # large texts stay out of the shuffle
