@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from glyphlake.operators.batches import slices
 from glyphlake.parse.facts import Options, parse
 from glyphlake.sources.scratch import written
 
@@ -33,7 +34,7 @@ def parse_facts(docs: DataFrame, wanted: list[str], options: Options | None = No
     keep, opts = set(wanted), options or Options()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:

@@ -172,3 +172,33 @@ def test_one_edit_of_a_document_is_accepted_without_sorting(spark, monkeypatch):
     assert len(out) == 0 and list(out.columns) == ["uri", "n", "version", "kind", "text", "status", "due"]
     rows = stream(spark, "/root/testdata/sf0.001", "documents").selectExpr("cast(doc_id as string) as uri", "1L as version", "'open' as kind", "text", "timestamp_seconds(0) as arrival")
     assert "octet_length" in S.accepted(rows, 5)._jdf.queryExecution().logical().toString()  # large texts stay out of the shuffle
+
+
+def test_texts_reach_python_in_slices_bounded_by_bytes():
+    import pyarrow as pa
+
+    from glyphlake.operators.batches import slices
+
+    texts = ["a" * 10, None, "é" * 30, "b", "", "c" * 5, "d" * 95, "e" * 5] + ["f"] * 7
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["k", "t"])
+    out = list(slices(iter([batch, batch.slice(0, 0)]), rows=4, size=100))
+    assert [x for b in out for x in b.column(1).to_pylist()] == texts
+    assert [b.num_rows for b in out] == [4, 3, 4, 4]
+
+
+def test_formatting_holds_a_slice_and_not_the_batch(spark):
+    import pyarrow as pa
+
+    from glyphlake.fmt.engine import formatted
+    from glyphlake.sources.config import Fmt
+
+    class Docs:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(["word é " * 30] * 3000)], names=["doc_id", "text"])
+    out = list(formatted(Docs(), Fmt(wrap=80))(iter([batch])))
+    assert sum(b.num_rows for b in out) == 3000 and max(b.num_rows for b in out) <= 500
