@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from glyphlake.operators.batches import slices
-from glyphlake.parse.facts import Options, parse
+from glyphlake.parse.facts import Options, blank_ends, byte_offsets, canonical as plain, parse
 from glyphlake.sources.scratch import written
 
 _FIELDS = ["doc_id", "fact", "ord", "s", "e", "text", "kind", "label", "n"]
@@ -26,26 +27,32 @@ def canonical(text: str = "text") -> Column:
     return F.replace(F.replace(t, F.lit("\r"), F.lit("\n")), F.lit("\0"), F.lit("\ufffd"))
 
 
-def parse_facts(docs: DataFrame, wanted: list[str], options: Options | None = None) -> DataFrame:
-    """``docs(doc_id, text)`` -> one row per fact of the kinds in ``wanted``.
+def parse_facts(docs: DataFrame, wanted: list[str], options: Options | None = None, marks: str | None = None) -> DataFrame:
+    """``docs(doc_id, text)`` -> one row per fact of the kinds in ``wanted``; also ``blank_ends``, which need no parse.
 
-    Only what is wanted leaves Python. A document that cannot be parsed gives a ``parse_errors`` row, never a failed task.
+    Only what is wanted leaves Python, of ``prose`` only runs that hold one of the ``marks`` if these are given. A document
+    that cannot be parsed gives a ``parse_errors`` row, never a failed task.
     """
     keep, opts = set(wanted), options or Options()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
+            gc.disable()  # a parse hangs in no cycle, and the collector would walk the rows of the slice again and again
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
-                    facts = parse(text or "", opts, wanted=keep).facts
+                    facts = parse(text or "", opts, wanted=keep, marks=marks).facts
                 except (RecursionError, ValueError, IndexError) as error:
                     facts = {"parse_errors": [{"s": 0, "e": 0, "text": type(error).__name__}]}
+                    if "blank_ends" in keep:
+                        facts["blank_ends"] = blank_ends(plain(text), byte_offsets(plain(text)))
                 for fact in keep & facts.keys():
                     rows += [(doc, fact, k, f["s"], f["e"], f.get("text"), f.get("kind"), f.get("label"), f.get("n")) for k, f in enumerate(facts[fact])]
             columns = zip(*rows, strict=True) if rows else [()] * 9
             kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], names=_FIELDS)
+            out = pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], names=_FIELDS)
+            gc.enable()
+            yield out
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FACT_SCHEMA)
 
@@ -53,11 +60,12 @@ def parse_facts(docs: DataFrame, wanted: list[str], options: Options | None = No
 class Facts:
     """The facts that a set of rules reads. Parsed once and written if several rules share them."""
 
-    def __init__(self, docs: DataFrame, wanted: list[str], options: Options | None = None, share: bool = False):
+    def __init__(self, docs: DataFrame, wanted: list[str], options: Options | None = None, share: bool = False, marks: str | None = None):
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), canonical().alias("text"))
-        self._all = parse_facts(self.docs, wanted, options)
+        self._all = parse_facts(self.docs, wanted, options, marks)
         if share:
-            self._all = written(self._all, "facts")
+            # By kind, so that a plan that reads one kind skips the pages of all others.
+            self._all = written(self._all.sortWithinPartitions("fact"), "facts")
 
     def table(self, fact: str) -> DataFrame:
         return self._all.where(F.col("fact") == fact).drop("fact")

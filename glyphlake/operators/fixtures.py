@@ -78,7 +78,7 @@ class Recipe:
 
     def docs(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         """(doc_id, text), one document per part."""
-        part = spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand"))
+        part = spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand"), 4)
         text = " || ".join(f"CASE WHEN {cond} THEN {sql.replace('VARCHAR(20)', 'STRING')} ELSE '' END" for _, cond, sql in self.slots)
         return part.selectExpr("CAST(p_partkey AS BIGINT) AS doc_id", f"{text} AS text")
 

@@ -7,9 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from glyphlake.operators.fixtures import Expect, expected_rows, markdown_docs, placed_sql
-from glyphlake.rules.run import RuleSet, compact, diagnostics, exit_status, fixed, json_lines, select, totals
+from glyphlake.rules.run import RuleSet, compact, diagnostics, exit_status, fixed, json_lines, left_after_fixes, select, totals
 from glyphlake.rules.stdlib import RULES
-from glyphlake.sources.scratch import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 _KL = "length(CAST(p_partkey AS VARCHAR))"
@@ -132,8 +131,7 @@ def fix01(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("fix03_fix_then_lint", f"WITH {placed_sql()}, x AS ({_ALL_DEFAULT} UNION ALL {_UNKNOWN}) SELECT rule, count(*) AS n FROM x WHERE rule NOT IN ({', '.join(repr(n) for n, r in RULES.items() if r.fixes == 'safe')}) GROUP BY rule")
 def fix03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    again = written(fix01(spark, sf_dir), "fixed")
-    return diagnostics(again, locate=False).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+    return left_after_fixes(markdown_docs(spark, sf_dir)).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("snk05_compact", f"WITH {placed_sql()}, x AS ({expected_rows('heading-punctuation', EXPECTED['heading-punctuation'])}) SELECT 'p' || doc_id || '.md:' || line || ':' || col || ': heading-punctuation: heading ends in .' AS value FROM x")

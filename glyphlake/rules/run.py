@@ -13,6 +13,7 @@ from glyphlake.operators.ranges import after
 from glyphlake.parse.facts import Options
 from glyphlake.rules.stdlib import RULES, Rule, info_string, render_compat
 from glyphlake.sources.config import Config
+from glyphlake.sources.scratch import spread, written
 from glyphlake.tex.render import Profile
 
 SUPPRESSION = "suppression"
@@ -154,7 +155,8 @@ def diagnostics(docs: DataFrame, rules: RuleSet | None = None, suppress: bool =
     """
     rules = RuleSet() if rules is None else rules
     wanted = {n for r in rules.rules.values() for n in r.needs} | ({"suppressions"} if suppress else set())
-    facts = Facts(docs, sorted(wanted), options, share=len(wanted) > 1 if share is None else share)
+    marks = [r.marks for r in rules.rules.values() if "prose" in r.needs]
+    facts = Facts(docs, sorted(wanted), options, share=len(wanted) > 1 if share is None else share, marks=None if None in marks else "".join(marks) or None)
     parts = [stamped(r.check(facts), r) for r in rules.rules.values()]
     if not parts:
         parts = [unknown_names(facts, list(RULES)).where("false").withColumns({"rule": F.lit(""), "advisory": F.lit(False)})]
@@ -191,6 +193,17 @@ def fixed(docs: DataFrame, found: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text", kept.alias("kept")).select("doc_id", T.splice(F.col("text"), F.col("kept")).alias("text"), F.size("kept").cast("long").alias("n_fixes"))
 
 
+def left_after_fixes(docs: DataFrame, rules: RuleSet | None = None) -> DataFrame:
+    """What is found in the fixed texts, without lines and columns.
+
+    A text without a fix stays as it is and so do its findings, which are known; every changed text is parsed and checked again.
+    """
+    before = written(diagnostics(docs, rules, locate=False), "found")
+    changed = written(fixed(docs, before).where("n_fixes > 0").select("doc_id", "text"), "fixed")
+    same = before.join(at_home(changed.select("doc_id")), "doc_id", "left_anti")
+    return same.unionByName(diagnostics(spread(changed, 4), rules, locate=False))
+
+
 def totals(found: DataFrame) -> DataFrame:
     return found.agg(F.count(F.lit(1)).alias("n_diagnostics"), F.count_if(~F.col("advisory")).alias("n_failing"), F.count_if(F.col("safe") & F.col("replacement").isNotNull()).alias("n_fixable"))
 

@@ -25,6 +25,7 @@ class Rule:
     default: bool = True
     advisory: bool = False
     fixes: str = ""  # safe, unsafe or none
+    marks: str | None = None  # of these a run of prose holds one if the rule finds anything in it; None: not known
 
 
 RULES: dict[str, Rule] = {}
@@ -52,7 +53,7 @@ def in_text(facts: Facts, table: str, pattern: str) -> DataFrame:
     return hits.select("doc_id", (F.col("at") + F.col("x.s")).alias("s"), (F.col("at") + F.col("x.e")).alias("e"), F.col("x.m").alias("m"))
 
 
-@rule("unbalanced-backtick", "prose", "A backtick that opens no code span")
+@rule("unbalanced-backtick", "prose", "A backtick that opens no code span", marks="`")
 def unbalanced_backtick(facts: Facts) -> DataFrame:
     hits = in_text(facts, "prose", r"\\*`")
     return found(hits.where(F.length("m") % 2 == 1), F.col("e") - 1, "e", "unpaired backtick")
@@ -94,7 +95,7 @@ def heading_punctuation(facts: Facts) -> DataFrame:
     return found(facts.table("headings").where(F.col("text").rlike("[.:]$")), F.col("e") - 1, "e", F.concat(F.lit("heading ends in "), F.right("text", F.lit(1))), F.lit(""), True)
 
 
-@rule("orphan-reference-link", "prose link_defs", "A reference link without a definition")
+@rule("orphan-reference-link", "prose link_defs", "A reference link without a definition", marks="[")
 def orphan_reference(facts: Facts) -> DataFrame:
     hits = in_text(facts, "prose", r"\[[^\[\]\n]+\]\[[^\[\]\n]*\]")
     label = F.coalesce(F.nullif(F.regexp_extract("m", r"\]\[(.*)\]$", 1), F.lit("")), F.regexp_extract("m", r"^\[(.*?)\]\[", 1))
@@ -109,7 +110,7 @@ def duplicate_label(facts: Facts) -> DataFrame:
     return found(facts.table("link_defs").withColumn("k", again).where("k > 1"), "s", "e", F.concat(F.lit("label defined before: "), "label"))
 
 
-@rule("bare-url", "prose autolinks link_like", "A URL without angle brackets", fixes="safe")
+@rule("bare-url", "prose autolinks link_like", "A URL without angle brackets", fixes="safe", marks=":")
 def bare_url(facts: Facts) -> DataFrame:
     seen = facts.table("autolinks").where((F.col("kind") == "GfmUrl") & F.lower("text").rlike("^https?://")).select("doc_id", "s", "e", F.col("text").alias("m"))
     raw = in_text(facts, "prose", r"https?://[^\s<>\[\]()]+").withColumn("m", T.trim_punctuation(F.col("m")))
@@ -118,12 +119,10 @@ def bare_url(facts: Facts) -> DataFrame:
     return found(outside(both, at_home(facts.table("link_like"))), "s", "e", F.concat(F.lit("bare URL "), "m"), F.concat(F.lit("<"), "m", F.lit(">")), True)
 
 
-@rule("trailing-whitespace", "code_blocks", "Blanks at the end of a line", fixes="safe")
+@rule("trailing-whitespace", "blank_ends code_blocks", "Blanks at the end of a line", fixes="safe")
 def trailing_whitespace(facts: Facts) -> DataFrame:
-    blanks = F.regexp_extract("text", r"[ \t]+$", 0)
-    rows = facts.lines.where((F.length(blanks) > 0) & ~((blanks == "  ") & (F.length("text") > 2)))
-    rows = rows.select("doc_id", (F.col("e") - F.length(blanks)).alias("s"), "e")
-    return found(outside(rows, at_home(facts.table("code_blocks")), "start"), "s", "e", "trailing blanks", F.lit(""), True)
+    rows = facts.table("blank_ends").where(~((F.col("text") == "  ") & (F.col("n") > 2)))
+    return found(outside(rows.select("doc_id", "s", "e"), at_home(facts.table("code_blocks")), "start"), "s", "e", "trailing blanks", F.lit(""), True)
 
 
 @rule("inconsistent-list-marker", "list_items list_groups", "Neighbouring bullet lists with different markers", fixes="safe")
@@ -172,7 +171,7 @@ def lookup(keys: Column, table: dict[str, str]) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), keys)
 
 
-@rule("unicodeable-subscript", "prose math_regions", "A script that Unicode can write", advisory=True, fixes="safe")
+@rule("unicodeable-subscript", "prose math_regions", "A script that Unicode can write", advisory=True, fixes="safe", marks="{")
 def unicode_script(facts: Facts) -> DataFrame:
     hits = outside(in_text(facts, "prose", r"[\^_]\{(?:-?[0-9]|n|i)\}"), at_home(facts.table("math_regions")), "inside").withColumn("new", lookup(F.col("m"), _SCRIPTS))
     return found(hits.where("new is not null"), "s", "e", F.concat(F.lit("write "), "new"), F.col("new"), True)
@@ -195,12 +194,12 @@ def info_string(facts: Facts, extra: tuple[str, ...] = ()) -> DataFrame:
     return found(rows, "s", F.col("s") + F.col("n"), F.concat(F.lit("unknown language "), "lang"))
 
 
-@rule("stray-dollar", "prose", "A dollar sign in prose", default=False, fixes="unsafe")
+@rule("stray-dollar", "prose", "A dollar sign in prose", default=False, fixes="unsafe", marks="$")
 def stray_dollar(facts: Facts) -> DataFrame:
     return found(in_text(facts, "prose", r"\$"), "s", "e", "dollar sign", F.lit(r"\$"))
 
 
-@rule("latex-command", "prose math_regions", "A TeX command outside mathematics", default=False, fixes="safe")
+@rule("latex-command", "prose math_regions", "A TeX command outside mathematics", default=False, fixes="safe", marks="\\")
 def latex_command(facts: Facts) -> DataFrame:
     hits = outside(in_text(facts, "prose", r"\\[A-Za-z]+(?:\{[^{}\n]*\})?"), at_home(facts.table("math_regions")), "inside")
     hits = hits.where(~F.col("m").rlike(r"^\\(?:begin|end)\{"))
@@ -209,7 +208,7 @@ def latex_command(facts: Facts) -> DataFrame:
     return found(hits, "s", "e", F.concat(F.lit("command "), "m"), F.col("symbol"), True)
 
 
-@rule("escaped-emphasis", "prose", "An escaped emphasis mark", default=False, fixes="safe")
+@rule("escaped-emphasis", "prose", "An escaped emphasis mark", default=False, fixes="safe", marks="\\")
 def escaped_emphasis(facts: Facts) -> DataFrame:
     return found(in_text(facts, "prose", r"\\[_*`]"), "s", "e", F.concat(F.lit("escape "), "m"), F.substring("m", 2, 1), True)
 
@@ -217,7 +216,7 @@ def escaped_emphasis(facts: Facts) -> DataFrame:
 _HEADS = ["f", "g", "φ", "ψ", "π", "ι", "i", "j", "p", "q"]
 
 
-@rule("subscript-damage", "prose inline_codes", "An asterisk that was a subscript", default=False, fixes="unsafe")
+@rule("subscript-damage", "prose inline_codes", "An asterisk that was a subscript", default=False, fixes="unsafe", marks="*")
 def subscript_damage(facts: Facts) -> DataFrame:
     pattern = r"[A-Za-z\p{IsGreek}\p{L}]\*[A-Za-z{]"
     code = facts.table("inline_codes").withColumn("s", F.col("s") + F.length(F.regexp_extract(F.lit("`"), "(`+)", 1)))

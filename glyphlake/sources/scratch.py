@@ -32,10 +32,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(scan: DataFrame) -> DataFrame:
+def spread(scan: DataFrame, times: int = 1) -> DataFrame:
     """A scan of fewer partitions than cores (a small table in one file) dealt out over the cores, for what follows is costly.
 
-    Only for plans without a shuffle; such a scan is at most a few file splits, and a larger one passes as it is.
+    Only for plans without a shuffle; such a scan is at most a few file splits, and a larger one passes as it is. For narrow
+    rows ``times`` asks for more partitions a core: splits of one file can be empty, since a row group is read whole.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+    return scan if scan.rdd.getNumPartitions() >= times * cores else scan.repartition(cores)

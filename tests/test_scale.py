@@ -202,3 +202,74 @@ def test_formatting_holds_a_slice_and_not_the_batch(spark):
     batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(["word é " * 30] * 3000)], names=["doc_id", "text"])
     out = list(formatted(Docs(), Fmt(wrap=80))(iter([batch])))
     assert sum(b.num_rows for b in out) == 3000 and max(b.num_rows for b in out) <= 500
+
+
+def test_only_changed_texts_are_linted_again(spark, monkeypatch):
+    from glyphlake.rules import run as R
+
+    given = []
+    monkeypatch.setattr(R, "diagnostics", lambda docs, *a, old=R.diagnostics, **k: given.append(sorted(r.doc_id for r in docs.collect())) or old(docs, *a, **k))
+    texts = ["# A.\n\nOne ` tick.\n", "# B\n\nOne ` tick. \\( x\n", "Nothing.\n", None, "See http://a.org/x now. x`y`\n\n# C\n\n# c\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = sorted(map(tuple, R.left_after_fixes(docs).select("doc_id", "rule", "span_start", "span_end").collect()))
+    assert given == [[0, 1, 2, 3, 4], [0, 4]]
+    whole = R.diagnostics(R.fixed(docs, R.diagnostics(docs, locate=False)), locate=False)
+    assert found == sorted(map(tuple, whole.select("doc_id", "rule", "span_start", "span_end").collect())) and len(found) == 4
+
+
+def test_lines_without_inline_syntax_or_marks_cost_no_inline_structure(monkeypatch):
+    from glyphlake.parse import facts as P
+    from glyphlake.rules.stdlib import RULES
+
+    wanted = {n for r in RULES.values() if r.default for n in r.needs}
+    marks = "".join(r.marks for r in RULES.values() if r.default and "prose" in r.needs)
+    text = "# Plain\n\nTwo plain\nlines.\n\n| a | b{1} |\n|---|---|\n| c | WWW.x.org |\n\nA x^{2}: here\nand there.\n\nIn `co\nde`, me@x.org\n"
+    whole, made = P.parse(text).facts, []
+    monkeypatch.setattr(P, "Inline", lambda lines, refs, old=P.Inline: made.append(lines[0][0]) or old(lines, refs))
+    some = P.parse(text, wanted=wanted, marks=marks).facts
+    assert made == ["b{1}", "WWW.x.org", "A x^{2}: here", "In `co"]
+    assert [f["text"] for f in some["prose"]] == ["b{1}", "A x^{2}: here"]
+    assert some["prose"] == [f for f in whole["prose"] if any(c in f["text"] for c in marks)]
+    assert all(some.get(k) == whole.get(k) for k in wanted - {"prose", "blank_ends"})
+
+
+def test_blank_ends_are_found_by_the_parse_in_linear_time(spark, monkeypatch):
+    from glyphlake.operators import facts as O
+    from glyphlake.parse.facts import blank_ends, byte_offsets
+
+    text = "é  \n  \n \t\n\na b\t \n漢 x "
+    assert [(f["s"], f["e"], f["text"], f["n"]) for f in blank_ends(text, byte_offsets(text))] == [(2, 4, "  ", 3), (5, 7, "  ", 2), (8, 10, " \t", 2), (15, 17, "\t ", 5), (23, 24, " ", 4)]
+    start = time.monotonic()
+    assert blank_ends((" " * 300000 + "x\n") * 2, lambda i: i) == []
+    assert time.monotonic() - start < 10
+
+    def fail(*a, **k):
+        raise ValueError
+
+    monkeypatch.setattr(O, "parse", fail)
+    docs = spark.createDataFrame([(1, "a \r\nb\t")], "doc_id long, text string")
+    rows = O.parse_facts(docs, ["blank_ends", "parse_errors"]).collect()
+    assert sorted((r.fact, r.s, r.e) for r in rows) == [("blank_ends", 1, 2), ("blank_ends", 4, 5), ("parse_errors", 0, 0)]
+
+
+def test_every_rule_finds_only_prose_with_its_marks(spark):
+    from dataclasses import replace
+
+    from glyphlake.operators.fixtures import markdown_docs
+    from glyphlake.rules.run import RuleSet, diagnostics
+    from glyphlake.rules.stdlib import RULES
+
+    docs = markdown_docs(spark, "/root/testdata/sf0.001").cache()
+    for names in ([n for n, r in RULES.items() if r.marks], ["subscript-damage"]):
+        few, all_ = ([replace(RULES[n], **more) for n in names] for more in ({}, {"marks": None}))
+        a, b = (sorted(map(tuple, diagnostics(docs, RuleSet(x), locate=False).select("doc_id", "rule", "span_start", "span_end").collect())) for x in (few, all_))
+        assert a == b and a
+
+
+def test_splits_of_one_file_are_dealt_out_evenly(spark):
+    from glyphlake.sources.scratch import spread
+
+    cores = spark.sparkContext.defaultParallelism
+    rows = spark.range(1000).coalesce(1).union(spark.range(0)).repartition(cores + 1, F.lit(1))
+    assert spread(rows).rdd.getNumPartitions() == cores + 1
+    assert max(spread(rows, 4).rdd.glom().map(len).collect()) <= 1000 / cores + 8
